@@ -11,6 +11,7 @@ inline; the inline form is only used below a checked size.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,19 +31,22 @@ INLINE_LEXICON_LIMIT = 5000
 # cls_keyword / cls_keyword_small / cls_blank
 # ---------------------------------------------------------------------------
 
-def keyword_scores(text: Column, keyword_map: Mapping[str, list[str]]) -> list[Column]:
-    """Per category: number of distinct keywords that occur as substrings."""
-    low = F.lower(text)
+def keyword_scores(text: Column, keyword_map: Mapping[str, list[str]], lowered: bool = False) -> list[Column]:
+    """Per category: number of distinct keywords that occur as substrings.
+
+    A flat sum of ``instr`` tests (no lambda), so the lower-cased text is a
+    common subexpression evaluated once per row.
+    """
+    low = text if lowered else F.lower(text)
     out = []
     for cat, kws in keyword_map.items():
-        uniq = list(dict.fromkeys(kws))
-        hits = F.filter(F.array(*[F.lit(k) for k in uniq]), lambda k: F.instr(low, k) > F.lit(0))
-        out.append(F.size(hits).alias(cat))
+        terms = [(F.instr(low, k) > F.lit(0)).cast("int") for k in dict.fromkeys(kws)]
+        out.append(reduce(lambda a, b: a + b, terms).alias(cat))
     return out
 
 
 def classify_keywords(text: Column, keyword_map: Mapping[str, list[str]] | None = None,
-                      default: str = C.DEFAULT_CATEGORY) -> Column:
+                      default: str = C.DEFAULT_CATEGORY, lowered: bool = False) -> Column:
     """cls_keyword: category with most distinct keyword hits.
 
     Substring containment on the lower-cased text ("ai" hits "said"); ties go
@@ -52,13 +56,22 @@ def classify_keywords(text: Column, keyword_map: Mapping[str, list[str]] | None
     if sum(len(v) for v in kmap.values()) > INLINE_KEYWORD_LIMIT:
         raise ValueError("keyword map too large for the inline form; use classify_keywords_join")
     scored = [F.struct(sc.alias("score"), F.lit(-rank).alias("neg_rank"), F.lit(cat).alias("category"))
-              for rank, (cat, sc) in enumerate(zip(kmap.keys(), keyword_scores(text, kmap)))]
+              for rank, (cat, sc) in enumerate(zip(kmap.keys(), keyword_scores(text, kmap, lowered)))]
     best = F.array_max(F.array(*scored))
     return (F.when(text.isNull(), F.lit(default))
             .when(best["score"] > F.lit(0), best["category"])
             .otherwise(F.lit(default)))
 
 
+def with_category(df: DataFrame, text_col: str, out_col: str = "category",
+                  keyword_map: Mapping[str, list[str]] | None = None,
+                  default: str = C.DEFAULT_CATEGORY) -> DataFrame:
+    """cls_keyword as a DataFrame step: the lower-cased text is computed once in
+    its own projection, then every keyword test reads that column."""
+    staged = df.withColumn("_low", F.lower(F.col(text_col)))
+    return staged.withColumn(out_col, classify_keywords(F.col("_low"), keyword_map, default, lowered=True)).drop("_low")
+
+
 def classify_blank_default(text: Column, classified: Column,
                            default: str = C.DEFAULT_CATEGORY) -> Column:
     """cls_blank: blank text -> default category, else the classifier's answer."""
@@ -130,16 +143,26 @@ def lexicon_polarity(text: Column, lexicon: Mapping[str, float] | None = None,
         raise ValueError("lexicon too large for the inline form; use join_lexicon")
     words = sorted(lex)
     lmap = F.create_map(*[x for w in words for x in (F.lit(w), F.lit(float(lex[w])))])
-    toks = F.split(F.coalesce(text, F.lit("")), " ")
+    toks, prev = token_pairs(text)
 
-    def value(t: Column, i: Column) -> Column:
-        negated = F.coalesce(F.when(i > F.lit(0), F.get(toks, i - F.lit(1)) == F.lit(negation)), F.lit(False))
+    def value(t: Column, p: Column) -> Column:
         v = F.try_element_at(lmap, t)
-        return F.when(t.isin(*words), F.when(negated, v * F.lit(factor)).otherwise(v))
+        return F.when(t.isin(*words), F.when(p == F.lit(negation), v * F.lit(factor)).otherwise(v))
+
+    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n"))
+    acc = F.aggregate(F.zip_with(toks, prev, value), zero,
+                      lambda a, v: F.when(v.isNull(), a).otherwise(
+                          F.struct((a["s"] + v).alias("s"), (a["n"] + F.lit(1)).alias("n"))),
+                      lambda a: F.when(a["n"] > F.lit(0), a["s"] / a["n"].cast("double")).otherwise(F.lit(0.0)))
+    return acc
 
-    vals = F.filter(F.transform(toks, value), lambda v: v.isNotNull())
-    total = F.aggregate(vals, F.lit(0.0), lambda acc, v: acc + v)
-    return F.when(F.size(vals) > F.lit(0), total / F.size(vals).cast("double")).otherwise(F.lit(0.0))
+
+def token_pairs(text: Column) -> tuple[Column, Column]:
+    """(tokens, previous tokens) of a single-space separated text; the first
+    token's previous token is ''."""
+    toks = F.split(F.coalesce(text, F.lit("")), " ")
+    prev = F.concat(F.array(F.lit("")), F.slice(toks, 1, F.greatest(F.size(toks) - F.lit(1), F.lit(0))))
+    return toks, prev
 
 
 def lexicon_dim(spark, lexicon: Mapping[str, float] | None = None) -> DataFrame:
@@ -158,11 +181,10 @@ def join_lexicon(df: DataFrame, key: str, text_col: str, lexicon: DataFrame,
     small row per key.
     """
     lex = checked_broadcast(lexicon.select(F.col("word"), F.col("polarity")), max_broadcast_rows)
-    toks = F.split(F.coalesce(F.col(text_col), F.lit("")), " ")
+    toks, prev = token_pairs(F.col(text_col))
     # (word, previous word) pairs are built inside the row, so the explode
     # needs neither a window nor a self-join.
-    pairs = F.transform(toks, lambda t, i: F.struct(
-        t.alias("word"), F.when(i > F.lit(0), F.get(toks, i - F.lit(1))).alias("prev")))
+    pairs = F.zip_with(toks, prev, lambda t, p: F.struct(t.alias("word"), p.alias("prev")))
     exploded = df.select(F.col(key), F.explode(pairs).alias("_w")).select(
         F.col(key), F.col("_w.word").alias("word"),
         F.coalesce(F.col("_w.prev") == F.lit(negation), F.lit(False)).alias("_negated"))
@@ -195,13 +217,18 @@ def enrich_gold(silver: DataFrame, polarity: Column | None = None,
     """
     text = F.col("body_cleaned")
     pol = polarity if polarity is not None else lexicon_polarity(text, lexicon)
-    scored = silver.select(
-        "heading", "body_cleaned", "url", "channel", "article_date",
-        classify_keywords(text, keyword_map).alias("category"),
-        S.sent_map(pol, text).alias("_s"),
+    # Stage the expensive parts in separate projections: each is referenced
+    # many times by the next step, so the optimizer keeps them as computed
+    # columns instead of inlining them into every reference.
+    base = ["heading", "body_cleaned", "url", "channel", "article_date"]
+    staged = silver.select(*base, F.lower(text).alias("_low"), pol.alias("_pol"))
+    scored = staged.select(
+        *base,
+        classify_keywords(F.col("_low"), keyword_map, lowered=True).alias("category"),
+        S.sent_map(F.col("_pol"), text).alias("_s"),
     )
     out = scored.select(
-        "heading", "body_cleaned", "url", "channel", "article_date", "category",
+        *base, "category",
         F.col("_s.positive_score").alias("positive_score"),
         F.col("_s.negative_score").alias("negative_score"),
         F.col("_s.neutral_score").alias("neutral_score"),

@@ -42,7 +42,7 @@ def clean_longer_than(cleaned: Column, n: int = C.MIN_CLEAN_CHARS) -> Column:
 
 def text_typed(body: Column) -> Column:
     """flt_text_typed: body is text, not a number."""
-    return body.isNotNull() & F.try_cast(body, "double").isNull()
+    return body.isNotNull() & body.try_cast("double").isNull()
 
 
 def min_extract_len(body: Column, n: int = C.MIN_BODY_CHARS) -> Column:
@@ -65,12 +65,23 @@ def silver_rules(raw: DataFrame, stopwords: list[str] | None = None,
     cut = raw.where(not_horoscope(F.col("heading"))).withColumn(
         "body", T.before_marker(F.col("body"), C.EDITED_BY_SILVER))
     kept = cut.where(not_subscriber(F.col("body")) & body_longer_than(F.col("body")))
-    cleaned = kept.select(
-        *[c for c in raw.columns if c not in ("body",)],
-        F.col("body").alias("body_original"),
-        T.clean_silver(F.col("body"), stopwords, contractions).alias("body_cleaned"),
-    )
-    return cleaned.where(clean_longer_than(F.col("body_cleaned")))
+    others = [c for c in raw.columns if c != "body"]
+    cleaned = kept.select(*others, F.col("body").alias("body_original"),
+                          T.clean_silver(F.col("body"), stopwords, contractions).alias("body_cleaned"))
+    return where_computed(cleaned, "body_cleaned", clean_longer_than)
+
+
+def where_computed(df: DataFrame, colname: str, predicate: Callable[[Column], Column]) -> DataFrame:
+    """Keep rows whose computed column ``colname`` satisfies ``predicate``.
+
+    A plain ``where`` on a computed column is pushed below the projection
+    with the column's expression substituted, so an expensive expression
+    (the cleaning chain) would run twice per row.  Exploding a 0/1-element
+    array filters at the same place without re-evaluating the expression.
+    """
+    others = [c for c in df.columns if c != colname]
+    kept = F.explode(F.filter(F.array(F.col(colname)), predicate)).alias(colname)
+    return df.select(*others, kept).select(*df.columns)
 
 
 SILVER_COLUMNS = ["heading", "body_original", "body_cleaned", "category_from_url", "url",
@@ -86,7 +97,7 @@ def workspace_clean(df: DataFrame, cleaner: Callable[[Column], Column],
     """
     if "Body" not in df.columns or "Heading" not in df.columns:
         return df.limit(0)
-    out = df.where(F.col("Body").isNull() | F.try_cast(F.col("Body"), "double").isNull())
+    out = df.where(F.col("Body").isNull() | F.col("Body").try_cast("double").isNull())
     out = out.where(not_horoscope(F.col("Heading")))
     if filter_shows:
         out = out.where(not_shows(F.col("Heading")))

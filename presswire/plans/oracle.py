@@ -125,7 +125,7 @@ def clean_silver_sql(x: str, stopwords=None) -> str:
     t = f"regexp_replace({t}, '{WS}+', ' ', 'g')"
     t = strip(t)
     t = (f"array_to_string(list_filter(string_split({t}, ' '), "
-         f"_w -> NOT list_contains({strlist(sw)}, _w) AND length(_w) >= 2), ' ')")
+         f"lambda _w: NOT list_contains({strlist(sw)}, _w) AND length(_w) >= 2), ' ')")
     return f"(CASE WHEN {x} IS NULL OR {strip(x)} = '' THEN '' ELSE {t} END)"
 
 
@@ -158,9 +158,9 @@ def polarity_sql(x: str, lexicon=None) -> str:
     toks = f"string_split(coalesce({x}, ''), ' ')"
     look = "CASE _t " + " ".join(f"WHEN {q(w)} THEN {d(lex[w])}" for w in words) + " END"
     neg = f"(_i > 1 AND {toks}[_i - 1] = {q(C.NEGATION_WORD)})"
-    vals = (f"list_filter(list_transform({toks}, (_t, _i) -> CASE WHEN list_contains({strlist(words)}, _t) "
-            f"THEN CASE WHEN {neg} THEN ({look}) * {d(C.NEGATION_FACTOR)} ELSE ({look}) END END), _v -> _v IS NOT NULL)")
-    return (f"(CASE WHEN len({vals}) > 0 THEN list_reduce(list_prepend({d(0)}, {vals}), (_a, _b) -> _a + _b) "
+    vals = (f"list_filter(list_transform({toks}, lambda _t, _i: CASE WHEN list_contains({strlist(words)}, _t) "
+            f"THEN CASE WHEN {neg} THEN ({look}) * {d(C.NEGATION_FACTOR)} ELSE ({look}) END END), lambda _v: _v IS NOT NULL)")
+    return (f"(CASE WHEN len({vals}) > 0 THEN list_reduce(list_prepend({d(0)}, {vals}), lambda _a, _b: _a + _b) "
             f"/ CAST(len({vals}) AS DOUBLE) ELSE {d(0)} END)")
 
 

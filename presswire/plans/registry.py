@@ -27,6 +27,18 @@ AS_OF = "2024-01-16"        # run date whose "yesterday" is DAY
 PAIR = "click, view"        # channel list for comparisons
 
 
+def load_all() -> tuple[dict[str, QueryFn], dict[str, str]]:
+    """Import every registry module and return (queries, oracle SQL)."""
+    import importlib
+    for mod in ("registry_text", "registry_pages", "registry_misc"):
+        try:
+            importlib.import_module(f"presswire.plans.{mod}")
+        except ModuleNotFoundError as e:  # module not written yet
+            if mod not in str(e):
+                raise
+    return QUERIES, ORACLE
+
+
 def register(name: str, sql: str | None = None):
     def deco(fn: QueryFn) -> QueryFn:
         QUERIES[name] = fn
