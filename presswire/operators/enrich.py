@@ -20,6 +20,7 @@ from presswire import constants as C
 from presswire.functions import scores as S
 from presswire.functions.text import is_blank
 from presswire.operators.joins import checked_broadcast
+from presswire.operators.rules import compute_once
 
 # Above this many keywords / lexicon entries the inline expression is replaced
 # by a join against a DataFrame (the expression would exceed codegen limits).
@@ -45,31 +46,44 @@ def keyword_scores(text: Column, keyword_map: Mapping[str, list[str]], lowered:
     return out
 
 
-def classify_keywords(text: Column, keyword_map: Mapping[str, list[str]] | None = None,
-                      default: str = C.DEFAULT_CATEGORY, lowered: bool = False) -> Column:
-    """cls_keyword: category with most distinct keyword hits.
-
-    Substring containment on the lower-cased text ("ai" hits "said"); ties go
-    to the category declared first; no hit or NULL text -> ``default``.
-    """
+def best_category(text: Column, keyword_map: Mapping[str, list[str]] | None = None,
+                  lowered: bool = False) -> Column:
+    """struct(score, neg_rank, category) of the winning category (ties -> first declared)."""
     kmap = keyword_map or C.KEYWORD_MAP
     if sum(len(v) for v in kmap.values()) > INLINE_KEYWORD_LIMIT:
         raise ValueError("keyword map too large for the inline form; use classify_keywords_join")
     scored = [F.struct(sc.alias("score"), F.lit(-rank).alias("neg_rank"), F.lit(cat).alias("category"))
               for rank, (cat, sc) in enumerate(zip(kmap.keys(), keyword_scores(text, kmap, lowered)))]
-    best = F.array_max(F.array(*scored))
+    return F.array_max(F.array(*scored))
+
+
+def pick_category(text: Column, best: Column, default: str = C.DEFAULT_CATEGORY) -> Column:
     return (F.when(text.isNull(), F.lit(default))
             .when(best["score"] > F.lit(0), best["category"])
             .otherwise(F.lit(default)))
 
 
+def classify_keywords(text: Column, keyword_map: Mapping[str, list[str]] | None = None,
+                      default: str = C.DEFAULT_CATEGORY, lowered: bool = False) -> Column:
+    """cls_keyword: category with most distinct keyword hits.
+
+    Substring containment on the lower-cased text ("ai" hits "said"); ties go
+    to the category declared first; no hit or NULL text -> ``default``.
+    As a bare Column the winner struct is referenced twice; ``with_category``
+    stages it so it is computed once per row.
+    """
+    return pick_category(text, best_category(text, keyword_map, lowered), default)
+
+
 def with_category(df: DataFrame, text_col: str, out_col: str = "category",
                   keyword_map: Mapping[str, list[str]] | None = None,
                   default: str = C.DEFAULT_CATEGORY) -> DataFrame:
-    """cls_keyword as a DataFrame step: the lower-cased text is computed once in
-    its own projection, then every keyword test reads that column."""
+    """cls_keyword as a DataFrame step: lower-cased text, then the winner struct,
+    each computed once in its own projection, then the category."""
     staged = df.withColumn("_low", F.lower(F.col(text_col)))
-    return staged.withColumn(out_col, classify_keywords(F.col("_low"), keyword_map, default, lowered=True)).drop("_low")
+    staged = staged.withColumn("_best", best_category(F.col("_low"), keyword_map, lowered=True))
+    return (staged.withColumn(out_col, pick_category(F.col(text_col), F.col("_best"), default))
+            .drop("_low", "_best"))
 
 
 def classify_blank_default(text: Column, classified: Column,
@@ -165,6 +179,17 @@ def token_pairs(text: Column) -> tuple[Column, Column]:
     return toks, prev
 
 
+def with_sentiment(df: DataFrame, polarity: Column, text_col: str, out_col: str = "_s") -> DataFrame:
+    """Add sent_map(polarity) as struct column ``out_col``.
+
+    The polarity is computed in its own projection first: sent_map refers
+    to it many times, and an inlined polarity expression would be copied
+    into every reference.
+    """
+    staged = df.withColumn("_pol", polarity)
+    return staged.withColumn(out_col, S.sent_map(F.col("_pol"), F.col(text_col))).drop("_pol")
+
+
 def lexicon_dim(spark, lexicon: Mapping[str, float] | None = None) -> DataFrame:
     lex = lexicon or C.DEFAULT_LEXICON
     return spark.createDataFrame([(w, float(v)) for w, v in lex.items()], "word string, polarity double")
@@ -221,12 +246,8 @@ def enrich_gold(silver: DataFrame, polarity: Column | None = None,
     # many times by the next step, so the optimizer keeps them as computed
     # columns instead of inlining them into every reference.
     base = ["heading", "body_cleaned", "url", "channel", "article_date"]
-    staged = silver.select(*base, F.lower(text).alias("_low"), pol.alias("_pol"))
-    scored = staged.select(
-        *base,
-        classify_keywords(F.col("_low"), keyword_map, lowered=True).alias("category"),
-        S.sent_map(F.col("_pol"), text).alias("_s"),
-    )
+    staged = with_category(silver.select(*base), "body_cleaned", "category", keyword_map)
+    scored = with_sentiment(staged, pol, "body_cleaned")
     out = scored.select(
         *base, "category",
         F.col("_s.positive_score").alias("positive_score"),
@@ -238,4 +259,4 @@ def enrich_gold(silver: DataFrame, polarity: Column | None = None,
     )
     if stamp:
         out = out.withColumn("processed_at", F.current_timestamp())
-    return out
+    return compute_once(out)

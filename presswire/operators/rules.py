@@ -71,17 +71,24 @@ def silver_rules(raw: DataFrame, stopwords: list[str] | None = None,
     return where_computed(cleaned, "body_cleaned", clean_longer_than)
 
 
-def where_computed(df: DataFrame, colname: str, predicate: Callable[[Column], Column]) -> DataFrame:
-    """Keep rows whose computed column ``colname`` satisfies ``predicate``.
-
-    A plain ``where`` on a computed column is pushed below the projection
-    with the column's expression substituted, so an expensive expression
-    (the cleaning chain) would run twice per row.  Exploding a 0/1-element
-    array filters at the same place without re-evaluating the expression.
+def compute_once(df: DataFrame) -> DataFrame:
+    """Boundary after expensive projections.
+
+    The optimizer pushes a later ``where`` below projections and substitutes
+    the projected expressions into the predicate, so a filter on a cleaned
+    or scored column would re-run the cleaning / scoring inside the filter.
+    A one-element explode of the row is a Generate node; predicates on its
+    output cannot move below it, so every expression above is computed once
+    per row.  It adds no shuffle and no Python.
     """
-    others = [c for c in df.columns if c != colname]
-    kept = F.explode(F.filter(F.array(F.col(colname)), predicate)).alias(colname)
-    return df.select(*others, kept).select(*df.columns)
+    cols = df.columns
+    row = F.explode(F.array(F.struct(*[F.col(c) for c in cols]))).alias("_row")
+    return df.select(row).select(*[F.col("_row")[c].alias(c) for c in cols])
+
+
+def where_computed(df: DataFrame, colname: str, predicate: Callable[[Column], Column]) -> DataFrame:
+    """``where`` on a computed column without re-evaluating its expression."""
+    return compute_once(df).where(predicate(F.col(colname)))
 
 
 SILVER_COLUMNS = ["heading", "body_original", "body_cleaned", "category_from_url", "url",
@@ -104,7 +111,7 @@ def workspace_clean(df: DataFrame, cleaner: Callable[[Column], Column],
     out = out.where(not_subscriber(F.col("Body")))
     out = out.withColumn("Body", T.before_marker(F.coalesce(F.col("Body"), F.lit("None")),
                                                  C.EDITED_BY_WORKSPACE))
-    out = out.withColumn("Body", cleaner(F.col("Body")))
+    out = compute_once(out.withColumn("Body", cleaner(F.col("Body"))))
     return out.dropna("any").where(F.col("Body") != F.lit(""))
 
 

@@ -115,14 +115,18 @@ register("txt_clean_hindi", with_raw(_hindi_sql()))(
     lambda s, sf: raw(s, sf).select("doc_id", T.clean_hindi(F.col("body")).alias("cleaned")))
 
 
-def _english_sql() -> str:
-    t = contractions_sql("lower(body)")
+def english_sql(x: str) -> str:
+    t = contractions_sql(f"lower({x})")
     t = f"regexp_replace({t}, '{NONWORD}', '', 'g')"
     t = f"regexp_replace({t}, '[^a-zA-Z0-9{WS[1:-1]}]', '', 'g')"
     t = f"regexp_replace({t}, '[0-9]', '', 'g')"
     toks = f"list_filter(regexp_split_to_array({strip(t)}, '{WS}+'), lambda _x: _x != '')"
     sw = strlist(T.english_stopwords())
-    return f"SELECT doc_id, array_to_string(list_filter({toks}, lambda _x: NOT list_contains({sw}, lower(_x))), ' ') AS cleaned FROM raw"
+    return f"array_to_string(list_filter({toks}, lambda _x: NOT list_contains({sw}, lower(_x))), ' ')"
+
+
+def _english_sql() -> str:
+    return f"SELECT doc_id, {english_sql('body')} AS cleaned FROM raw"
 
 
 register("txt_clean_english", with_raw(_english_sql()))(
@@ -171,8 +175,7 @@ register("sent_map", with_silver(
     f", _sm AS (SELECT doc_id, body_cleaned FROM silver), {sent_map_ctes('_sm', polarity_sql('body_cleaned'), 'body_cleaned', '_smo')} "
     f"SELECT doc_id, _pos AS positive_score, _neg AS negative_score, _neu AS neutral_score, "
     f"_label AS sentiment_label, _neg >= {d(C.ALERT_THRESHOLD)} AS is_negative_alert FROM _smo"))(
-    lambda s, sf: silver(s, sf).select("doc_id", S.sent_map(E.lexicon_polarity(F.col("body_cleaned")),
-                                                            F.col("body_cleaned")).alias("_s"))
+    lambda s, sf: E.with_sentiment(silver(s, sf), E.lexicon_polarity(F.col("body_cleaned")), "body_cleaned")
     .select("doc_id", "_s.*", S.sent_alert(F.col("_s.negative_score")).alias("is_negative_alert")))
 register("sent_alert", with_gold_docs("SELECT url, negative_score FROM gold_docs WHERE is_negative_alert"))(
     lambda s, sf: gold_docs(s, sf).where(S.sent_alert(F.col("negative_score"))).select("url", "negative_score"))
