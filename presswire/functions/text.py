@@ -98,9 +98,8 @@ def clean_english_base(body: Column, contractions: list[tuple[str, str]] | None
 
 
 def english_stopwords() -> list[str]:
-    """Spark's built-in English stop-word list, minus "not"."""
-    from pyspark.ml.feature import StopWordsRemover
-    return [w for w in StopWordsRemover.loadDefaultStopWords("english") if w != "not"]
+    """The workspace's English stop words, minus "not"."""
+    return [w for w in C.ENGLISH_STOPWORDS if w != "not"]
 
 
 def remove_stopwords_ci(text: Column, stopwords: list[str]) -> Column:

@@ -263,7 +263,8 @@ def extract_articles(pages: DataFrame, rule: Column, min_body: int = C.MIN_BODY_
 
 
 def crawl(pages: DataFrame, seeds: DataFrame, link_filter: Callable[[Column], Column] | None = None,
-          max_rounds: int = 10, domain: Column | None = None) -> DataFrame:
+          max_rounds: int = 10, domain: Column | None = None, max_pages_per_site: int | None = None,
+          max_links: int | None = None) -> DataFrame:
     """ext_crawl: breadth-first link closure over the captured pages.
 
     Each round joins the frontier with ``pages`` (the "fetch"), extracts new
@@ -271,7 +272,12 @@ def crawl(pages: DataFrame, seeds: DataFrame, link_filter: Callable[[Column], Co
     the next frontier.  Returns (url, depth) of every fetched page.  The
     visited set is checkpointed every round, so the plan does not grow with
     the number of rounds and a lost executor re-reads the checkpoint.
-    ``link_filter`` restricts which links are followed.
+    ``link_filter`` restricts which links are followed.  ``max_pages_per_site``
+    (cap_pages) admits, per site and round, only as many new pages as the
+    site has budget left, in URL order (skew-safe salted top-n).
+    ``max_links`` (cap_links) stops after the round in which the number of
+    visited pages reaches the cap; like the original, that round is kept
+    whole, so the result may overshoot.
     """
     spark = pages.sparkSession
     checkpoint_dir(spark)
@@ -284,14 +290,32 @@ def crawl(pages: DataFrame, seeds: DataFrame, link_filter: Callable[[Column], Co
         if link_filter is not None:
             links = links.where(link_filter(F.col("url")))
         new = links.distinct().join(visited.select("url"), "url", "left_anti")
+        if max_pages_per_site is not None:
+            new = _within_site_budget(new, visited, max_pages_per_site)
         new = new.checkpoint()
         if new.isEmpty():
             break
         visited = visited.unionByName(new.withColumn("depth", F.lit(depth))).checkpoint()
         frontier = new
+        if max_links is not None and visited.count() >= max_links:
+            break
     return visited.join(pages.select("url"), "url", "left_semi")
 
 
+def _within_site_budget(new: DataFrame, visited: DataFrame, cap: int) -> DataFrame:
+    """Keep, per site, at most (cap - pages already visited) new URLs (URL order)."""
+    from presswire.operators.topk import top_n_per_group
+    site = H.url_host(F.col("url"))
+    used = visited.groupBy(site.alias("_site")).agg(F.count(F.lit(1)).alias("_used"))
+    cand = new.withColumn("_site", site)
+    ranked = top_n_per_group(cand, "_site", [F.col("url")], cap)
+    w = __import__("pyspark.sql.window", fromlist=["Window"]).Window.partitionBy("_site").orderBy("url")
+    ranked = ranked.withColumn("_rank", F.row_number().over(w))
+    return (ranked.join(used, "_site", "left")
+            .where(F.col("_rank") <= F.lit(cap) - F.coalesce(F.col("_used"), F.lit(0)))
+            .select("url"))
+
+
 def video_links(pages: DataFrame, seeds: DataFrame, marker: str, min_chars: int = C.VIDEO_LINK_MIN_CHARS,
                 max_rounds: int = 10, domain: Column | None = None) -> DataFrame:
     """ext_video_links / flt_video_link: every link reachable from the seeds

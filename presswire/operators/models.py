@@ -51,7 +51,13 @@ def train_forest(df: DataFrame, text_col: str = "text", label_col: str = "label"
     """cls_rf_train on (text, label) rows (texts and labels taken as strings)."""
     data = df.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
                      F.col(label_col).cast("string").alias("label"))
-    return forest_pipeline("text", "label", **kw).fit(data)
+    # fitting makes several passes (indexer, vocabulary, IDF, tree levels):
+    # keep the prepared input cached instead of recomputing it every pass
+    data = data.persist()
+    try:
+        return forest_pipeline("text", "label", **kw).fit(data)
+    finally:
+        data.unpersist()
 
 
 def _labels(model: PipelineModel) -> list[str]:

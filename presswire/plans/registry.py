@@ -30,7 +30,7 @@ PAIR = "click, view"        # channel list for comparisons
 def load_all() -> tuple[dict[str, QueryFn], dict[str, str]]:
     """Import every registry module and return (queries, oracle SQL)."""
     import importlib
-    for mod in ("registry_text", "registry_pages", "registry_misc"):
+    for mod in ("registry_text", "registry_pages", "registry_misc", "registry_extra"):
         try:
             importlib.import_module(f"presswire.plans.{mod}")
         except ModuleNotFoundError as e:  # module not written yet
