@@ -167,12 +167,13 @@ def classify_keywords_join(df: DataFrame, key: str, text_col: str, keywords: Dat
     """
     kw = checked_broadcast(keywords, max_broadcast_rows)
     docs = df.select(F.col(key), F.lower(F.col(text_col)).alias("_t"))
-    hits = (docs.join(kw, F.instr(F.col("_t"), F.col("keyword")) > 0, "inner")
-            .groupBy(key, "category", "rank").agg(F.count(F.lit(1)).alias("score")))
-    best = hits.groupBy(key).agg(F.max(F.struct(F.col("score"), (-F.col("rank")).alias("nr"),
-                                                F.col("category"))).alias("b"))
-    return (df.select(key).join(best, key, "left")
-            .select(key, F.coalesce(F.col("b.category"), F.lit(default)).alias("category")))
+    # left join: a row without any hit keeps one row with NULL category, so the
+    # default is assigned without joining back to the input
+    hits = (docs.join(kw, F.instr(F.col("_t"), F.col("keyword")) > 0, "left")
+            .groupBy(key, "category", "rank").agg(F.count("keyword").alias("score")))
+    best = hits.groupBy(key).agg(F.max(F.when(F.col("score") > 0, F.struct(
+        F.col("score"), (-F.col("rank")).alias("nr"), F.col("category")))).alias("b"))
+    return best.select(key, F.coalesce(F.col("b.category"), F.lit(default)).alias("category"))
 
 
 # ---------------------------------------------------------------------------
@@ -271,12 +272,13 @@ def join_lexicon(df: DataFrame, key: str, text_col: str, lexicon: DataFrame,
     exploded = df.select(F.col(key), F.explode(pairs).alias("_w")).select(
         F.col(key), F.col("_w.word").alias("word"),
         F.coalesce(F.col("_w.prev") == F.lit(negation), F.lit(False)).alias("_negated"))
-    scored = (exploded.join(lex, "word", "inner")
+    # left join: every row has at least one token, so every key reaches the
+    # grouped mean and no join back to the input is needed
+    scored = (exploded.join(lex, "word", "left")
               .withColumn("_v", F.when(F.col("_negated"), F.col("polarity") * F.lit(factor))
                           .otherwise(F.col("polarity"))))
-    means = scored.groupBy(key).agg((F.sum("_v") / F.count(F.lit(1)).cast("double")).alias("_p"))
-    return (df.select(key).join(means, key, "left")
-            .select(key, F.coalesce(F.col("_p"), F.lit(0.0)).alias("polarity")))
+    return scored.groupBy(key).agg(
+        F.coalesce(F.sum("_v") / F.count("_v").cast("double"), F.lit(0.0)).alias("polarity"))
 
 
 # ---------------------------------------------------------------------------
