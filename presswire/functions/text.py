@@ -110,10 +110,12 @@ def clean_silver(body: Column, stopwords: list[str] | None = None,
     t = expand_contractions(t, contractions)
     t = F.regexp_replace(t, NONWORD, " ")
     t = F.regexp_replace(t, DIGITS, "")
-    t = strip_ws(collapse_ws(t))
-    t = drop_tokens(t, stopwords if stopwords is not None else C.SILVER_STOPWORDS)
+    # collapse + strip + split on " " == split on whitespace runs, empties dropped
+    sw = stopwords if stopwords is not None else C.SILVER_STOPWORDS
+    kept = F.filter(F.split(t, f"{WS}+"),
+                    lambda w: (F.length(w) >= F.lit(2)) & ~w.isin(*sw))
     # a blank body already cleans to ""; only NULL needs the default
-    return F.coalesce(t, F.lit(""))
+    return F.coalesce(F.array_join(kept, " "), F.lit(""))
 
 
 def clean_english_base(body: Column, contractions: list[tuple[str, str]] | None = None) -> Column:
