@@ -319,19 +319,20 @@ def agg_lineage_stages(gold: DataFrame, bronze: DataFrame | None = None,
     and ``silver`` given, stages 2 and 3 count the real layer tables.
     """
     c = agg_lineage_counts(gold)
-    if bronze is not None and silver is not None:
-        b = bronze.agg(F.count(F.lit(1)).alias("bronze_count"))
-        s = silver.agg(F.count(F.lit(1)).alias("silver_count"))
-        c = c.crossJoin(b).crossJoin(s)  # three single-row aggregates
-        bronze_c, silver_c = F.col("bronze_count"), F.col("silver_count")
-    else:
-        bronze_c, silver_c = F.col("total_articles"), F.col("articles_cleaned")
-    counts = [F.col("total_articles"), bronze_c, silver_c, F.col("articles_with_sentiment"),
-              F.col("articles_with_sentiment")]
-    rows = F.array(*[F.struct(F.lit(i + 1).alias("stage_number"), F.lit(n).alias("stage_name"),
-                              cnt.cast("bigint").alias("data_count"))
-                     for i, (n, cnt) in enumerate(zip(STAGES, counts))])
-    return c.select(F.inline(rows))
+    gold_rows = [(1, "total_articles"), (2, "total_articles"), (3, "articles_cleaned"),
+                 (4, "articles_with_sentiment"), (5, "articles_with_sentiment")]
+    layered = bronze is not None and silver is not None
+    if layered:
+        gold_rows = [r for r in gold_rows if r[0] not in (2, 3)]
+    stacked = c.select(F.inline(F.array(*[F.struct(F.lit(i).alias("stage_number"),
+                                                    F.col(col).cast("bigint").alias("data_count"))
+                                          for i, col in gold_rows])))
+    if layered:
+        for i, layer in ((2, bronze), (3, silver)):
+            stacked = stacked.unionByName(layer.agg(F.lit(i).alias("stage_number"),
+                                                    F.count(F.lit(1)).cast("bigint").alias("data_count")))
+    names = F.element_at(F.array(*[F.lit(n) for n in STAGES]), F.col("stage_number"))
+    return stacked.select("stage_number", names.alias("stage_name"), "data_count")
 
 
 def agg_distinct_dates(gold: DataFrame) -> DataFrame:

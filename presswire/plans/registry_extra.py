@@ -236,8 +236,10 @@ def _layer_run(s, sf, layer):
 register("rep_summary", WS + "SELECT CAST(count(*) AS BIGINT) AS total, "
          f"CAST(count_if(Negative >= {d(C.ALERT_PERCENT)}) AS BIGINT) AS high_negativity, "
          "CAST(count(DISTINCT Category) AS BIGINT) AS categories FROM ws")(
-    lambda s, sf: (lambda rep: rep["total"].crossJoin(rep["alerts"]).crossJoin(
-        R.agg_value_counts(results(s, sf)).agg(F.count(F.lit(1)).alias("categories"))))(R.rep_summary(results(s, sf))))
+    lambda s, sf: results(s, sf).agg(
+        F.count(F.lit(1)).alias("total"),
+        F.count_if(F.col("Negative") >= F.lit(C.ALERT_PERCENT)).alias("high_negativity"),
+        F.count_distinct("Category").alias("categories")))
 register("cls_rf_predict")(lambda s, sf: (lambda dm: M.forest_predict(dm[0], "text", dm[1], "predicted")
                                           .select("doc_id", "predicted"))(_forest(s, sf)))
 
