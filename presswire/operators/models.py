@@ -64,6 +64,11 @@ def _labels(model: PipelineModel) -> list[str]:
     return list(model.stages[0].labels)
 
 
+def _scorer(model: PipelineModel) -> PipelineModel:
+    """The fitted stages without the label indexer (prediction needs no label)."""
+    return PipelineModel(stages=model.stages[1:])
+
+
 def forest_predict(df: DataFrame, text_col: str, model: PipelineModel | None,
                    out_col: str = "category") -> DataFrame:
     """cls_rf_predict: model label, or the small keyword map when there is no model;
@@ -72,7 +77,7 @@ def forest_predict(df: DataFrame, text_col: str, model: PipelineModel | None,
     if model is None:
         staged = with_category(df, text_col, "_kw", C.KEYWORD_MAP_SMALL)
         return staged.withColumn(out_col, classify_blank_default(text, F.col("_kw"))).drop("_kw")
-    scored = model.transform(df.withColumn("text", F.coalesce(text.cast("string"), F.lit(""))))
+    scored = _scorer(model).transform(df.withColumn("text", F.coalesce(text.cast("string"), F.lit(""))))
     to_label = IndexToString(inputCol="_pred_idx", outputCol="_pred_label", labels=_labels(model))
     out = to_label.transform(scored)
     keep = df.columns + [out_col]
@@ -84,7 +89,7 @@ def forest_proba(df: DataFrame, text_col: str, model: PipelineModel | None) -> D
     """cls_rf_proba: map label -> probability; an error without a trained model."""
     if model is None:
         raise RuntimeError("No trained forest model loaded for probability prediction.")
-    scored = model.transform(df.withColumn("text", F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    scored = _scorer(model).transform(df.withColumn("text", F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
     labels = F.array(*[F.lit(x) for x in _labels(model)])
     return scored.select(*df.columns, F.map_from_arrays(labels, vector_to_array("probability")).alias("proba"))
 
