@@ -269,16 +269,18 @@ def join_lexicon(df: DataFrame, key: str, text_col: str, lexicon: DataFrame,
     # (word, previous word) pairs are built inside the row, so the explode
     # needs neither a window nor a self-join.
     pairs = F.zip_with(toks, prev, lambda t, p: F.struct(t.alias("word"), p.alias("prev")))
-    exploded = df.select(F.col(key), F.explode(pairs).alias("_w")).select(
-        F.col(key), F.col("_w.word").alias("word"),
+    # one group per input row (per-row id), so repeated keys are not merged
+    rows = df.select(F.col(key), F.col(text_col)).withColumn("_rid", F.monotonically_increasing_id())
+    exploded = rows.select("_rid", F.col(key), F.explode(pairs).alias("_w")).select(
+        "_rid", F.col(key), F.col("_w.word").alias("word"),
         F.coalesce(F.col("_w.prev") == F.lit(negation), F.lit(False)).alias("_negated"))
     # left join: every row has at least one token, so every key reaches the
     # grouped mean and no join back to the input is needed
     scored = (exploded.join(lex, "word", "left")
               .withColumn("_v", F.when(F.col("_negated"), F.col("polarity") * F.lit(factor))
                           .otherwise(F.col("polarity"))))
-    return scored.groupBy(key).agg(
-        F.coalesce(F.sum("_v") / F.count("_v").cast("double"), F.lit(0.0)).alias("polarity"))
+    return scored.groupBy("_rid", key).agg(
+        F.coalesce(F.sum("_v") / F.count("_v").cast("double"), F.lit(0.0)).alias("polarity")).drop("_rid")
 
 
 # ---------------------------------------------------------------------------

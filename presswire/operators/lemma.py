@@ -40,8 +40,11 @@ def lemmatize_join(df: DataFrame, key: str, text_col: str, lemmas: DataFrame,
     put back in position order.  The regrouping is per row key, so a group is
     one document's tokens."""
     dim = checked_broadcast(lemmas.select("token", "lemma"), max_broadcast_rows)
-    toks = df.select(F.col(key), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), " "))
-                     .alias("pos", "token"))
-    joined = toks.join(dim, "token", "left").select(key, "pos", F.coalesce("lemma", "token").alias("w"))
-    regrouped = joined.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "w"))).alias("_ws"))
+    # group by a per-row id, not by ``key``: a group is exactly one row's
+    # tokens even when keys repeat (copies of a document)
+    rows = df.select(F.col(key), F.col(text_col)).withColumn("_rid", F.monotonically_increasing_id())
+    toks = rows.select("_rid", F.col(key), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), " "))
+                       .alias("pos", "token"))
+    joined = toks.join(dim, "token", "left").select("_rid", key, "pos", F.coalesce("lemma", "token").alias("w"))
+    regrouped = joined.groupBy("_rid", key).agg(F.sort_array(F.collect_list(F.struct("pos", "w"))).alias("_ws"))
     return regrouped.select(key, F.array_join(F.transform("_ws", lambda x: x["w"]), " ").alias("lemmatized"))
