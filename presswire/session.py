@@ -17,6 +17,9 @@ LOCAL_DEFAULTS = {
     "spark.ui.enabled": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # text rows can be large (whole articles / pages): keep Arrow batches for
+    # the keyword automaton and the HTML parser small enough for worker memory
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 
 
