@@ -118,7 +118,7 @@ def _forest_data(s, sf):
 
 def _forest(s, sf):
     data = _forest_data(s, sf)
-    return data, M.train_forest(data, trees=20)
+    return data, M.train_forest(data)
 
 
 register("cls_rf_train")(lambda s, sf: (lambda dm: M.forest_predict(dm[0], "text", dm[1], "predicted")
