@@ -109,14 +109,33 @@ def dated_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def workspace_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents -> workspace sheets (Heading, Body, Category, URL, Date, source)."""
+    """documents -> workspace rows (Heading, Body, Category, URL, Date, sheet, doc_id).
+
+    Every document goes to exactly one sheet: English documents with
+    ``doc_id % 5 == 0`` to the video sheet (show titles injected into some
+    headings), other English documents to the English sheet, the rest to the
+    native-script sheet.
+    """
     raw = raw_documents(spark, sf_dir)
+    doc = F.col("doc_id")
+    sheet = (F.when((F.col("category_from_url") == "en") & (doc % 5 == 0), F.lit("video"))
+             .when(F.col("category_from_url") == "en", F.lit("english")).otherwise(F.lit("native")))
+    heading = F.when((sheet == "video") & (doc % 3 == 0), F.concat(F.lit("Aaj Ki Baat: "), F.col("heading"))
+                     ).otherwise(F.col("heading"))
     return raw.select(
-        F.col("heading").alias("Heading"), F.col("body").alias("Body"),
+        heading.alias("Heading"), F.col("body").alias("Body"),
         F.col("category_from_url").alias("Category"), F.col("url").alias("URL"),
-        F.col("article_date").cast("string").alias("Date"), F.col("channel").alias("source"),
-        F.col("doc_id"),
-    )
+        F.col("article_date").cast("string").alias("Date"), sheet.alias("sheet"), doc.alias("doc_id"))
+
+
+def workspace_sheets(spark: SparkSession, sf_dir: str, english, native) -> list:
+    """The workspace sheets as (DataFrame, cleaner, filter_shows); the video
+    sheet carries an extra VideoText column."""
+    ws = workspace_sources(spark, sf_dir)
+    english_df = ws.where(F.col("sheet") == "english").drop("sheet")
+    native_df = ws.where(F.col("sheet") == "native").drop("sheet")
+    video_df = ws.where(F.col("sheet") == "video").drop("sheet").withColumn("VideoText", F.col("Heading"))
+    return [(english_df, english, False), (native_df, native, False), (video_df, english, True)]
 
 
 __all__ = ["gold_events", "raw_documents", "dated_pages", "workspace_sources", "event_polarity",

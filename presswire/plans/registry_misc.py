@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from presswire import constants as C
 from presswire.functions import scores as S
+from presswire.functions import text as T
 from presswire.operators import lemma as L
 from presswire.operators import models as M
 from presswire.operators.enrich import with_category
@@ -33,22 +34,31 @@ def scratch(spark, name: str) -> str:
 # --- workspace report --------------------------------------------------------------
 
 def results(spark, sf):
-    return R.workspace_results(FX.workspace_sources(spark, sf))
+    return R.workspace_results(FX.workspace_sheets(spark, sf, R.english_cleaner, T.clean_punjabi))
 
 
 def _ws_sql() -> str:
-    body = english_sql("split_part(coalesce(Body, 'None'), 'Edited By: ', 1)")
+    from presswire.plans.oracle import NONWORD
+    eng = english_sql("split_part(coalesce(Body, 'None'), 'Edited By: ', 1)")
+    nat_in = "split_part(coalesce(Body, 'None'), 'Edited By: ', 1)"
+    nat = (f"regexp_replace(translate(regexp_replace({nat_in}, '{NONWORD}', '', 'g'), '०१२३४५६७८९', "
+           f"'0123456789'), '\\p{{Nd}}+', '', 'g')")
     cat = (f"CASE WHEN Body IS NULL OR {strip('Body')} = '' THEN 'Politics' ELSE "
            f"{keyword_category_sql('Body', C.KEYWORD_MAP_SMALL)} END")
+    shows = " OR ".join(f"contains(Heading, '{t}')" for t in C.HINDI_SHOW_TITLES)
     return f"""WITH {raw_documents_cte()},
-_w0 AS (SELECT heading AS Heading, body AS Body, category_from_url AS Category, url AS URL,
-        CAST(article_date AS VARCHAR) AS Date, channel AS source, doc_id FROM raw),
+_w0 AS (SELECT CASE WHEN category_from_url = 'en' AND doc_id % 5 = 0 AND doc_id % 3 = 0
+               THEN 'Aaj Ki Baat: ' || heading ELSE heading END AS Heading, body AS Body,
+        category_from_url AS Category, url AS URL, CAST(article_date AS VARCHAR) AS Date, doc_id,
+        CASE WHEN category_from_url = 'en' AND doc_id % 5 = 0 THEN 'video'
+             WHEN category_from_url = 'en' THEN 'english' ELSE 'native' END AS sheet FROM raw),
 _w1 AS (SELECT * FROM _w0 WHERE (Body IS NULL OR TRY_CAST(Body AS DOUBLE) IS NULL)
         AND NOT coalesce(contains(lower(Heading), 'horoscope'), FALSE)
+        AND NOT (sheet = 'video' AND coalesce({shows}, FALSE))
         AND NOT coalesce(contains(lower(Body), 'dear subscriber'), FALSE)),
-_w2 AS (SELECT * REPLACE ({body} AS Body) FROM _w1),
+_w2 AS (SELECT * REPLACE (CASE WHEN sheet = 'native' THEN {nat} ELSE {eng} END AS Body) FROM _w1),
 _w3 AS (SELECT * FROM _w2 WHERE Heading IS NOT NULL AND Body IS NOT NULL AND Category IS NOT NULL
-        AND URL IS NOT NULL AND Date IS NOT NULL AND source IS NOT NULL AND doc_id IS NOT NULL AND Body != ''),
+        AND URL IS NOT NULL AND Date IS NOT NULL AND doc_id IS NOT NULL AND Body != ''),
 _w4 AS (SELECT * REPLACE ({cat} AS Category) FROM _w3),
 {sent_map_ctes('_w4', polarity_sql('Body'), 'Body', '_w5')},
 ws AS (SELECT Heading, Body, Category, {rnd(f'_pos * {d(100)}', 1)} AS Positive,

@@ -21,14 +21,16 @@ def english_cleaner(body):
     return T.remove_stopwords_ci(T.clean_english_base(body), T.english_stopwords())
 
 
-def workspace_results(sources: DataFrame, model=None, polarity=None) -> DataFrame:
-    """txt_merge_sources + scoring: one frame of all sources (``source`` column
-    names the sheet; the Hindi video source gets the show-title filter;
-    the Punjabi source the Punjabi cleaner)."""
-    parts = []
-    for name, cleaner, shows in (("english", english_cleaner, False),):
-        del name
-        parts.append(workspace_clean(sources, cleaner, filter_shows=shows))
+def workspace_results(sheets, model=None, polarity=None) -> DataFrame:
+    """txt_merge_sources + scoring.
+
+    ``sheets`` is a list of (DataFrame, cleaner, filter_shows): each sheet is
+    cleaned on its own (type filter, markers, its language cleaner, dropna),
+    then all are merged by an outer union by name (a sheet may carry extra
+    columns such as VideoText), NULL headings and empty bodies dropped, and
+    the merged rows scored and classified.
+    """
+    parts = [workspace_clean(df, cleaner, shows) for df, cleaner, shows in sheets]
     merged = merge_sources(parts)
     pol = polarity if polarity is not None else lexicon_polarity(F.col("Body"))
     scored = with_sentiment(merged, pol, "Body")
