@@ -216,13 +216,20 @@ register("load_bronze")(_load_bronze)
 
 
 def _ddl(s, sf):
+    """Create the database and the three layer tables, load the events-derived
+    gold rows into the gold table's location, and query through the catalog."""
     layers = P.Layers(scratch(s, "ddl"))
     db = "presswire_" + uuid.uuid4().hex[:8]
     layers.create_tables(s, db)
-    return s.sql(f"SHOW TABLES IN {db}").select("tableName")
+    gold = FX.gold_events(s, sf).select(*P.GOLD_COLUMNS, F.current_timestamp().alias("processed_at"))
+    P.write_layer(gold, layers.path("gold"))
+    s.sql(f"REFRESH TABLE {db}.gold_articles")
+    s.sql(f"MSCK REPAIR TABLE {db}.gold_articles")
+    return s.table(f"{db}.gold_articles").groupBy("article_date").agg(F.count(F.lit(1)).alias("articles"))
 
 
-register("ddl_tables")(_ddl)
+register("ddl_tables", __import__("presswire.plans.oracle", fromlist=["with_gold"]).with_gold(
+    "SELECT article_date, CAST(count(*) AS BIGINT) AS articles FROM gold GROUP BY article_date"))(_ddl)
 
 
 def _stream(s, sf):
@@ -249,7 +256,27 @@ def _sinks(s, sf):
 
 
 register("snk_results")(_sinks)
-register("src_label_map")(lambda s, sf: files.read_label_map(s, None))
+def _label_map(s, sf):
+    """Write a tab-separated label map for the label ids present in ``embeddings``
+    (names by id from the fixed list, others "label_<id>"), read it back with
+    the label-map source and name every vector's label with it."""
+    from presswire.operators.joins import checked_broadcast
+    emb = read_table(s, sf, "embeddings")
+    names = F.array(*[F.lit(x) for x in C.SENTIMENT_LABELS])
+    ids = emb.select(F.col("label").alias("id")).distinct()
+    name = F.coalesce(F.try_element_at(names, F.col("id") + F.lit(1)),
+                      F.concat(F.lit("label_"), F.col("id").cast("string")))
+    path = scratch(s, "label-map")
+    ids.select(F.concat_ws("\t", F.col("id").cast("string"), name)).write.text(path)
+    labels = files.read_label_map(s, path).select(F.col("id").alias("label_id"), F.col("label").alias("label_name"))
+    return (emb.select("vec_id", F.col("label").alias("label_id"))
+            .join(checked_broadcast(labels, 100_000), "label_id", "left"))
+
+
+register("src_label_map",
+         "SELECT vec_id, label AS label_id, coalesce(CASE label " + " ".join(
+             f"WHEN {i} THEN '{x}'" for i, x in enumerate(C.SENTIMENT_LABELS))
+         + " END, 'label_' || CAST(label AS VARCHAR)) AS label_name FROM embeddings")(_label_map)
 register("src_multi_source")(lambda s, sf: (lambda found: found["documents"].select("Heading", "Body", "source"))(
     files.read_sources(s, {"documents": table_path(sf, "documents"), "missing": table_path(sf, "nope")},
                        required=("text",)) and {"documents": read_table(s, sf, "documents").select(
@@ -261,3 +288,27 @@ register("api_scalar", "SELECT CAST(count(*) AS BIGINT) AS total FROM events WHE
                    s.sql("SELECT count(*) AS total FROM events_v WHERE event_type = :t", args={"t": "click"}))[1])
 
 __all__ = ["S", "strlist"]
+
+
+def _add_twins() -> None:
+    """SQL twins for the round-trip / load queries whose output is fully determined by the data."""
+    from presswire.plans.oracle import gold_documents_ctes, silver_ctes
+    from presswire.plans.registry import ORACLE
+    raw_str = (f"WITH {raw_documents_cte()} SELECT heading, body, category_from_url, url, channel, "
+               "CAST(article_date AS VARCHAR) AS article_date FROM raw")
+    ORACLE["src_csv_raw"] = raw_str
+    ORACLE["snk_csv_quoted"] = raw_str
+    ORACLE["load_bronze"] = (f"WITH {raw_documents_cte()} SELECT heading, body, category_from_url, url, channel, "
+                             "article_date FROM raw")
+    gold_sql = (f"WITH {gold_documents_ctes()} SELECT heading, body_cleaned, url, channel, article_date, category, "
+                "positive_score, negative_score, neutral_score, sentiment_label, ministry, is_negative_alert "
+                "FROM gold_docs")
+    for name in ("pipeline_daily", "inc_bronze", "inc_gold"):
+        ORACLE[name] = gold_sql
+    ORACLE["inc_silver"] = (f"WITH {silver_ctes()} SELECT heading, body_original, body_cleaned, category_from_url, "
+                            "url, channel, article_date FROM silver")
+    ORACLE["src_multi_source"] = ("SELECT split_part(text, '.', 1) AS Heading, text AS Body, "
+                                  "'documents' AS source FROM documents")
+
+
+_add_twins()

@@ -40,6 +40,8 @@ def write_raw_csv(df: DataFrame, path: str) -> None:
     """snk_csv_quoted: every field quoted, header, UTF-8; a rerun replaces the day's output."""
     (df.select(*[F.col(c).cast("string") for c in RAW_COLUMNS]).write.mode("overwrite")
      .option("header", True).option("quoteAll", True).option("escape", '"').option("encoding", "UTF-8")
+     # the writer trims fields by default; the raw text must round-trip exactly
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
      .csv(path))
 
 
