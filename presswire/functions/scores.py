@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from presswire import constants as C
+from presswire.functions.text import is_blank
 
 
 def round_half_up(c: Column, digits: int) -> Column:
@@ -54,7 +55,8 @@ def sent_map(polarity: Column, text: Column | None = None) -> Column:
     )
     if text is None:
         return out
-    blank = text.isNull() | (F.regexp_replace(text, r"[\t-\r\x{1c}-\x{1f}\x{85}\p{Z}]", "") == F.lit(""))
+    # blank = NULL or only whitespace: a trim from both ends, not a regex pass over the text
+    blank = is_blank(text)
     neutral = F.struct(F.lit(0.0).alias("positive_score"), F.lit(0.0).alias("negative_score"),
                        F.lit(1.0).alias("neutral_score"), F.lit("neutral").alias("sentiment_label"))
     return F.when(blank, neutral).otherwise(out)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from presswire import constants as C
 from presswire.functions import scores as S
 from presswire.operators.enrich import ministry_of
-from presswire.sources.tables import read_table
+from presswire.sources.tables import read_table, spread
 
 # Category by user_id % 10 (fixture rule, not a reference value).
 EVENT_CATEGORIES = ["Sports", "Politics", "Business", "Technology", "Entertainment",
@@ -69,7 +69,7 @@ def gold_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents -> raw article rows (all strings but doc_id; article_date as DATE)."""
-    d = read_table(spark, sf_dir, "documents")
+    d = spread(read_table(spark, sf_dir, "documents"), "doc_id")
     doc = F.col("doc_id")
     pick = lambda arr, m: F.element_at(F.array(*[F.lit(x) for x in arr]),
                                        (doc % F.lit(m)).cast("int") + F.lit(1))
@@ -92,7 +92,7 @@ def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dated_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pages -> pages with one publish-date form injected per page_id % 6."""
-    p = read_table(spark, sf_dir, "pages")
+    p = spread(read_table(spark, sf_dir, "pages"), "page_id")
     pid = F.col("page_id")
     d = F.date_add(F.lit("2024-01-01").cast("date"), (pid % F.lit(PAGE_DAYS)).cast("int")).cast("string")
     k = (pid % F.lit(6)).cast("int")
