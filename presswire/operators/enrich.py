@@ -296,11 +296,14 @@ def enrich_gold(silver: DataFrame, polarity: Column | None = None,
                 keyword_map: Mapping[str, list[str]] | None = None,
                 ministry_map: Mapping[str, str] | None = None,
                 lexicon: Mapping[str, float] | None = None,
-                stamp: bool = True) -> DataFrame:
+                stamp: bool = True, columns: list[str] | None = None) -> DataFrame:
     """enr_gold: silver rows -> gold rows in one projection.
 
     ``polarity`` may be any Column (e.g. a model hook); by default the
-    inline lexicon scorer runs on ``body_cleaned``.
+    inline lexicon scorer runs on ``body_cleaned``.  ``columns`` selects the
+    output columns before the compute_once boundary, which carries every
+    column it is given: a caller that only needs the scores names them, and
+    the classifier (only ``category`` / ``ministry`` need it) is pruned away.
     """
     text = F.col("body_cleaned")
     pol = polarity if polarity is not None else lexicon_polarity(text, lexicon)
@@ -321,4 +324,6 @@ def enrich_gold(silver: DataFrame, polarity: Column | None = None,
     )
     if stamp:
         out = out.withColumn("processed_at", F.current_timestamp())
+    if columns is not None:
+        out = out.select(*columns)
     return compute_once(out)

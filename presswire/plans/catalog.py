@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from presswire import constants as C
 from presswire.functions import scores as S
-from presswire.operators.rules import nonblank
+from presswire.operators.rules import compute_once, nonblank
 
 LABELS = ["positive", "negative", "neutral"]
 
@@ -358,7 +358,7 @@ def agg_compare(gold: DataFrame, channels: str, category=None) -> DataFrame:
     unbounded group into one task.
     """
     df = flt_opt_category(flt_in_list(gold, channels), category)
-    return prj_compare_cols(df).orderBy("channel", F.desc("article_date"), "url")
+    return ordered(prj_compare_cols(df), "channel", F.desc("article_date"), "url")
 
 
 def agg_channel_total(channel_sentiment: DataFrame) -> DataFrame:
@@ -471,13 +471,24 @@ def win_day_over_day(daily_volume: DataFrame) -> DataFrame:
 # 2.6 sort, limit, top-k, paging
 # ---------------------------------------------------------------------------
 
+
+def ordered(df: DataFrame, *order) -> DataFrame:
+    """orderBy on materialised columns.
+
+    A sort key that is a computed column (a score, a concatenated url) would
+    otherwise be inlined into the sort / top-k comparator and re-evaluated on
+    every comparison; the compute_once boundary evaluates each column once
+    per row first.  Filters applied before this still reach the scan.
+    """
+    return compute_once(df).orderBy(*order)
+
 def sort_column(sort_by: str | None) -> str:
     """sort_whitelist: allowed columns, anything else -> article_date."""
     return sort_by if sort_by in C.ALLOWED_SORT else C.DEFAULT_SORT
 
 
 def sort_whitelist(df: DataFrame, sort_by: str | None) -> DataFrame:
-    return df.orderBy(F.desc(sort_column(sort_by)), "url")
+    return ordered(df, F.desc(sort_column(sort_by)), "url")
 
 
 def validate_page(page: int, per_page: int) -> None:
@@ -492,7 +503,7 @@ def page_offset(gold: DataFrame, page: int = 1, per_page: int = C.API_DEFAULT_PE
     single TakeOrderedAndProject (no full sort)."""
     validate_page(page, per_page)
     df = flt_search(flt_conj_eq(gold, channel, category, sentiment, date), search, literal_search)
-    return (prj_article_cols(df).orderBy(F.desc(sort_column(sort_by)), "url")
+    return (ordered(prj_article_cols(df), F.desc(sort_column(sort_by)), "url")
             .offset((page - 1) * per_page).limit(per_page))
 
 
@@ -508,8 +519,8 @@ def page_info(gold: DataFrame, page: int = 1, per_page: int = C.API_DEFAULT_PER_
 
 
 def topk_alerts(gold: DataFrame, date=None, k: int = 5) -> DataFrame:
-    return (flt_alert(flt_date(gold, date)).select(*ALERT_COLUMNS)
-            .orderBy(F.desc("negative_score"), "url").limit(k))
+    return ordered(flt_alert(flt_date(gold, date)).select(*ALERT_COLUMNS),
+                   F.desc("negative_score"), "url").limit(k)
 
 
 def sort_alerts(gold: DataFrame, as_of) -> DataFrame:
@@ -517,7 +528,7 @@ def sort_alerts(gold: DataFrame, as_of) -> DataFrame:
     return (flt_alert(flt_rel_date(gold, as_of))
             .select("heading", "channel", "article_date", "ministry",
                     S.pct(F.col("negative_score")).alias("neg_pct"), "url", "negative_score")
-            .orderBy(F.desc("negative_score"), "url").drop("negative_score"))
+            .transform(lambda d: ordered(d, F.desc("negative_score"), "url")).drop("negative_score"))
 
 
 def sort_results(gold: DataFrame, as_of) -> DataFrame:
@@ -527,7 +538,7 @@ def sort_results(gold: DataFrame, as_of) -> DataFrame:
                     S.pct(F.col("positive_score")).alias("pos_pct"),
                     S.pct(F.col("negative_score")).alias("neg_pct"),
                     S.pct(F.col("neutral_score")).alias("neu_pct"), "ministry", "url", "negative_score")
-            .orderBy(F.desc("negative_score"), "url").drop("negative_score"))
+            .transform(lambda d: ordered(d, F.desc("negative_score"), "url")).drop("negative_score"))
 
 
 def head_panels(panel: DataFrame, key: str, n: int) -> DataFrame:
@@ -536,7 +547,7 @@ def head_panels(panel: DataFrame, key: str, n: int) -> DataFrame:
 
 
 def sort_compare(df: DataFrame) -> DataFrame:
-    return df.orderBy("channel", F.desc("article_date"), "url")
+    return ordered(df, "channel", F.desc("article_date"), "url")
 
 
 def sort_client(df: DataFrame, field: str, ascending: bool = True) -> DataFrame:
@@ -544,7 +555,7 @@ def sort_client(df: DataFrame, field: str, ascending: bool = True) -> DataFrame:
     dtype = dict(df.dtypes)[field]
     key = F.lower(F.col(field)) if dtype == "string" else F.col(field)
     key = key.asc() if ascending else key.desc()
-    return df.orderBy(key, "url")
+    return ordered(df, key, "url")
 
 
 def page_client(df: DataFrame, page: int, field: str = "article_date", ascending: bool = False,
@@ -554,7 +565,7 @@ def page_client(df: DataFrame, page: int, field: str = "article_date", ascending
     dtype = dict(df.dtypes)[field]
     key = F.lower(F.col(field)) if dtype == "string" else F.col(field)
     key = key.asc() if ascending else key.desc()
-    return df.orderBy(key, "url").offset((page - 1) * size).limit(size)
+    return ordered(df, key, "url").offset((page - 1) * size).limit(size)
 
 
 def sample_head(df: DataFrame, n: int) -> DataFrame:

@@ -129,8 +129,8 @@ register("clean_text", with_raw(
 register("concat_positional", with_gold_docs(
     "SELECT url, category, positive_score, negative_score, neutral_score, sentiment_label, ministry, "
     "is_negative_alert FROM gold_docs"))(
-    lambda s, sf: gold_docs(s, sf).select("url", "category", "positive_score", "negative_score", "neutral_score",
-                                          "sentiment_label", "ministry", "is_negative_alert"))
+    lambda s, sf: gold_docs(s, sf, columns=["url", "category", "positive_score", "negative_score", "neutral_score",
+                                            "sentiment_label", "ministry", "is_negative_alert"]))
 
 # --- scans and the SQL API ---------------------------------------------------------------
 register("scan_by_date", with_gold(f"SELECT {GOLD_COLS} FROM gold WHERE article_date = DATE '{DAY}'"))(

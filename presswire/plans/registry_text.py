@@ -27,8 +27,8 @@ def silver(spark, sf):
     return R.silver_rules(FX.raw_documents(spark, sf))
 
 
-def gold_docs(spark, sf):
-    return E.enrich_gold(silver(spark, sf), stamp=False)
+def gold_docs(spark, sf, columns=None):
+    return E.enrich_gold(silver(spark, sf), stamp=False, columns=columns)
 
 
 def with_raw(sql: str) -> str:
@@ -178,7 +178,8 @@ register("sent_map", with_silver(
     lambda s, sf: E.with_sentiment(silver(s, sf), E.lexicon_polarity(F.col("body_cleaned")), "body_cleaned")
     .select("doc_id", "_s.*", S.sent_alert(F.col("_s.negative_score")).alias("is_negative_alert")))
 register("sent_alert", with_gold_docs("SELECT url, negative_score FROM gold_docs WHERE is_negative_alert"))(
-    lambda s, sf: gold_docs(s, sf).where(S.sent_alert(F.col("negative_score"))).select("url", "negative_score"))
+    lambda s, sf: gold_docs(s, sf, columns=["url", "negative_score"]).where(
+        S.sent_alert(F.col("negative_score"))))
 register("enr_gold", with_gold_docs(f"SELECT {GOLD_DOC_COLS} FROM gold_docs"))(gold_docs)
 register("append_gold", with_gold_docs(f"SELECT {GOLD_DOC_COLS} FROM gold_docs"))(
     lambda s, sf: gold_docs(s, sf).select(*E.GOLD_COLUMNS))
@@ -192,7 +193,8 @@ register("join_ministry", with_silver(
 
 
 def _flagship(s, sf):
-    return Q.agg_channel_stats(gold_docs(s, sf))
+    return Q.agg_channel_stats(gold_docs(s, sf, columns=[
+        "channel", "positive_score", "negative_score", "neutral_score", "is_negative_alert"]))
 
 
 register("flagship_channel_stats", with_gold_docs(
