@@ -246,7 +246,7 @@ def with_sentiment(df: DataFrame, polarity: Column, text_col: str, out_col: str
     into every reference.
     """
     staged = df.withColumn("_pol", polarity)
-    return staged.withColumn(out_col, S.sent_map(F.col("_pol"), F.col(text_col))).drop("_pol")
+    return S.with_sent_map(staged, F.col("_pol"), F.col(text_col), out_col).drop("_pol")
 
 
 def lexicon_dim(spark, lexicon: Mapping[str, float] | None = None) -> DataFrame:

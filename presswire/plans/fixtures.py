@@ -52,10 +52,10 @@ def gold_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type").alias("channel"),
         F.col("ts").cast("date").alias("article_date"),
         cat.alias("category"),
-        S.sent_map(event_polarity(F.col("value"))).alias("_s"),
+        event_polarity(F.col("value")).alias("_pol"),
         F.col("ts").alias("processed_at"),
     )
-    return base.select(
+    return S.with_sent_map(base, F.col("_pol")).select(
         "heading", "body_cleaned", "url", "channel", "article_date", "category",
         F.col("_s.positive_score").alias("positive_score"),
         F.col("_s.negative_score").alias("negative_score"),
