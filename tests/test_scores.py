@@ -56,3 +56,17 @@ def test_band_and_label_default(spark):
     rows = df.select(S.sentiment_band(F.col("a")).alias("b"), S.label_default(F.col("l")).alias("l")).collect()
     assert [r.b for r in rows] == ["green", "amber", "red"]
     assert [r.l for r in rows] == ["positive", "neutral", "neutral"]
+
+
+def test_staged_sent_map_equals_single_column(spark):
+    """with_sent_map (staged projections) is bit-identical to sent_map (one Column),
+    including polarities outside [-1, 1], thresholds, NULL and blank text."""
+    grid = [i / 1000.0 for i in range(-1500, 1501, 7)] + [0.1, -0.1, 0.0, 1.0, -1.0, None]
+    texts = ["some text", "", " \t ", None]
+    rows = [(i, p, texts[i % len(texts)]) for i, p in enumerate(grid)]
+    df = spark.createDataFrame(rows, "id int, p double, t string")
+    one = df.select("id", S.sent_map(F.col("p"), F.col("t")).alias("s")).select("id", "s.*")
+    staged = S.with_sent_map(df, F.col("p"), F.col("t")).select("id", "_s.*")
+    assert staged.columns == one.columns
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, staged.collect()))
+    assert one.exceptAll(staged).count() == 0 and staged.exceptAll(one).count() == 0
