@@ -56,11 +56,15 @@ def nonblank(c: Column) -> Column:
 
 
 def silver_rules(raw: DataFrame, stopwords: list[str] | None = None,
-                 contractions: list[tuple[str, str]] | None = None) -> DataFrame:
+                 contractions: list[tuple[str, str]] | None = None,
+                 columns: list[str] | None = None) -> DataFrame:
     """Bronze/raw rows -> silver rows (without the load stamp).
 
     horoscope headings out; body cut before "Edited By:"; "dear subscriber"
     out; stripped body > 50 chars; clean; cleaned body > 10 chars.
+    ``columns`` selects the output before the compute_once boundary (which
+    carries every column it is given), e.g. ``["doc_id", "body_cleaned"]``
+    leaves the original body text out of it.
     """
     cut = raw.where(not_horoscope(F.col("heading"))).withColumn(
         "body", T.before_marker(F.col("body"), C.EDITED_BY_SILVER))
@@ -68,7 +72,11 @@ def silver_rules(raw: DataFrame, stopwords: list[str] | None = None,
     others = [c for c in raw.columns if c != "body"]
     cleaned = kept.select(*others, F.col("body").alias("body_original"),
                           T.clean_silver(F.col("body"), stopwords, contractions).alias("body_cleaned"))
-    return where_computed(cleaned, "body_cleaned", clean_longer_than)
+    if columns is None:
+        return where_computed(cleaned, "body_cleaned", clean_longer_than)
+    out = where_computed(cleaned.select(*dict.fromkeys([*columns, "body_cleaned"])), "body_cleaned",
+                         clean_longer_than)
+    return out.select(*columns)
 
 
 def compute_once(df: DataFrame) -> DataFrame:

@@ -103,14 +103,14 @@ register("join_lemma", with_silver(
     "string_split(body_cleaned, ' ') AS toks FROM silver) "
     "SELECT doc_id, string_agg(coalesce(_lt.lemma, toks[pos]), ' ' ORDER BY pos) AS lemmatized "
     "FROM _tk LEFT JOIN _lt ON _lt.token = toks[pos] GROUP BY doc_id"))(
-    lambda s, sf: L.lemmatize_join(silver(s, sf), "doc_id", "body_cleaned", L.lemma_dim(s)))
+    lambda s, sf: L.lemmatize_join(silver(s, sf, ["doc_id", "body_cleaned"]), "doc_id", "body_cleaned", L.lemma_dim(s)))
 register("join_lemma_inline", with_silver(
     f", _lt AS (SELECT * FROM (VALUES {_LEMMA_VALUES}) AS t(token, lemma)), "
     "_tk AS (SELECT doc_id, unnest(generate_series(1, len(string_split(body_cleaned, ' ')))) AS pos, "
     "string_split(body_cleaned, ' ') AS toks FROM silver) "
     "SELECT doc_id, string_agg(coalesce(_lt.lemma, toks[pos]), ' ' ORDER BY pos) AS lemmatized "
     "FROM _tk LEFT JOIN _lt ON _lt.token = toks[pos] GROUP BY doc_id"))(
-    lambda s, sf: silver(s, sf).select("doc_id", L.lemmatize_inline(F.col("body_cleaned")).alias("lemmatized")))
+    lambda s, sf: silver(s, sf, ["doc_id", "body_cleaned"]).select("doc_id", L.lemmatize_inline(F.col("body_cleaned")).alias("lemmatized")))
 
 # --- model hooks and forest (rows-only) --------------------------------------------------
 register("sent_model")(

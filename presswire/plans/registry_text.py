@@ -23,12 +23,18 @@ def raw(spark, sf):
     return FX.raw_documents(spark, sf)
 
 
-def silver(spark, sf):
-    return R.silver_rules(FX.raw_documents(spark, sf))
+def silver(spark, sf, columns=None):
+    return R.silver_rules(FX.raw_documents(spark, sf), columns=columns)
+
+
+TEXT = ["doc_id", "body_cleaned"]
 
 
 def gold_docs(spark, sf, columns=None):
-    return E.enrich_gold(silver(spark, sf), stamp=False, columns=columns)
+    # gold reads these silver columns only; naming them keeps the original
+    # body text out of silver's compute_once boundary
+    base = ["heading", "body_cleaned", "url", "channel", "article_date"]
+    return E.enrich_gold(silver(spark, sf, base), stamp=False, columns=columns)
 
 
 def with_raw(sql: str) -> str:
@@ -68,7 +74,7 @@ register("flt_min_extract", with_raw(
     f"SELECT doc_id FROM raw WHERE coalesce(length(body) >= {C.MIN_BODY_CHARS}, FALSE)"))(
     lambda s, sf: raw(s, sf).where(R.min_extract_len(F.col("body"))).select("doc_id"))
 register("flt_clean_len", with_silver(f"SELECT doc_id, body_cleaned FROM silver"))(
-    lambda s, sf: silver(s, sf).select("doc_id", "body_cleaned"))
+    lambda s, sf: silver(s, sf, TEXT))
 register("append_silver", with_silver(f"SELECT {SILVER_COLS} FROM silver"))(
     lambda s, sf: silver(s, sf).select(*SILVER_COLS.split(", ")))
 register("flt_text_typed", with_raw(
@@ -154,7 +160,7 @@ register("fn_strings", with_raw(
 
 # --- classification, polarity, enrichment ----------------------------------------------
 register("cls_keyword", with_silver(f"SELECT doc_id, {keyword_category_sql('body_cleaned')} AS category FROM silver"))(
-    lambda s, sf: E.with_category(silver(s, sf), "body_cleaned").select("doc_id", "category"))
+    lambda s, sf: E.with_category(silver(s, sf, TEXT), "body_cleaned").select("doc_id", "category"))
 register("cls_keyword_small", with_raw(
     f"SELECT doc_id, {keyword_category_sql('body', C.KEYWORD_MAP_SMALL)} AS category FROM raw"))(
     lambda s, sf: E.with_category(raw(s, sf), "body", keyword_map=C.KEYWORD_MAP_SMALL).select("doc_id", "category"))
@@ -166,11 +172,11 @@ register("cls_blank", with_raw(
     .select("doc_id", E.classify_blank_default(F.col("t"), E.classify_keywords(F.col("t"), C.KEYWORD_MAP_SMALL))
             .alias("category")))
 register("join_keyword", with_silver(f"SELECT doc_id, {keyword_category_sql('body_cleaned')} AS category FROM silver"))(
-    lambda s, sf: E.classify_keywords_join(silver(s, sf), "doc_id", "body_cleaned", E.keyword_dim(s)))
+    lambda s, sf: E.classify_keywords_join(silver(s, sf, TEXT), "doc_id", "body_cleaned", E.keyword_dim(s)))
 register("sent_polarity", with_silver(f"SELECT doc_id, {polarity_sql('body_cleaned')} AS polarity FROM silver"))(
-    lambda s, sf: silver(s, sf).select("doc_id", E.lexicon_polarity(F.col("body_cleaned")).alias("polarity")))
+    lambda s, sf: silver(s, sf, TEXT).select("doc_id", E.lexicon_polarity(F.col("body_cleaned")).alias("polarity")))
 register("join_lexicon", with_silver(f"SELECT doc_id, {polarity_sql('body_cleaned')} AS polarity FROM silver"))(
-    lambda s, sf: E.join_lexicon(silver(s, sf), "doc_id", "body_cleaned", E.lexicon_dim(s)))
+    lambda s, sf: E.join_lexicon(silver(s, sf, TEXT), "doc_id", "body_cleaned", E.lexicon_dim(s)))
 register("sent_map", with_silver(
     f", _sm AS (SELECT doc_id, body_cleaned FROM silver), {sent_map_ctes('_sm', polarity_sql('body_cleaned'), 'body_cleaned', '_smo')} "
     f"SELECT doc_id, _pos AS positive_score, _neg AS negative_score, _neu AS neutral_score, "
