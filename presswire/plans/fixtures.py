@@ -67,9 +67,14 @@ def gold_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents -> raw article rows (all strings but doc_id; article_date as DATE)."""
-    d = spread(read_table(spark, sf_dir, "documents"), "doc_id")
+def raw_documents(spark: SparkSession, sf_dir: str, spread_rows: bool = True) -> DataFrame:
+    """documents -> raw article rows (all strings but doc_id; article_date as DATE).
+
+    ``spread_rows=False`` for callers that never touch the text (keys, dates):
+    they have no per-row work worth a spread.
+    """
+    d = read_table(spark, sf_dir, "documents")
+    d = spread(d, "doc_id") if spread_rows else d
     doc = F.col("doc_id")
     pick = lambda arr, m: F.element_at(F.array(*[F.lit(x) for x in arr]),
                                        (doc % F.lit(m)).cast("int") + F.lit(1))

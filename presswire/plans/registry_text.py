@@ -23,6 +23,11 @@ def raw(spark, sf):
     return FX.raw_documents(spark, sf)
 
 
+def raw_keys(spark, sf):
+    """raw rows for queries that never read the text: no spread exchange."""
+    return FX.raw_documents(spark, sf, spread_rows=False)
+
+
 def silver(spark, sf, columns=None):
     return R.silver_rules(FX.raw_documents(spark, sf), columns=columns)
 
@@ -219,10 +224,10 @@ register("agg_layer_daily_bronze", with_raw(
     lambda s, sf: Q.agg_layer_daily(raw(s, sf)))
 register("anti_loaded_date", f"WITH {raw_documents_cte()}, {gold_events_ctes()}\n"
          "SELECT doc_id, article_date FROM raw WHERE article_date NOT IN (SELECT DISTINCT article_date FROM gold)")(
-    lambda s, sf: anti_loaded_keys(raw(s, sf), FX.gold_events(s, sf), ["article_date"]).select("doc_id", "article_date"))
+    lambda s, sf: anti_loaded_keys(raw_keys(s, sf), FX.gold_events(s, sf), ["article_date"]).select("doc_id", "article_date"))
 register("set_union_sources", f"WITH {raw_documents_cte()}, {gold_events_ctes()}\n"
          "SELECT url, channel, article_date FROM raw UNION ALL SELECT url, channel, article_date FROM gold")(
-    lambda s, sf: Q.set_union_sources([raw(s, sf).select("url", "channel", "article_date"),
+    lambda s, sf: Q.set_union_sources([raw_keys(s, sf).select("url", "channel", "article_date"),
                                        FX.gold_events(s, sf).select("url", "channel", "article_date")]))
 register("set_union_outer", f"WITH {raw_documents_cte()}, {gold_events_ctes()}\n"
          "SELECT url, channel, heading, NULL::VARCHAR AS category FROM raw UNION ALL "
@@ -232,5 +237,5 @@ register("set_union_outer", f"WITH {raw_documents_cte()}, {gold_events_ctes()}\n
 register("set_dedupe_url", with_raw(
     "SELECT url, min(article_date) AS article_date FROM (SELECT regexp_replace(url, '/[0-9]+$', '') AS url, "
     "article_date FROM raw) GROUP BY url"))(
-    lambda s, sf: Q.set_dedupe_url(raw(s, sf).select(F.regexp_replace("url", "/[0-9]+$", "").alias("url"),
+    lambda s, sf: Q.set_dedupe_url(raw_keys(s, sf).select(F.regexp_replace("url", "/[0-9]+$", "").alias("url"),
                                                      "article_date")))
