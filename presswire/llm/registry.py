@@ -66,3 +66,17 @@ def op4(spark, sf_dir):
     from presswire.llm.secrets import scan_secrets
     return scan_secrets(common.documents(spark, sf_dir)).select(
         "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_crf")
+
+
+@query("op2_surrogates")
+def op2(spark, sf_dir):
+    from presswire.llm.surrogates import replace_private
+    return replace_private(common.documents(spark, sf_dir)).select(
+        "doc_id", "text", "n_email", "n_ip", "n_ssn", "n_phone", "n_card", "n_name")
+
+
+@query("op1_nn_descent")
+def op1(spark, sf_dir):
+    from presswire.llm.nndescent import near_vectors
+    from presswire.sources.tables import read_table
+    return near_vectors(read_table(spark, sf_dir, "embeddings"))
