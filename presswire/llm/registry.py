@@ -80,3 +80,9 @@ def op1(spark, sf_dir):
     from presswire.llm.nndescent import near_vectors
     from presswire.sources.tables import read_table
     return near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
+@query("op6_phrase_automata")
+def op6(spark, sf_dir):
+    from presswire.llm.passages import repeated_passages
+    return repeated_passages(common.documents(spark, sf_dir))
