@@ -45,7 +45,11 @@ KINDS = {
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
     "name": rf"(?<![\p{{L}}]){_TITLED}\.? {_WORD}(?: {_WORD})?|(?<![\p{{L}}]){_KNOWN} {_WORD}",
 }
-ANY = "|".join(f"(?:{p})" for p in KINDS.values())
+#: First characters of names, so that other places are passed over at once.
+_INITIALS = "[" + "".join(sorted({w[0] for words in (*TITLES.values(), *GIVEN.values()) for w in words})) + "]"
+NAME = f"(?={_INITIALS})(?:{KINDS['name']})"
+ANY = "|".join([f"(?:{KINDS['email']})", "(?=[0-9+(])(?:" + "|".join(
+    f"(?:{KINDS[k]})" for k in ("ip", "ssn", "phone", "card")) + ")", NAME])
 
 
 def _kind(match: Column) -> Column:
@@ -231,7 +235,9 @@ def replace_private(docs: DataFrame, key: str = KEY) -> DataFrame:
     tune(docs.sparkSession)
     counts = [f"n_{k}" for k in KINDS]
     docs = docs.drop(*counts)
-    has = F.coalesce(F.regexp_like(F.col("text"), F.lit(ANY)), F.lit(False))
+    # cheap tests first: without a digit or an @ only a name can be there
+    maybe = F.col("text").contains("@") | F.regexp_like("text", F.lit("[0-9]")) | F.regexp_like("text", F.lit(NAME))
+    has = F.coalesce(maybe & F.regexp_like(F.col("text"), F.lit(ANY)), F.lit(False))
     hit = stored(docs.where(has).withColumn("_id", F.sha2(F.col("text"), 256)), "op2")
     found = F.regexp_extract_all("text", F.lit(ANY), 0)
     mentions = (hit.groupBy("_id").agg(F.first("text").alias("text")).select("_id", found.alias("_m"))
