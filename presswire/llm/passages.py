@@ -13,6 +13,8 @@ WINDOW = 20
 ANCHOR = 8
 #: Occurrences of candidate windows that one shard's automaton and pieces stand for, about.
 SHARD_WINDOWS = 150_000
+#: Shards up to which the table of hot ones is broadcast.
+MOST_BROADCAST = 100_000
 #: Bits of a place in a document (words); the document's number stands above them.
 PLACE_BITS = 29
 
@@ -85,10 +87,10 @@ def _split(words, counts):
 
 
 def letters(words) -> str:
-    """One character for each word (of 55 295): what the automata read."""
+    """One character of two bytes for each word (of 1 920): what the automata read."""
     import numpy as np
 
-    return (words % np.uint64(0xD7FF) + np.uint64(1)).astype("<u2").tobytes().decode("utf-16-le")
+    return (words % np.uint64(1920) + np.uint64(128)).astype("<u2").tobytes().decode("utf-16-le")
 
 
 # --- jobs ---------------------------------------------------------------------------
@@ -143,7 +145,7 @@ def candidate_windows(texts: DataFrame, n_shards) -> DataFrame:
 
 
 def candidate_pieces(texts: DataFrame, n_shards) -> DataFrame:
-    """(shard, place, word, h1, h2): for each recurring anchor the stretch of words of the windows it stands for."""
+    """(shard, place, words, h1): for each recurring anchor the stretch of words of the windows it stands for."""
     def pieces(frames):
         import numpy as np
         import pandas as pd
@@ -151,11 +153,10 @@ def candidate_pieces(texts: DataFrame, n_shards) -> DataFrame:
         for pdf in frames:
             raws = [t.encode("utf-8", "replace") for t in pdf["text"]]
             one, counts, *_ = word_hashes(raws)
-            two = word_hashes(raws, 1)[0]
-            out = {"shard": [], "place": [], "words": [], "h1": [], "h2": []}
-            for num, at, w, v in zip(pdf["num"].tolist(), pdf["at"], _split(one, counts), _split(two, counts), strict=True):
+            out = {"shard": [], "place": [], "words": [], "h1": []}
+            for num, at, w in zip(pdf["num"].tolist(), pdf["at"], _split(one, counts), strict=True):
                 chosen, h = chosen_anchors(w)
-                a, b = run_hashes(w, WINDOW).view(np.int64), run_hashes(v, WINDOW, 1).view(np.int64)
+                a = run_hashes(w, WINDOW).view(np.int64)
                 text = letters(w)
                 # windows with one anchor follow each other
                 cut = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]])) if len(chosen) else []
@@ -167,33 +168,35 @@ def candidate_pieces(texts: DataFrame, n_shards) -> DataFrame:
                         out["place"].append((num << PLACE_BITS) + int(s))
                         out["words"].append(text[s:e + WINDOW - 1])
                         out["h1"].append(a[s:e])
-                        out["h2"].append(b[s:e])
             if out["shard"]:
                 yield pd.DataFrame(out)
 
     return texts.select("num", "text", "at").mapInPandas(
-        pieces, "shard long, place long, words string, h1 array<long>, h2 array<long>")
+        pieces, "shard long, place long, words string, h1 array<long>")
 
 
-def located(pieces: DataFrame, phrases: DataFrame) -> DataFrame:
+def located(pieces: DataFrame, phrases: DataFrame, n_shards: int) -> DataFrame:
     """(num, starts): windows that are not the first of their phrase, found by each shard's automaton.
 
-    ``phrases`` (shard, h1, h2, first, n): the confirmed recurring windows.  A task holds one salt of one
+    ``phrases`` (shard, h1, first, n): the confirmed recurring windows, in a shard known by one hash and
+    their letters.  A task holds one salt of one
     shard: it compiles the shard's phrases that its pieces spell into an Aho-Corasick automaton and
     streams its pieces through it.  A shard with many occurrences has many salts.
     """
-    salts = phrases.groupBy("shard").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / (2 * SHARD_WINDOWS))).cast("long").alias("salts"))
-    dealt = pieces.join(salts, "shard").withColumn("salt", F.pmod(F.xxhash64("place"), F.col("salts"))).drop("salts")
-    spread = phrases.join(salts, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts", "n")
+    hot = phrases.groupBy("shard").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / (2 * SHARD_WINDOWS))).cast("long").alias("salts")).where("salts > 1")
+    hot = F.broadcast(hot) if n_shards <= MOST_BROADCAST else hot  # one row per shard at most
+    salts = F.coalesce("salts", F.lit(1).cast("long"))
+    dealt = pieces.join(hot, "shard", "left").withColumn("salt", F.pmod(F.xxhash64("place"), salts)).drop("salts")
+    spread = phrases.join(hot, "shard", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("salts", "n")
 
     def locate(key, left, right):
         import ahocorasick
         import pandas as pd
 
-        first = dict(zip(zip(right["h1"].tolist(), right["h2"].tolist(), strict=True), right["first"].tolist(), strict=True))
+        first = dict(zip(right["h1"].tolist(), right["first"].tolist(), strict=True))
         machine = ahocorasick.Automaton()
-        for words, h1, h2 in zip(left["words"], left["h1"], left["h2"], strict=True):
-            for i, k in enumerate(zip(h1.tolist(), h2.tolist(), strict=True)):
+        for words, h1 in zip(left["words"], left["h1"], strict=True):
+            for i, k in enumerate(h1.tolist()):
                 if k in first:
                     phrase = words[i:i + WINDOW]
                     # phrases that differ are told apart by their hashes, also if they are spelled alike
@@ -205,11 +208,11 @@ def located(pieces: DataFrame, phrases: DataFrame) -> DataFrame:
         nums, starts = [], []
         if len(machine):
             machine.make_automaton()
-            for words, place, h1, h2 in zip(left["words"], left["place"].tolist(), left["h1"], left["h2"], strict=True):
+            for words, place, h1 in zip(left["words"], left["place"].tolist(), left["h1"], strict=True):
                 hits = []
                 for end, spelled in machine.iter(words):
                     i = end - WINDOW + 1
-                    known = spelled.get((int(h1[i]), int(h2[i])))
+                    known = spelled.get(int(h1[i]))
                     if known is not None and known < place + i:
                         hits.append((place & ((1 << PLACE_BITS) - 1)) + i)
                 if hits:
@@ -288,7 +291,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     phrases = (candidate_windows(texts, n_shards).groupBy("shard", "h1", "h2")
                .agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1"))
     phrases = stored(phrases, "op6")
-    found = located(candidate_pieces(texts, n_shards), phrases)
+    found = located(candidate_pieces(texts, n_shards), phrases.drop("h2"), n_shards)
     starts = stored(found.groupBy("num").agg(F.flatten(F.collect_list("starts")).alias("starts")), "op6")
     cut = cut_out(texts.join(starts, "num")).select("num", "n_removed", "kept_sha256")
 
