@@ -225,8 +225,11 @@ def pack_sequences(docs: DataFrame, limit: int = MAX_TOKENS, vocab: str | None =
                     out["ids"] = [bytes(x) for x in cut]
                 yield out
 
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * ids
-    cut = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(pieces, schema), "op7")
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+    whole = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
+        pieces, schema + ", ids binary" * ids).withColumn("pid", F.monotonically_increasing_id()), "op7")
+    schema += ", pid long"
+    cut = whole.drop("ids")  # places are found without the ids, which join them once
     rests = cut.where(F.col("length") < limit)
     hist = [0] * limit
     for r in rests.groupBy("length").count().collect():  # at most ``limit`` rows
@@ -249,7 +252,7 @@ def pack_sequences(docs: DataFrame, limit: int = MAX_TOKENS, vocab: str | None =
     ranked = (rests.withColumn("own", F.row_number().over(own) - 1).join(before, ["chunk", "bin"])
               .withColumn("rank", F.col("before") + F.col("own")).drop("before", "own", "chunk"))
 
-    keep = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * ids
+    keep = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "pid"]
 
     def place(frames):
         import numpy as np
@@ -281,4 +284,5 @@ def pack_sequences(docs: DataFrame, limit: int = MAX_TOKENS, vocab: str | None =
             .withColumn("sequence_id", F.col("before") + F.col("own") + F.lit(n_rest_sequences))
             .withColumn("offset", F.lit(0).cast("long")).drop("before", "own", "chunk"))
     columns = [*keep, "sequence_id", "offset"]
-    return placed.select(columns).union(full.select(columns))
+    every = placed.select(columns).union(full.select(columns))
+    return (every.join(whole.select("pid", "ids"), "pid") if ids else every).drop("pid")

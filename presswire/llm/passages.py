@@ -18,7 +18,7 @@ MOST_BROADCAST = 100_000
 #: Bits of a place in a document (words); the document's number stands above them.
 PLACE_BITS = 29
 
-_P = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_P = 0x9E3779B97F4A7C15
 _Q = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
@@ -31,7 +31,7 @@ def _mixed(h):
     return h ^ (h >> np.uint64(32))
 
 
-def word_hashes(raws: list[bytes], lane: int = 0):
+def word_hashes(raws: list[bytes]):
     """64-bit hashes of the words (runs without ASCII white space) of the texts, run together, and counts."""
     import numpy as np
 
@@ -44,16 +44,16 @@ def word_hashes(raws: list[bytes], lane: int = 0):
     text_end = np.cumsum([len(r) + 1 for r in raws])
     counts = np.diff(np.concatenate([[0], np.searchsorted(begin, text_end)]))
     if not len(begin):
-        return np.zeros(0, dtype=np.uint64), counts, whole, begin, end
+        return np.zeros(0, dtype=np.uint64), counts
     power = np.empty(int(length.max()), dtype=np.uint64)
     power[0] = 1
-    power[1:] = np.uint64(_P[lane])
+    power[1:] = np.uint64(_P)
     np.multiply.accumulate(power, out=power)
     chars = b[inside].astype(np.uint64) + np.uint64(1)
     first = np.cumsum(length) - length
     place = np.arange(len(chars)) - np.repeat(first, length)
     sums = np.add.reduceat(chars * power[place], first)
-    return _mixed(sums + length.astype(np.uint64) * np.uint64(_Q[lane])), counts, whole, begin, end
+    return _mixed(sums + length.astype(np.uint64) * np.uint64(_Q[0])), counts
 
 
 def run_hashes(words, n: int, lane: int = 0):
@@ -105,7 +105,7 @@ def surveyed(docs: DataFrame) -> DataFrame:
 
         for pdf in frames:
             raws = [(t or "").encode("utf-8", "replace") for t in pdf["text"]]
-            words, counts, *_ = word_hashes(raws)
+            words, counts = word_hashes(raws)
             anchors, places = [], []
             for w in _split(words, counts):
                 at, h = chosen_anchors(w)
@@ -128,15 +128,14 @@ def candidate_windows(texts: DataFrame, n_shards) -> DataFrame:
 
         for pdf in frames:
             raws = [t.encode("utf-8", "replace") for t in pdf["text"]]
-            one, counts, *_ = word_hashes(raws)
-            two = word_hashes(raws, 1)[0]
+            words, counts = word_hashes(raws)
             out = []
-            for num, at, w, v in zip(pdf["num"].tolist(), pdf["at"], _split(one, counts), _split(two, counts), strict=True):
+            for num, at, w in zip(pdf["num"].tolist(), pdf["at"], _split(words, counts), strict=True):
                 chosen, h = chosen_anchors(w)
                 start = np.flatnonzero(np.isin(chosen, np.asarray(at)))
                 if len(start):
                     shard = (h[chosen[start]] % np.uint64(n_shards)).astype(np.int64)
-                    out.append((shard, run_hashes(w, WINDOW)[start].view(np.int64), run_hashes(v, WINDOW, 1)[start].view(np.int64),
+                    out.append((shard, run_hashes(w, WINDOW)[start].view(np.int64), run_hashes(w, WINDOW, 1)[start].view(np.int64),
                                 (num << PLACE_BITS) + start))
             if out:
                 yield pd.DataFrame({c: np.concatenate([o[i] for o in out]) for i, c in enumerate(("shard", "h1", "h2", "place"))})
@@ -152,27 +151,28 @@ def candidate_pieces(texts: DataFrame, n_shards) -> DataFrame:
 
         for pdf in frames:
             raws = [t.encode("utf-8", "replace") for t in pdf["text"]]
-            one, counts, *_ = word_hashes(raws)
+            words, counts = word_hashes(raws)
             out = {"shard": [], "place": [], "words": [], "h1": []}
-            for num, at, w in zip(pdf["num"].tolist(), pdf["at"], _split(one, counts), strict=True):
+            for num, at, w in zip(pdf["num"].tolist(), pdf["at"], _split(words, counts), strict=True):
                 chosen, h = chosen_anchors(w)
-                a = run_hashes(w, WINDOW).view(np.int64)
-                text = letters(w)
+                if not len(chosen):
+                    continue
                 # windows with one anchor follow each other
-                cut = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]])) if len(chosen) else []
-                ends = np.append(cut[1:], len(chosen)) if len(chosen) else []
-                known = np.isin(chosen[cut], np.asarray(at)) if len(chosen) else []
-                for s, e, fine in zip(cut, ends, known, strict=True):
-                    if fine:
-                        out["shard"].append(int(h[chosen[s]] % np.uint64(n_shards)))
-                        out["place"].append((num << PLACE_BITS) + int(s))
-                        out["words"].append(text[s:e + WINDOW - 1])
-                        out["h1"].append(a[s:e])
+                cut = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]]))
+                ends = np.append(cut[1:], len(chosen))
+                known = np.isin(chosen[cut], np.asarray(at))
+                cut, ends = cut[known], ends[known]
+                text, hashes = letters(w), run_hashes(w, WINDOW).tobytes()
+                spans = list(zip(cut.tolist(), ends.tolist(), strict=True))
+                out["shard"] += (h[chosen[cut]] % np.uint64(n_shards)).astype(np.int64).tolist()
+                out["place"] += ((num << PLACE_BITS) + cut).tolist()
+                out["words"] += [text[s:e + WINDOW - 1] for s, e in spans]
+                out["h1"] += [hashes[8 * s:8 * e] for s, e in spans]
             if out["shard"]:
                 yield pd.DataFrame(out)
 
     return texts.select("num", "text", "at").mapInPandas(
-        pieces, "shard long, place long, words string, h1 array<long>")
+        pieces, "shard long, place long, words string, h1 binary")
 
 
 def located(pieces: DataFrame, phrases: DataFrame, n_shards: int) -> DataFrame:
@@ -191,28 +191,31 @@ def located(pieces: DataFrame, phrases: DataFrame, n_shards: int) -> DataFrame:
 
     def locate(key, left, right):
         import ahocorasick
+        import numpy as np
         import pandas as pd
 
-        first = dict(zip(right["h1"].tolist(), right["first"].tolist(), strict=True))
+        hashes = [np.frombuffer(x, "<i8").tolist() for x in left["h1"]]
+        todo = dict(zip(right["h1"].tolist(), right["first"].tolist(), strict=True))
         machine = ahocorasick.Automaton()
-        for words, h1 in zip(left["words"], left["h1"], strict=True):
-            for i, k in enumerate(h1.tolist()):
-                if k in first:
+        for words, h1 in zip(left["words"], hashes, strict=True):
+            for i, k in enumerate(h1):
+                first = todo.pop(k, None)
+                if first is not None:
                     phrase = words[i:i + WINDOW]
                     # phrases that differ are told apart by their hashes, also if they are spelled alike
                     spelled = machine.get(phrase, None)
                     if spelled is None:
-                        machine.add_word(phrase, {k: first[k]})
+                        machine.add_word(phrase, {k: first})
                     else:
-                        spelled[k] = first[k]
+                        spelled[k] = first
         nums, starts = [], []
         if len(machine):
             machine.make_automaton()
-            for words, place, h1 in zip(left["words"], left["place"].tolist(), left["h1"], strict=True):
+            for words, place, h1 in zip(left["words"], left["place"].tolist(), hashes, strict=True):
                 hits = []
                 for end, spelled in machine.iter(words):
                     i = end - WINDOW + 1
-                    known = spelled.get(int(h1[i]))
+                    known = spelled.get(h1[i])
                     if known is not None and known < place + i:
                         hits.append((place & ((1 << PLACE_BITS) - 1)) + i)
                 if hits:
@@ -275,9 +278,12 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     nums, n_texts = numbered(firsts.select("rid", "ord", "tid", "rows"), ["ord", "tid"], "num", "op6")
     nums = stored(nums, "op6")
 
-    seen = all_.select("rid", F.explode(F.arrays_zip("anchors", "places")).alias("x")).select("rid", "x.anchors", "x.places")
-    often = seen.groupBy("anchors").agg(F.count("*").alias("n")).where("n > 1").select("anchors")
-    hits = (seen.join(nums.select("rid", "num"), "rid").join(often, "anchors").groupBy("num").agg(F.collect_list("places").alias("at")))
+    seen = all_.select(F.explode("anchors").alias("anchors"))
+    own = (all_.select("rid", F.arrays_zip("anchors", "places").alias("x")).join(nums.select("rid", "num"), "rid")
+           .select("num", F.explode("x").alias("x")).select("num", "x.anchors", "x.places"))
+    # stored, so that both sides of the join are plain shuffles and a hot anchor's rows can be split
+    often = stored(seen.groupBy("anchors").agg(F.count("*").alias("n")).where("n > 1").select("anchors"), "op6")
+    hits = (own.join(often, "anchors").groupBy("num").agg(F.collect_list("places").alias("at")))
     hits = stored(hits, "op6")
     wanted = hits.join(nums, "num").select("num", "at", F.when(F.col("ord") < (1 << 63) - 1, F.col("ord")).alias("doc_id"), "tid")
     texts = docs.withColumn("ord", order).join(wanted.withColumn("ord", order).drop("doc_id"), ["ord", "tid"]).select("num", "text", "at")

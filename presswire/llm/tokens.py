@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 #: Units remembered by one Python worker (about 60 bytes each); beyond, the memory starts anew.
-MOST_UNITS = 1_000_000
+MOST_UNITS = 800_000
 #: Units longer than this are encoded each time.
 LONG = 64
 
@@ -172,7 +172,7 @@ class UnitEncoder:
         return out, total[edge[1:]] - total[edge[:-1]]
 
 
-def batches(texts: list[str | None], n_chars: int = 1 << 22):
+def batches(texts: list[str | None], n_chars: int = 1 << 21):
     """Runs of texts with about ``n_chars`` characters: (first index, texts); None counts as empty."""
     at, run, size = 0, [], 0
     for i, t in enumerate(texts):
