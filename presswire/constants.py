@@ -198,7 +198,6 @@ MIN_BODY_CHARS = 50             # silver: trimmed body length > 50
 MIN_CLEAN_CHARS = 10            # silver: cleaned body length > 10
 EDITED_BY_SILVER = "Edited By:"
 EDITED_BY_WORKSPACE = "Edited By: "
-MAX_PAGES_PER_SITE = 200
 VIDEO_LINK_MIN_CHARS = 60
 SCORE_INPUT_CHARS = 1500
 MODEL_MAX_TOKENS = 512

@@ -96,7 +96,8 @@ def first_h1(html: Column) -> Column:
 def article_paragraphs(html: Column) -> Column:
     """Texts of the <p> elements inside the first <article> (regex form)."""
     art = F.regexp_extract(html, r"(?is)<article\b[^>]*>(.*?)</article>", 1)
-    pieces = F.slice(F.split(art, r"(?i)<p\b[^>]*>"), 2, 1_000_000)
+    parts = F.split(art, r"(?i)<p\b[^>]*>")
+    pieces = F.slice(parts, F.lit(2), F.size(parts) - 1)
     paras = F.transform(pieces, lambda p: F.substring_index(p, "</p>", 1))
     return F.filter(F.transform(paras, lambda p: F.trim(strip_tags(p))), lambda t: t != F.lit(""))
 

@@ -10,14 +10,13 @@ from presswire.functions.text import is_blank
 
 
 def round_half_up(c: Column, digits: int) -> Column:
-    """floor(x * 10^d + 0.5) / 10^d as DOUBLE.
+    """Half away from zero, as the warehouse's ROUND: sign(x) * floor(|x| * 10^d + 0.5) / 10^d as DOUBLE.
 
-    One rounding rule for every engine: Spark's ``round`` rounds the decimal
-    text half-up, other engines round the binary value; this form gives the
-    same double everywhere.
+    The binary value is rounded (Spark's ``round`` goes by the decimal text), so other engines'
+    ``round`` gives the same double.
     """
     scale = float(10 ** digits)
-    return (F.floor(c * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale))
+    return F.signum(c) * F.floor(F.abs(c) * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale)
 
 
 def clamp01(c: Column) -> Column:

@@ -58,31 +58,28 @@ class Node:
     def __init__(self, tag: str, attrs: dict, parent: Node | None):
         self.tag, self.attrs, self.children, self.parent = tag, attrs, [], parent
 
-    def text(self, sep: str = "", strip: bool = False) -> str:
-        parts: list[str] = []
-
-        def walk(n: Node) -> None:
-            for c in n.children:
+    def walk(self, skip: frozenset | set = frozenset()) -> Iterator:
+        """Texts and nodes below in document order (with a stack: pages can nest deeply)."""
+        stack = [iter(self.children)]
+        while stack:
+            for c in stack[-1]:
                 if isinstance(c, str):
-                    parts.append(c.strip() if strip else c)
-                elif c.tag not in RAW:
-                    walk(c)
-        walk(self)
+                    yield c
+                elif c.tag not in skip:
+                    yield c
+                    stack.append(iter(c.children))
+                    break
+            else:
+                stack.pop()
+
+    def text(self, sep: str = "", strip: bool = False) -> str:
+        parts = [c for c in self.walk(RAW) if isinstance(c, str)]
         if strip:
-            parts = [p for p in parts if p]
+            parts = [p.strip() for p in parts if p.strip()]
         return sep.join(parts)
 
     def find_all(self, pred: Callable[[Node], bool]) -> list[Node]:
-        out: list[Node] = []
-
-        def walk(n: Node) -> None:
-            for c in n.children:
-                if not isinstance(c, str):
-                    if pred(c):
-                        out.append(c)
-                    walk(c)
-        walk(self)
-        return out
+        return [c for c in self.walk() if not isinstance(c, str) and pred(c)]
 
     def find(self, pred: Callable[[Node], bool]) -> Node | None:
         found = self.find_all(pred)
@@ -183,7 +180,7 @@ SITE_RULES: dict[str, dict] = {
                     body="p", drop_last=4, cat="news", joiner=""),
     "news18_punjab": dict(heading=tag_is("h1", cls="article_heading1"),
                           containers=[tag_is("div", cls_has="article_content")], body="p", langs=["pa"],
-                          nbsp=True, cut=C.TRANSLATE_CHARS, joiner=""),
+                          nbsp=True, joiner=""),
 }
 
 
@@ -230,8 +227,6 @@ def extract_one(url: str, html: str, rule_name: str) -> tuple[str, str, str] | N
     if rule.get("nbsp"):
         body = body.replace("\xa0", "").replace("\n", "")
         heading = heading.replace("\xa0", "").replace("\n", "")
-    if rule.get("cut"):
-        body = body[: rule["cut"]]
     if len(body) < rule.get("min_len", 0):
         return None
     return heading.strip(), body.strip(), _category(url, rule.get("cat"))
@@ -263,64 +258,35 @@ def extract_articles(pages: DataFrame, rule: Column, min_body: int = C.MIN_BODY_
 
 
 def crawl(pages: DataFrame, seeds: DataFrame, link_filter: Callable[[Column], Column] | None = None,
-          max_rounds: int = 10, domain: Column | None = None, max_pages_per_site: int | None = None,
-          max_links: int | None = None) -> DataFrame:
-    """ext_crawl: breadth-first link closure over the captured pages.
-
-    Each round joins the frontier with ``pages`` (the "fetch"), extracts new
-    links, removes visited ones with a left-anti join and keeps the rest as
-    the next frontier.  Returns (url, depth) of every fetched page.  The
-    visited set is checkpointed every round, so the plan does not grow with
-    the number of rounds and a lost executor re-reads the checkpoint.
-    ``link_filter`` restricts which links are followed.  ``max_pages_per_site``
-    (cap_pages) admits, per site and round, only as many new pages as the
-    site has budget left, in URL order (skew-safe salted top-n).
-    ``max_links`` (cap_links) stops after the round in which the number of
-    visited pages reaches the cap; like the original, that round is kept
-    whole, so the result may overshoot.
+          domain: Column | None = None) -> DataFrame:
+    """ext_crawl: breadth-first link closure over the captured pages, until no new page is found.
+
+    Links are extracted once, and only those between captured pages are kept (stored).  Each round
+    follows them from the frontier and removes visited pages with a left-anti join; only the new
+    urls of a round are checkpointed.  Returns (url, depth) of every fetched page.  ``link_filter``
+    restricts which links are followed.
     """
-    spark = pages.sparkSession
-    checkpoint_dir(spark)
-    fetched_cols = pages.select("url", "html")
-    frontier = seeds.select("url").distinct()
-    visited = frontier.withColumn("depth", F.lit(0)).checkpoint()
-    for depth in range(1, max_rounds + 1):
-        got = fetched_cols.join(frontier, "url", "left_semi")
-        links = extract_links(got, domain).select(F.col("link").alias("url"))
-        if link_filter is not None:
-            links = links.where(link_filter(F.col("url")))
-        new = links.distinct().join(visited.select("url"), "url", "left_anti")
-        if max_pages_per_site is not None:
-            new = _within_site_budget(new, visited, max_pages_per_site)
-        new = new.checkpoint()
-        if new.isEmpty():
-            break
-        visited = visited.unionByName(new.withColumn("depth", F.lit(depth))).checkpoint()
-        frontier = new
-        if max_links is not None and visited.count() >= max_links:
-            break
-    return visited.join(pages.select("url"), "url", "left_semi")
-
-
-def _within_site_budget(new: DataFrame, visited: DataFrame, cap: int) -> DataFrame:
-    """Keep, per site, at most (cap - pages already visited) new URLs (URL order)."""
-    from presswire.operators.topk import top_n_per_group
-    site = H.url_host(F.col("url"))
-    used = visited.groupBy(site.alias("_site")).agg(F.count(F.lit(1)).alias("_used"))
-    cand = new.withColumn("_site", site)
-    ranked = top_n_per_group(cand, "_site", [F.col("url")], cap)
-    w = __import__("pyspark.sql.window", fromlist=["Window"]).Window.partitionBy("_site").orderBy("url")
-    ranked = ranked.withColumn("_rank", F.row_number().over(w))
-    return (ranked.join(used, "_site", "left")
-            .where(F.col("_rank") <= F.lit(cap) - F.coalesce(F.col("_used"), F.lit(0)))
-            .select("url"))
+    checkpoint_dir(pages.sparkSession)
+    captured = pages.select("url").distinct()
+    links = extract_links(pages, domain).select(F.col("page_url").alias("_from"), F.col("link").alias("url"))
+    if link_filter is not None:
+        links = links.where(link_filter(F.col("url")))
+    links = links.join(captured, "url", "left_semi").checkpoint()
+    frontier = seeds.select("url").distinct().join(captured, "url", "left_semi").checkpoint()
+    visited, depth = frontier.withColumn("depth", F.lit(0)), 0
+    while not frontier.isEmpty():
+        depth += 1
+        frontier = (links.join(frontier.withColumnRenamed("url", "_from"), "_from", "left_semi").select("url").distinct()
+                    .join(visited.select("url"), "url", "left_anti").checkpoint())
+        visited = visited.unionByName(frontier.withColumn("depth", F.lit(depth)))
+    return visited
 
 
 def video_links(pages: DataFrame, seeds: DataFrame, marker: str, min_chars: int = C.VIDEO_LINK_MIN_CHARS,
-                max_rounds: int = 10, domain: Column | None = None) -> DataFrame:
+                domain: Column | None = None) -> DataFrame:
     """ext_video_links / flt_video_link: every link reachable from the seeds
     that contains ``marker`` and is longer than ``min_chars`` (distinct)."""
-    reached = crawl(pages, seeds, None, max_rounds, domain)
+    reached = crawl(pages, seeds, None, domain)
     got = pages.join(reached.select("url"), "url", "left_semi")
     links = extract_links(got, domain).select(F.col("link").alias("url")).distinct()
     return links.where((F.instr(F.col("url"), F.lit(marker)) > 0) & (F.length("url") > F.lit(min_chars)))

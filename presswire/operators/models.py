@@ -23,7 +23,7 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import (IDF, CountVectorizer, IndexToString, NGram, RegexTokenizer, SQLTransformer,
                                 StopWordsRemover, StringIndexer)
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
@@ -31,11 +31,16 @@ from presswire import constants as C
 from presswire.functions import scores as S
 from presswire.functions.text import is_blank
 from presswire.operators.enrich import classify_blank_default, with_category
+from presswire.sources.files import path_exists
 
 
-def forest_pipeline(text_col: str = "text", label_col: str = "label", trees: int = C.FOREST_TREES,
+#: Private input column, so that a caller's ``text`` stays as it is.
+TEXT = "_forest_text"
+
+
+def forest_pipeline(text_col: str = TEXT, label_col: str = "label", trees: int = C.FOREST_TREES,
                     seed: int = C.FOREST_SEED, vocab: int = C.FOREST_FEATURES) -> Pipeline:
-    tok = RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=r"\b\w\w+\b", gaps=False, toLowercase=True)
+    tok = RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=r"[\p{L}\p{N}_]{2,}", gaps=False, toLowercase=True)
     stop = StopWordsRemover(inputCol="_tok", outputCol="_uni")
     bi = NGram(n=2, inputCol="_uni", outputCol="_bi")
     both = SQLTransformer(statement="SELECT *, concat(_uni, _bi) AS _grams FROM __THIS__")
@@ -49,13 +54,13 @@ def forest_pipeline(text_col: str = "text", label_col: str = "label", trees: int
 
 def train_forest(df: DataFrame, text_col: str = "text", label_col: str = "label", **kw) -> PipelineModel:
     """cls_rf_train on (text, label) rows (texts and labels taken as strings)."""
-    data = df.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+    data = df.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(TEXT),
                      F.col(label_col).cast("string").alias("label"))
     # fitting makes several passes (indexer, vocabulary, IDF, tree levels):
     # keep the prepared input cached instead of recomputing it every pass
     data = data.persist()
     try:
-        return forest_pipeline("text", "label", **kw).fit(data)
+        return forest_pipeline(TEXT, "label", **kw).fit(data)
     finally:
         data.unpersist()
 
@@ -77,7 +82,7 @@ def forest_predict(df: DataFrame, text_col: str, model: PipelineModel | None,
     if model is None:
         staged = with_category(df, text_col, "_kw", C.KEYWORD_MAP_SMALL)
         return staged.withColumn(out_col, classify_blank_default(text, F.col("_kw"))).drop("_kw")
-    scored = _scorer(model).transform(df.withColumn("text", F.coalesce(text.cast("string"), F.lit(""))))
+    scored = _scorer(model).transform(df.withColumn(TEXT, F.coalesce(text.cast("string"), F.lit(""))))
     to_label = IndexToString(inputCol="_pred_idx", outputCol="_pred_label", labels=_labels(model))
     out = to_label.transform(scored)
     keep = df.columns + [out_col]
@@ -89,7 +94,7 @@ def forest_proba(df: DataFrame, text_col: str, model: PipelineModel | None) -> D
     """cls_rf_proba: map label -> probability; an error without a trained model."""
     if model is None:
         raise RuntimeError("No trained forest model loaded for probability prediction.")
-    scored = _scorer(model).transform(df.withColumn("text", F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    scored = _scorer(model).transform(df.withColumn(TEXT, F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
     labels = F.array(*[F.lit(x) for x in _labels(model)])
     return scored.select(*df.columns, F.map_from_arrays(labels, vector_to_array("probability")).alias("proba"))
 
@@ -99,11 +104,8 @@ def save_model(model: PipelineModel, path: str) -> None:
 
 
 def load_model(path: str) -> PipelineModel | None:
-    """Load a saved model; a missing or unreadable path gives None (keyword fallback)."""
-    try:
-        return PipelineModel.load(path)
-    except Exception:  # noqa: BLE001
-        return None
+    """Load a saved model; a missing path gives None (keyword fallback), any other fault is raised."""
+    return PipelineModel.load(path) if path_exists(SparkSession.active(), path) else None
 
 
 # ---------------------------------------------------------------------------
@@ -112,21 +114,22 @@ def load_model(path: str) -> PipelineModel | None:
 
 def with_model_scores(df: DataFrame, text_col: str,
                       make_predict_fn: Callable[[], Callable[[np.ndarray], np.ndarray]],
-                      out_col: str = "probs", max_chars: int = C.SCORE_INPUT_CHARS, batch_size: int = 64,
+                      out_col: str = "probs", max_chars: int | None = None, batch_size: int = 64,
                       apply_softmax: bool = True) -> DataFrame:
     """Apply a user model to text: returns array<double> of class probabilities.
 
     ``make_predict_fn`` is called once per Python worker and returns a
     function from a batch of strings (numpy array) to a (batch, n_outputs)
     array of logits (or probabilities with ``apply_softmax=False``).  Text
-    is cut to ``max_chars`` first; blank text gives NULL.
+    goes to the model whole, or cut to ``max_chars`` if that is given; blank text gives NULL.
     """
     udf = predict_batch_udf(make_predict_fn, return_type=ArrayType(DoubleType()), batch_size=batch_size,
                             input_tensor_shapes=None)
     text = F.col(text_col)
+    given = F.coalesce(text, F.lit(""))
     # the model output is its own column: Python UDFs cannot run inside the
     # softmax lambdas, and the separate projection keeps one call per row
-    staged = df.withColumn("_raw", udf(F.substring(F.coalesce(text, F.lit("")), 1, max_chars)))
+    staged = df.withColumn("_raw", udf(given if max_chars is None else F.substring(given, 1, max_chars)))
     probs = S.softmax(F.col("_raw")) if apply_softmax else F.col("_raw")
     return staged.withColumn(out_col, F.when(is_blank(text), F.lit(None).cast("array<double>"))
                              .otherwise(probs)).drop("_raw")

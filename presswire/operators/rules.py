@@ -117,8 +117,7 @@ def workspace_clean(df: DataFrame, cleaner: Callable[[Column], Column],
     if filter_shows:
         out = out.where(not_shows(F.col("Heading")))
     out = out.where(not_subscriber(F.col("Body")))
-    out = out.withColumn("Body", T.before_marker(F.coalesce(F.col("Body"), F.lit("None")),
-                                                 C.EDITED_BY_WORKSPACE))
+    out = out.withColumn("Body", T.before_marker(F.col("Body"), C.EDITED_BY_WORKSPACE))
     out = compute_once(out.withColumn("Body", cleaner(F.col("Body"))))
     return out.dropna("any").where(F.col("Body") != F.lit(""))
 

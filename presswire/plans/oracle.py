@@ -35,8 +35,7 @@ def pick(arr: list[str], key: str, m: int) -> str:
 
 
 def rnd(x: str, digits: int) -> str:
-    s = float(10 ** digits)
-    return f"(CAST(floor(({x}) * {d(s)} + {d(0.5)}) AS DOUBLE) / {d(s)})"
+    return f"round(CAST({x} AS DOUBLE), {digits})"
 
 
 def exact_mean(x: str) -> str:

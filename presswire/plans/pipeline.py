@@ -1,18 +1,17 @@
 """Medallion pipeline: raw CSV -> bronze -> silver -> gold, incremental and rerunnable.
 
 Every layer is a Parquet table partitioned by ``article_date``, so reads of
-one day prune to one folder and a rerun of a day replaces exactly that
-day's partition (dynamic partition overwrite).  A date already present in
-the target layer is skipped (left-anti join on the distinct target dates),
-which keeps the original "never load a date twice" guard but works for any
-number of dates at once.
+one day prune to one folder.  Bronze takes each article of a day once (by
+url), so a day may come in several files and a rerun adds nothing; rows with
+a bad date are kept in a partition without a date.  Silver and gold rebuild
+exactly the days that came in and replace their partitions.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from presswire.operators.enrich import GOLD_COLUMNS, enrich_gold
@@ -56,17 +55,41 @@ class Layers:
                       f"PARTITIONED BY (article_date) LOCATION '{self.path(layer)}' COMMENT '{comment}'")
 
 
-def write_layer(df: DataFrame, path: str, files_per_day: int = 8) -> None:
-    """Append-or-replace by day: only the partitions present in ``df`` are rewritten.
+def write_layer(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Write by day: only the partitions present in ``df`` are replaced (or, with ``append``, added to).
 
-    Rows are spread over (date, url-hash bucket) so a day holding a third of
-    the data is still written by ``files_per_day`` tasks, not one.
+    The rebalance hint lets the planner split a large day over tasks and gather small ones.
     """
-    bucket = F.pmod(F.xxhash64("url"), F.lit(files_per_day))
-    (df.repartition("article_date", bucket).write.mode("overwrite")
+    (df.hint("rebalance", "article_date").write.mode(mode)
      .option("partitionOverwriteMode", "dynamic").partitionBy("article_date").parquet(path))
 
 
+def days_of(df: DataFrame | None) -> list:
+    """The days of a layer or a batch (one value per day, None for rows without a date)."""
+    return [] if df is None else [r[0] for r in df.select("article_date").distinct().collect()]
+
+
+def on_days(df: DataFrame, days: list) -> DataFrame:
+    """The rows of ``days``, as a filter on the partition column that reaches the scan."""
+    day, known = F.col("article_date"), [x for x in days if x is not None]
+    cond = day.isin(known) if known else F.lit(False)
+    return df.where((cond | day.isNull()) if None in days else cond)
+
+
+def _article() -> Column:
+    """What names an article within its day: the url, else the heading."""
+    return F.coalesce("url", F.concat(F.lit("heading:"), F.coalesce("heading", F.lit(""))))
+
+
+def new_articles_only(incoming: DataFrame, target: DataFrame | None, days: list) -> DataFrame:
+    """Rows whose article the target does not hold on that day; of the target only ``days`` are read."""
+    if target is None:
+        return incoming
+    held = on_days(target, days).select(F.col("article_date").alias("_day"), _article().alias("_article")).distinct()
+    same = F.col("article_date").eqNullSafe(F.col("_day")) & (_article() == F.col("_article"))
+    return incoming.join(held, same, "left_anti")
+
+
 def new_dates_only(incoming: DataFrame, target: DataFrame | None) -> DataFrame:
     """anti_loaded_date / inc_guard: drop rows whose date the target already holds."""
     return incoming if target is None else anti_loaded_keys(incoming, target, ["article_date"])
@@ -79,48 +102,52 @@ def to_bronze(raw: DataFrame) -> DataFrame:
                       F.current_timestamp().alias("ingested_at"))
 
 
+def add_bronze(spark: SparkSession, layers: Layers, raw: DataFrame) -> dict:
+    """Add the articles of ``raw`` that bronze does not hold; rows with a bad date are counted and kept."""
+    bronze = to_bronze(raw).checkpoint()      # one evaluation for the days, the counts and the write
+    days = days_of(bronze)
+    todo = new_articles_only(bronze, layers.read(spark, "bronze"), days).checkpoint()
+    n, bad = todo.agg(F.count(F.lit(1)), F.count_if(F.col("article_date").isNull())).first()
+    if n:
+        write_layer(todo, layers.path("bronze"), "append")
+    return {"status": "loaded" if n else "already ingested", "rows": n, "bad_dates": bad, "days": days}
+
+
 def load_bronze(spark: SparkSession, layers: Layers, raw_path: str) -> dict:
-    """Load one daily CSV into bronze; dates already in bronze are skipped."""
+    """Load one daily CSV into bronze; articles already in bronze are skipped."""
     if not files.path_exists(spark, raw_path):
-        return {"status": "no file", "rows": 0}
-    bronze = to_bronze(files.read_raw_csv(spark, raw_path))
-    todo = new_dates_only(bronze.where(F.col("article_date").isNotNull()), layers.read(spark, "bronze"))
-    todo = todo.checkpoint()          # one evaluation for the count and the write
-    n = todo.count()
-    if n == 0:
-        return {"status": "already ingested", "rows": 0}
-    write_layer(todo, layers.path("bronze"))
-    return {"status": "loaded", "rows": n}
-
-
-def load_silver(spark: SparkSession, layers: Layers) -> dict:
-    """Silver rules for every bronze date that silver does not hold yet."""
-    bronze = layers.read(spark, "bronze")
-    if bronze is None:
-        return {"status": "no bronze", "rows": 0}
-    todo = new_dates_only(bronze, layers.read(spark, "silver"))
-    silver = silver_rules(todo).select(*SILVER_COLUMNS).withColumn("cleaned_at", F.current_timestamp())
-    silver = silver.checkpoint()
-    n = silver.count()
+        return {"status": "no file", "rows": 0, "bad_dates": 0, "days": []}
+    return add_bronze(spark, layers, files.read_raw_csv(spark, raw_path))
+
+
+def _load_layer(spark: SparkSession, layers: Layers, source: str, target: str, days: list | None, build) -> dict:
+    src = layers.read(spark, source)
+    if src is None:
+        return {"status": f"no {source}", "rows": 0}
+    if days is None:        # days that the target does not hold: two short lists, no scan of rows
+        held = set(days_of(layers.read(spark, target)))
+        days = [x for x in days_of(src) if x not in held]
+    out = build(on_days(src, days)).checkpoint()
+    n = out.count()
     if n:
-        write_layer(silver, layers.path("silver"))
+        write_layer(out, layers.path(target))
     return {"status": "loaded" if n else "nothing new", "rows": n}
 
 
-def load_gold(spark: SparkSession, layers: Layers) -> dict:
-    """Gold enrichment for every silver date that gold does not hold yet."""
-    silver = layers.read(spark, "silver")
-    if silver is None:
-        return {"status": "no silver", "rows": 0}
-    todo = new_dates_only(silver, layers.read(spark, "gold"))
-    gold = enrich_gold(todo).select(*GOLD_COLUMNS, "processed_at").checkpoint()
-    n = gold.count()
-    if n:
-        write_layer(gold, layers.path("gold"))
-    return {"status": "loaded" if n else "nothing new", "rows": n}
+def load_silver(spark: SparkSession, layers: Layers, days: list | None = None) -> dict:
+    """Silver rules for ``days`` of bronze (default: those that silver does not hold)."""
+    return _load_layer(spark, layers, "bronze", "silver", days, lambda b: silver_rules(b).select(*SILVER_COLUMNS)
+                       .withColumn("cleaned_at", F.current_timestamp()))
+
+
+def load_gold(spark: SparkSession, layers: Layers, days: list | None = None) -> dict:
+    """Gold enrichment for ``days`` of silver (default: those that gold does not hold)."""
+    return _load_layer(spark, layers, "silver", "gold", days,
+                       lambda s: enrich_gold(s).select(*GOLD_COLUMNS, "processed_at"))
 
 
 def run_day(spark: SparkSession, layers: Layers, raw_root: str, run_date: str) -> dict:
-    """The daily job: raw file of ``run_date`` -> bronze -> silver -> gold."""
-    return {"bronze": load_bronze(spark, layers, files.daily_path(raw_root, run_date)),
-            "silver": load_silver(spark, layers), "gold": load_gold(spark, layers)}
+    """The daily job: raw file of ``run_date`` -> bronze -> the days it touched in silver and gold."""
+    bronze = load_bronze(spark, layers, files.daily_path(raw_root, run_date))
+    return {"bronze": bronze, "silver": load_silver(spark, layers, bronze["days"]),
+            "gold": load_gold(spark, layers, bronze["days"])}

@@ -161,16 +161,14 @@ register("agg_scrape_counts", with_pages(
 for _rule in X.SITE_RULES:
     register(_rule)((lambda r: lambda s, sf: X.extract_articles(dp(s, sf), F.lit(r)))(_rule))
 
-# --- caps, link filter ----------------------------------------------------------------------
+# --- link filter ----------------------------------------------------------------------
 
 
 def _pages(s, sf):
     return read_table(s, sf, "pages")
 
 
-register("cap_pages")(lambda s, sf: X.crawl(_pages(s, sf), _pages(s, sf).select("url"), max_pages_per_site=2))
-register("cap_links")(lambda s, sf: X.crawl(_pages(s, sf), _pages(s, sf).select("url"), max_links=10))
-register("link_filter")(lambda s, sf: X.crawl(_pages(s, sf), _pages(s, sf).select("url"),
+register("link_filter")(lambda s, sf: X.crawl(_pages(s, sf), _pages(s, sf).where(F.col("page_id") % 10 == 0).select("url"),
                                               link_filter=lambda u: F.length(u) > F.lit(30)))
 
 # --- sinks, increments, report, forest keys ---------------------------------------------------

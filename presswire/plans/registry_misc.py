@@ -39,8 +39,8 @@ def results(spark, sf):
 
 def _ws_sql() -> str:
     from presswire.plans.oracle import NONWORD
-    eng = english_sql("split_part(coalesce(Body, 'None'), 'Edited By: ', 1)")
-    nat_in = "split_part(coalesce(Body, 'None'), 'Edited By: ', 1)"
+    eng = english_sql("split_part(Body, 'Edited By: ', 1)")
+    nat_in = "split_part(Body, 'Edited By: ', 1)"
     nat = (f"regexp_replace(translate(regexp_replace({nat_in}, '{NONWORD}', '', 'g'), '०१२३४५६७८९', "
            f"'0123456789'), '\\p{{Nd}}+', '', 'g')")
     cat = (f"CASE WHEN Body IS NULL OR {strip('Body')} = '' THEN 'Politics' ELSE "
@@ -113,12 +113,6 @@ register("join_lemma_inline", with_silver(
     lambda s, sf: silver(s, sf, ["doc_id", "body_cleaned"]).select("doc_id", L.lemmatize_inline(F.col("body_cleaned")).alias("lemmatized")))
 
 # --- model hooks and forest (rows-only) --------------------------------------------------
-register("sent_model")(
-    lambda s, sf: M.with_model_scores(silver(s, sf), "body_cleaned", M.hashing_logits_model(3))
-    .select("doc_id", M.sentiment_from_model(F.col("probs")).alias("s")).select("doc_id", "s.*"))
-register("cls_model")(
-    lambda s, sf: M.with_model_scores(silver(s, sf), "body_cleaned", M.hashing_logits_model(10))
-    .select("doc_id", M.category_from_model(F.col("probs"), F.col("body_cleaned")).alias("category")))
 
 
 def _forest_data(s, sf):
@@ -240,8 +234,10 @@ def _stream(s, sf):
 
 
 register("inc_bronze")(_stream)
-register("inc_daily_window")(
-    lambda s, sf: INC.run_daily_window(s, sf, scratch(s, "win-sink"), scratch(s, "win-ckpt"), "events.parquet"))
+register("inc_daily_window", "SELECT CAST(ts AS DATE) AS day, event_type, CAST(count(*) AS BIGINT) AS events, "
+         "round(avg(value), 6) AS mean_value FROM events GROUP BY 1, 2")(
+    lambda s, sf: INC.run_daily_window(s, sf, scratch(s, "win-sink"), scratch(s, "win-ckpt"), "events.parquet")
+    .withColumn("mean_value", F.round("mean_value", 6)))
 
 
 def _sinks(s, sf):

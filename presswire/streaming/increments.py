@@ -1,13 +1,13 @@
 """Incremental loads with Structured Streaming.
 
 * ``stream_bronze`` – inc_bronze: a file source over the raw-CSV folder picks
-  up each new daily file exactly once (the checkpoint records what was
-  read); every micro-batch goes through the same date guard and partition
-  write as the batch loader, so a replayed batch changes nothing.
-* ``stream_silver_gold`` – inc_silver / inc_gold chained in ``foreachBatch``.
+  up each new file exactly once (the checkpoint records what was read); every
+  micro-batch adds the articles that bronze does not hold (several files of
+  a day add up, a replayed batch adds nothing) and rebuilds its days in
+  silver and gold.
 * ``daily_window`` – inc_daily_window: running daily counts and mean values
-  over ``events`` with a one-day watermark (append mode: a day is emitted
-  once the watermark passes it).
+  over ``events``; the sink holds the whole result after every batch, open
+  days included.
 """
 
 from __future__ import annotations
@@ -15,9 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presswire.operators.enrich import GOLD_COLUMNS, enrich_gold
-from presswire.operators.rules import SILVER_COLUMNS, silver_rules
-from presswire.plans.pipeline import Layers, new_dates_only, to_bronze, write_layer
+from presswire.plans.pipeline import Layers, add_bronze, load_gold, load_silver
 from presswire.sources import files
 
 
@@ -26,12 +24,10 @@ def stream_bronze(spark: SparkSession, layers: Layers, raw_dir: str, checkpoint:
     """Run the raw-folder stream until every available file is processed."""
 
     def per_batch(batch: DataFrame, epoch_id: int) -> None:
-        bronze = to_bronze(batch).where(F.col("article_date").isNotNull())
-        todo = new_dates_only(bronze, layers.read(spark, "bronze")).checkpoint()
-        if not todo.isEmpty():
-            write_layer(todo, layers.path("bronze"))
-        if cascade:
-            cascade_layers(spark, layers)
+        done = add_bronze(spark, layers, batch)
+        if cascade:  # all days of the batch, so that a replayed batch completes them
+            load_silver(spark, layers, done["days"])
+            load_gold(spark, layers, done["days"])
 
     src = (spark.readStream.schema(files.RAW_SCHEMA).option("header", True).option("multiLine", True)
            .option("quote", '"').option("escape", '"').option("pathGlobFilter", "*.csv")
@@ -42,25 +38,6 @@ def stream_bronze(spark: SparkSession, layers: Layers, raw_dir: str, checkpoint:
     return {"batches": len(q.recentProgress)}
 
 
-def cascade_layers(spark: SparkSession, layers: Layers) -> None:
-    """inc_silver / inc_gold: process the dates missing downstream."""
-    bronze = layers.read(spark, "bronze")
-    if bronze is None:
-        return
-    s_todo = new_dates_only(bronze, layers.read(spark, "silver"))
-    silver = silver_rules(s_todo).select(*SILVER_COLUMNS).withColumn("cleaned_at", F.current_timestamp())
-    silver = silver.checkpoint()
-    if not silver.isEmpty():
-        write_layer(silver, layers.path("silver"))
-    silver_all = layers.read(spark, "silver")
-    if silver_all is None:
-        return
-    g_todo = new_dates_only(silver_all, layers.read(spark, "gold"))
-    gold = enrich_gold(g_todo).select(*GOLD_COLUMNS, "processed_at").checkpoint()
-    if not gold.isEmpty():
-        write_layer(gold, layers.path("gold"))
-
-
 def daily_window(events: DataFrame, watermark: str = "1 day") -> DataFrame:
     """inc_daily_window: per event day and type, count and mean value (streaming-ready)."""
     ts = F.col("ts").cast("timestamp")
@@ -77,8 +54,12 @@ def run_daily_window(spark: SparkSession, source_dir: str, sink_dir: str, checkp
     return the sink contents."""
     schema = spark.read.option("pathGlobFilter", glob).parquet(source_dir).schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(source_dir)
-    q = (daily_window(stream).writeStream.outputMode("append").format("parquet")
-         .option("path", sink_dir).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
+
+    def per_batch(result: DataFrame, epoch_id: int) -> None:
+        result.write.mode("overwrite").parquet(sink_dir)
+
+    # complete mode: every batch brings the whole small result (days x types), open days and late rows included
+    q = (daily_window(stream).writeStream.outputMode("complete").foreachBatch(per_batch)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(sink_dir)

@@ -40,8 +40,20 @@ def test_crawl_closure(spark):
     seeds = spark.createDataFrame([("https://s.org/",)], "url string")
     got = {(r.url, r.depth) for r in X.crawl(pages, seeds).collect()}
     assert got == {("https://s.org/", 0), ("https://s.org/p1", 1), ("https://s.org/p2", 2), ("https://s.org/p3", 3)}
-    capped = {r.url for r in X.crawl(pages, seeds, max_pages_per_site=2).collect()}
-    assert capped == {"https://s.org/", "https://s.org/p1"}
+
+
+def test_crawl_goes_to_the_end(spark):
+    chain = [(f"https://s.org/q{i}", f'<a href="/q{i + 1}">n</a>') for i in range(14)]
+    pages = spark.createDataFrame(chain, "url string, html string")
+    got = {(r.url, r.depth) for r in X.crawl(pages, pages.where("url like '%q0'")).collect()}
+    assert got == {(f"https://s.org/q{i}", i) for i in range(14)}
+    some = X.crawl(pages, pages.where("url like '%q0'"), link_filter=lambda u: ~u.endswith("q5")).count()
+    assert some == 5
+
+
+def test_deeply_nested_page():
+    page = "<html><body><h1>t</h1><article>" + "<div>" * 3000 + "<p>" + "deep words " * 9 + "</p>" + "</div>" * 3000
+    assert X.extract_one("https://x.org/a/b", page, "scroll")[1].startswith("deep words")
 
 
 def test_first_segment(spark):

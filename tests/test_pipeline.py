@@ -58,3 +58,31 @@ def test_stream_equals_batch(spark, sf):
     a = sorted(tuple(r) for r in s_layers.read(spark, "gold").select(*cols).collect())
     b = sorted(tuple(r) for r in b_layers.read(spark, "gold").select(*cols).collect())
     assert a == b and a
+
+
+def test_a_day_in_several_files_and_bad_dates(spark):
+    root = tempfile.mkdtemp(prefix="pw-parts-", dir="/tmp")
+    body = "words enough for an article of the day " * 3
+    one = [(f"h{i}", body, "c", f"https://x/{i}", "ch", "2024-01-05") for i in range(12)]
+    two = [(f"h{i}", body, "c", f"https://x/{i}", "ch", "2024-01-05") for i in range(9, 23)]
+    bad = [("hb", body, "c", "https://x/bad", "ch", "soon")]
+    layers = P.Layers(tempfile.mkdtemp(prefix="pw-parts-wh-", dir="/tmp"))
+    ckpt = os.path.join(tempfile.mkdtemp(dir="/tmp"), "ckpt")
+    for k, rows in enumerate((one, two + bad)):
+        files.write_raw_csv(spark.createDataFrame(rows, files.RAW_SCHEMA), f"{root}/part{k}.csv")
+        INC.stream_bronze(spark, layers, root, ckpt)
+    bronze = layers.read(spark, "bronze")
+    assert bronze.where("article_date is not null").count() == 23 and bronze.where("article_date is null").count() == 1
+    assert layers.read(spark, "gold").select("url").distinct().count() == layers.read(spark, "gold").count() == 24
+    again = P.add_bronze(spark, layers, spark.createDataFrame(two + bad, files.RAW_SCHEMA))
+    assert again["status"] == "already ingested" and layers.read(spark, "bronze").count() == 24
+    batch = P.add_bronze(spark, layers, spark.createDataFrame([("hc", body, "c", "https://x/worse", "ch", "?")], files.RAW_SCHEMA))
+    assert batch["bad_dates"] == 1
+
+
+def test_days_reach_the_scan(spark, sf):
+    layers = P.Layers(tempfile.mkdtemp(prefix="pw-prune-", dir="/tmp"))
+    P.add_bronze(spark, layers, _raw(spark, sf))
+    day = [d for d in P.days_of(layers.read(spark, "bronze")) if d][0]
+    plan = P.on_days(layers.read(spark, "bronze"), [day])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [article_date" in plan.replace("isnotnull(article_date#", "article_date#") or "PartitionFilters: []" not in plan

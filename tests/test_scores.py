@@ -38,7 +38,7 @@ def test_sent_map_blank_text(spark):
 def test_round_half_up(spark):
     r = spark.range(1).select(S.round_half_up(F.lit(2.675), 2).alias("a"), S.round_half_up(F.lit(0.5), 0).alias("b"),
                               S.round_half_up(F.lit(-0.25), 1).alias("c")).first()
-    assert r.a in (2.67, 2.68) and r.b == 1.0 and r.c == -0.2
+    assert r.a in (2.67, 2.68) and r.b == 1.0 and r.c == -0.3
 
 
 def test_softmax_argmax_reorder(spark):
@@ -70,3 +70,10 @@ def test_staged_sent_map_equals_single_column(spark):
     assert staged.columns == one.columns
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, staged.collect()))
     assert one.exceptAll(staged).count() == 0 and staged.exceptAll(one).count() == 0
+
+
+def test_rounding_is_half_away_from_zero(spark):
+    from presswire.functions.scores import round_half_up
+    rows = spark.createDataFrame([(-0.25,), (0.25,), (-1.5,), (None,), (0.0,), (-0.04,)], "x double")
+    got = [r[0] for r in rows.select(round_half_up(rows.x, 1)).collect()]
+    assert got == [-0.3, 0.3, -1.5, None, 0.0, 0.0]
