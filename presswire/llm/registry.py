@@ -22,6 +22,35 @@ def query(name: str, sql: str | None = None):
     return put
 
 
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS k FROM d, unnest(range(1, len(w) - 18)) AS t(i)),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS r FROM windows)
+          WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, i + j AS p FROM later, unnest(range(0, 20)) AS u(j)),
+words AS (SELECT doc_id, p, w[p] AS word FROM d, unnest(range(1, len(w) + 1)) AS t(p)),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS text
+         FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+OP1_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+                     WHERE label IS NOT NULL AND len(embedding) > 0
+                       AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                       AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+u AS (SELECT vec_id, label, len(e) AS dim, e, sqrt(list_dot_product(e, e)) AS norm FROM v),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b USING (label, dim)
+          WHERE a.vec_id <> b.vec_id AND list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.93),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM embeddings
+          UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+SELECT x AS vec_id, CAST((SELECT count(*) FROM links WHERE links.x = reach.x) AS BIGINT) AS n_links,
+       min(y) AS component_id, x = min(y) AS kept FROM reach GROUP BY x
+"""
+
+
 @query("op3_feistel_shards")
 def op3(spark, sf_dir):
     from presswire.llm.sharding import feistel_shards
@@ -75,14 +104,14 @@ def op2(spark, sf_dir):
         "doc_id", "text", "n_email", "n_ip", "n_ssn", "n_phone", "n_card", "n_name")
 
 
-@query("op1_nn_descent")
+@query("op1_nn_descent", OP1_SQL)
 def op1(spark, sf_dir):
     from presswire.llm.nndescent import near_vectors
     from presswire.sources.tables import read_table
     return near_vectors(read_table(spark, sf_dir, "embeddings"))
 
 
-@query("op6_phrase_automata")
+@query("op6_phrase_automata", OP6_SQL)
 def op6(spark, sf_dir):
     from presswire.llm.passages import repeated_passages
     return repeated_passages(common.documents(spark, sf_dir))
