@@ -22,7 +22,7 @@ from presswire.plans.registry import register
 from presswire.plans.registry_text import english_sql, silver, with_silver
 from presswire.session import checkpoint_dir
 from presswire.sources import files
-from presswire.sources.tables import read_table, table_path
+from presswire.sources.tables import read_table
 from presswire.streaming import increments as INC
 
 
@@ -273,11 +273,17 @@ register("src_label_map",
          "SELECT vec_id, label AS label_id, coalesce(CASE label " + " ".join(
              f"WHEN {i} THEN '{x}'" for i, x in enumerate(C.SENTIMENT_LABELS))
          + " END, 'label_' || CAST(label AS VARCHAR)) AS label_name FROM embeddings")(_label_map)
-register("src_multi_source")(lambda s, sf: (lambda found: found["documents"].select("Heading", "Body", "source"))(
-    files.read_sources(s, {"documents": table_path(sf, "documents"), "missing": table_path(sf, "nope")},
-                       required=("text",)) and {"documents": read_table(s, sf, "documents").select(
-                           F.split_part("text", F.lit("."), F.lit(1)).alias("Heading"), F.col("text").alias("Body"),
-                           F.lit("documents").alias("source"))}))
+def _multi_source(s, sf):
+    """Two written sources, one of them without the required columns, and a missing one."""
+    root = scratch(s, "sources")
+    docs = read_table(s, sf, "documents")
+    docs.select(F.split_part("text", F.lit("."), F.lit(1)).alias("Heading"), F.col("text").alias("Body")).write.parquet(root + "/documents")
+    docs.select("doc_id").write.parquet(root + "/ids")
+    found = files.read_sources(s, {x: f"{root}/{x}" for x in ("documents", "ids", "missing")})
+    return next(iter(found.values())) if list(found) == ["documents"] else s.createDataFrame([], "Heading string, Body string, source string")
+
+
+register("src_multi_source")(_multi_source)
 register("sample_head")(lambda s, sf: silver(s, sf).limit(3))
 register("api_scalar", "SELECT CAST(count(*) AS BIGINT) AS total FROM events WHERE event_type = 'click'")(
     lambda s, sf: (read_table(s, sf, "events").createOrReplaceTempView("events_v"),

@@ -77,16 +77,13 @@ def write_links(links: DataFrame, path: str) -> None:
 
 def read_sources(spark: SparkSession, paths: dict[str, str], fmt: str = "parquet",
                  required: tuple[str, ...] = ("Heading", "Body")) -> dict[str, DataFrame]:
-    """src_multi_source: read whichever named sources exist; a source that is
-    missing, unreadable or lacks the required columns is skipped."""
+    """src_multi_source: read whichever named sources exist; a source that is missing or lacks the
+    required columns is skipped, one that cannot be read is an error."""
     out: dict[str, DataFrame] = {}
     for name, path in paths.items():
         if not path_exists(spark, path):
             continue
-        try:
-            df = spark.read.format(fmt).option("header", True).load(path)
-        except Exception:  # noqa: BLE001 - malformed source is skipped, as documented
-            continue
+        df = spark.read.format(fmt).option("header", True).load(path)
         if all(c in df.columns for c in required):
             out[name] = df.withColumn("source", F.lit(name))
     return out
