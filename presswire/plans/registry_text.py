@@ -173,9 +173,10 @@ register("cls_blank", with_raw(
     f"SELECT doc_id, CASE WHEN t IS NULL OR {strip('t')} = '' THEN 'Politics' ELSE "
     f"{keyword_category_sql('t', C.KEYWORD_MAP_SMALL)} END AS category FROM "
     f"(SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN ' ' ELSE heading END AS t FROM raw)"))(
-    lambda s, sf: raw(s, sf).withColumn("t", F.when(F.col("doc_id") % 5 == 0, F.lit(" ")).otherwise(F.col("heading")))
-    .select("doc_id", E.classify_blank_default(F.col("t"), E.classify_keywords(F.col("t"), C.KEYWORD_MAP_SMALL))
-            .alias("category")))
+    lambda s, sf: E.with_category(
+        raw(s, sf).withColumn("t", F.when(F.col("doc_id") % 5 == 0, F.lit(" ")).otherwise(F.col("heading"))),
+        "t", "found", C.KEYWORD_MAP_SMALL)
+    .select("doc_id", E.classify_blank_default(F.col("t"), F.col("found")).alias("category")))
 register("join_keyword", with_silver(f"SELECT doc_id, {keyword_category_sql('body_cleaned')} AS category FROM silver"))(
     lambda s, sf: E.classify_keywords_join(silver(s, sf, TEXT), "doc_id", "body_cleaned", E.keyword_dim(s)))
 register("sent_polarity", with_silver(f"SELECT doc_id, {polarity_sql('body_cleaned')} AS polarity FROM silver"))(
@@ -198,8 +199,8 @@ register("join_ministry", with_silver(
     f"SELECT doc_id, _c AS category, {ministry('_c')} AS ministry FROM "
     f"(SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'Weather' ELSE {keyword_category_sql('body_cleaned')} END AS _c FROM silver)"))(
     lambda s, sf: E.join_ministry(
-        silver(s, sf).select("doc_id", F.when(F.col("doc_id") % 9 == 0, F.lit("Weather"))
-                             .otherwise(E.classify_keywords(F.col("body_cleaned"))).alias("category")),
+        E.with_category(silver(s, sf, TEXT), "body_cleaned", "found").select(
+            "doc_id", F.when(F.col("doc_id") % 9 == 0, F.lit("Weather")).otherwise(F.col("found")).alias("category")),
         s.createDataFrame(list(C.MINISTRY_MAP.items()), "category string, ministry string")))
 
 
