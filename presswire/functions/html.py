@@ -22,30 +22,70 @@ def nullif_blank(c: Column) -> Column:
     return F.when(c != F.lit(""), c)
 
 
+# A tag's attributes (quoted values may hold ">"), one attribute, and what the browser never shows.
+ATTRS = r"""(?=[\s/>])((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
+ATTR = r"""([^\s"'>/=]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+COMMENT = r"<!--.*?-->"
+HIDDEN = rf"(?is){COMMENT}|<(script|style)\b[^>]*>.*?</\1\s*>"
+
+
+def let(value: Column, then) -> Column:
+    """``then(value)`` with ``value`` computed once per row."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+def visible(html: Column) -> Column:
+    """The markup without comments, scripts and styles."""
+    return F.regexp_replace(html, HIDDEN, "")
+
+
+def tag_attrs(html: Column, tag: str) -> Column:
+    """Attribute texts of every ``<tag ...>`` in document order, tag name in any case."""
+    return F.regexp_extract_all(html, F.lit(rf"(?i)<{tag}{ATTRS}"), F.lit(1))
+
+
+def attr(attrs: Column, name: str) -> Column:
+    """Value of the first attribute ``name`` (any case; value in double quotes, single quotes or
+    bare) with its entities decoded, NULL when absent."""
+    names = F.transform(F.regexp_extract_all(attrs, F.lit(ATTR), F.lit(1)), F.lower)
+    values = F.regexp_extract_all(attrs, F.lit(ATTR), F.lit(2))
+    value = F.get(values, F.array_position(names, name).cast("int") - F.lit(1))
+    return unescape_basic(F.regexp_replace(value, r"""^["']|["']$""", ""))
+
+
+def first_value(values: Column) -> Column:
+    """First non-blank element (NULL when there is none)."""
+    return F.get(F.filter(values, lambda v: v != F.lit("")), 0)
+
+
 def html_lang(html: Column) -> Column:
     """ext_lang: value of ``<html lang="...">`` (NULL when absent)."""
-    return nullif_blank(F.regexp_extract(html, r'(?i)<html\b[^>]*\blang="([^"]*)"', 1))
+    return nullif_blank(attr(F.get(tag_attrs(visible(html), "html"), 0), "lang"))
 
 
-def meta_content(html: Column, attr: str, value: str) -> Column:
-    """fn_html_meta: ``content`` of the first ``<meta attr="value">`` (either attribute order)."""
-    v = re.escape(value)
-    a = rf'<meta\b[^>]*\b{attr}="{v}"[^>]*\bcontent="([^"]*)"'
-    b = rf'<meta\b[^>]*\bcontent="([^"]*)"[^>]*\b{attr}="{v}"'
-    return F.coalesce(nullif_blank(F.regexp_extract(html, a, 1)), nullif_blank(F.regexp_extract(html, b, 1)))
+def _meta(metas: Column, name: str, value: str) -> Column:
+    tags = F.filter(metas, lambda m: attr(m, name) == F.lit(value))
+    return first_value(F.transform(tags, lambda m: attr(m, "content")))
+
+
+def meta_content(html: Column, name: str, value: str) -> Column:
+    """fn_html_meta: first non-blank ``content`` of a ``<meta name="value">`` (any attribute order)."""
+    return let(tag_attrs(visible(html), "meta"), lambda metas: _meta(metas, name, value))
 
 
 def time_datetime(html: Column) -> Column:
-    return nullif_blank(F.regexp_extract(html, r'<time\b[^>]*\bdatetime="([^"]*)"', 1))
+    return first_value(F.transform(tag_attrs(visible(html), "time"), lambda t: attr(t, "datetime")))
 
 
 def json_ld_date(html: Column) -> Column:
     """fn_json_ld_date: datePublished of the first JSON-LD script that has one
-    (a list uses its first element; unparsable scripts are skipped)."""
-    scripts = F.regexp_extract_all(
-        html, F.lit(r'(?s)<script\b[^>]*\btype="application/ld\+json"[^>]*>(.*?)</script>'), F.lit(1))
-    dates = F.transform(scripts, lambda s: F.coalesce(F.get_json_object(s, "$.datePublished"),
-                                                      F.get_json_object(s, "$[0].datePublished")))
+    (a list uses its first element; unparsable scripts and those in comments are skipped)."""
+    script = rf"(?is){COMMENT}|<script\b([^>]*)>(.*?)</script\s*>"
+    scripts = F.arrays_zip(F.regexp_extract_all(html, F.lit(script), F.lit(1)).alias("attrs"),
+                           F.regexp_extract_all(html, F.lit(script), F.lit(2)).alias("body"))
+    linked = F.filter(scripts, lambda s: F.lower(attr(s["attrs"], "type")) == F.lit("application/ld+json"))
+    dates = F.transform(linked, lambda s: F.coalesce(F.get_json_object(s["body"], "$.datePublished"),
+                                                     F.get_json_object(s["body"], "$[0].datePublished")))
     return F.get(F.filter(dates, lambda x: x.isNotNull()), 0)
 
 
@@ -67,10 +107,13 @@ def iso_prefix(c: Column) -> Column:
 def article_date(html: Column, url: Column, workspace: bool = False) -> Column:
     """ext_date: meta properties -> meta names -> <time datetime> -> JSON-LD -> URL."""
     names = C.DATE_META_NAMES_WORKSPACE if workspace else C.DATE_META_NAMES
-    cands = ([meta_content(html, "property", p) for p in C.DATE_META_PROPERTIES]
-             + [meta_content(html, "name", n) for n in names]
-             + [time_datetime(html), json_ld_date(html)])
-    return F.coalesce(*[iso_prefix(c) for c in cands], url_date(url, workspace))
+
+    def from_metas(metas: Column) -> Column:
+        return F.coalesce(*[iso_prefix(_meta(metas, "property", p)) for p in C.DATE_META_PROPERTIES],
+                          *[iso_prefix(_meta(metas, "name", n)) for n in names])
+
+    return F.coalesce(let(tag_attrs(visible(html), "meta"), from_metas), iso_prefix(time_datetime(html)),
+                      iso_prefix(json_ld_date(html)), url_date(url, workspace))
 
 
 def unescape_basic(c: Column) -> Column:
@@ -88,17 +131,16 @@ def strip_tags(c: Column) -> Column:
 
 def first_h1(html: Column) -> Column:
     """ext_heading: text of the first <h1> (NULL when there is none)."""
-    inner = F.regexp_extract(html, r"(?is)<h1\b[^>]*>(.*?)</h1>", 1)
-    has = F.regexp_extract(html, r"(?i)(<h1\b)", 1) != F.lit("")
-    return F.when(has, F.trim(strip_tags(inner)))
+    inner = F.get(F.regexp_extract_all(visible(html), F.lit(r"(?is)<h1\b[^>]*>(.*?)</h1\s*>"), F.lit(1)), 0)
+    return F.trim(strip_tags(inner))
 
 
 def article_paragraphs(html: Column) -> Column:
     """Texts of the <p> elements inside the first <article> (regex form)."""
-    art = F.regexp_extract(html, r"(?is)<article\b[^>]*>(.*?)</article>", 1)
+    art = F.regexp_extract(visible(html), r"(?is)<article\b[^>]*>(.*?)</article\s*>", 1)
     parts = F.split(art, r"(?i)<p\b[^>]*>")
     pieces = F.slice(parts, F.lit(2), F.size(parts) - 1)
-    paras = F.transform(pieces, lambda p: F.substring_index(p, "</p>", 1))
+    paras = F.transform(pieces, lambda p: F.get(F.split(p, r"(?i)</p\s*>", 2), 0))
     return F.filter(F.transform(paras, lambda p: F.trim(strip_tags(p))), lambda t: t != F.lit(""))
 
 
@@ -111,7 +153,7 @@ def drop_last_paragraphs(paras: Column, n: int = 4, keep_at_least: int = 1) -> C
 
 def href_list(html: Column) -> Column:
     """All ``a[href]`` values, in document order."""
-    return F.regexp_extract_all(html, F.lit(r'(?i)<a\b[^>]*\bhref="([^"]*)"'), F.lit(1))
+    return F.filter(F.transform(tag_attrs(visible(html), "a"), lambda a: attr(a, "href")), lambda h: h.isNotNull())
 
 
 def url_host(url: Column) -> Column:

@@ -110,7 +110,25 @@ def dated_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
               .otherwise(F.lit("")))
     url = F.when(k == 4, F.concat(F.lit("https://news.example.org/"), F.regexp_replace(d, "-", "/"),
                                   F.lit("/"), pid.cast("string"))).otherwise(F.col("url"))
-    return p.select(pid.alias("page_id"), url.alias("url"), F.concat(prefix, F.col("html")).alias("html"))
+    return p.select(pid.alias("page_id"), url.alias("url"), F.concat(prefix, F.col("html")).alias("html")) \
+        .withColumn("html", rewritten_markup(F.col("html"), pid % F.lit(5)))
+
+
+def rewritten_markup(html: F.Column, variant: F.Column) -> F.Column:
+    """The same page in other notations: 1 single quotes, 2 upper-case names, 3 decoys in a comment
+    and a script, 4 bare attribute values.  The SQL twins read the page as it was."""
+    decoy = ('<!-- <html lang="zz"><meta property="article:published_time" content="1999-01-01"><time datetime='
+             '"1999-01-01"><h1>decoy</h1><a href="/decoy">x</a><article><p>decoy</p></article> -->'
+             """<script>var s = '<a href="/decoy2"><meta name="pubdate" content="1999-01-01">';</script>""")
+    upper = html
+    for name in ("<a href", "<html lang", "<meta property", "<meta name", "<time datetime", "<article", "<h1", "<p>",
+                 "</p>", "</article", "</h1"):
+        upper = F.replace(upper, F.lit(name), F.lit(name.upper()))
+    return (F.when(variant == 1, F.regexp_replace(html, '="([^"]*)"', "='$1'"))
+            .when(variant == 2, upper)
+            .when(variant == 3, F.concat(F.lit(decoy), html))
+            .when(variant == 4, F.regexp_replace(html, '(<a href|<html lang|content)="([^" >]+)"', "$1=$2"))
+            .otherwise(html))
 
 
 def workspace_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,3 +62,22 @@ def test_first_segment(spark):
                                 "page int, pos int, url string")
     got = {(r.page, r.pos) for r in X.first_segment_urls(log, "page", "pos", "url", 3).collect()}
     assert got == {(1, 1), (1, 3), (2, 1)}
+
+
+MARKUP = ("<!-- <a href='/no'><html lang='zz'> --><HTML dir=ltr LANG='en-GB'><META content = '2024-05-06T01:02' "
+          "property='article:published_time'><script>var a = \"<a href='/no'>\"</script>"
+          "<a data-href='/no' title='a > b' href='/x'>1</a><A class=c HREF=/y>2</A><a href=\"/z?a=1&amp;b=2\">3</a>"
+          "<a name=n>4</a><a href=''>5</a><abbr href='/no'>6</abbr>")
+
+
+def test_markup_notations_match_the_html_parser(spark):
+    df = spark.createDataFrame([("https://s.org/", MARKUP), ("https://s.org/n", None), ("https://s.org/e", "")],
+                               "url string, html string")
+    r = df.select("url", H.href_list(F.col("html")).alias("links"), H.html_lang(F.col("html")).alias("lang"),
+                  H.article_date(F.col("html"), F.col("url")).alias("date")).collect()
+    root = X.parse_html(MARKUP)
+    parsed = [n.attrs["href"] for n in root.find_all(lambda n: n.tag == "a" and "href" in n.attrs)]
+    assert r[0].links == parsed == ["/x", "/y", "/z?a=1&b=2", ""]
+    assert (r[0].lang, r[0].date) == ("en-GB", "2024-05-06")
+    assert (r[1].links, r[1].lang, r[1].date) == (None, None, None)
+    assert (r[2].links, r[2].lang, r[2].date) == ([], None, None)
