@@ -184,6 +184,20 @@ CRAWL_SKIP_SEGMENTS: list[str] = [
     "astrology", "visualstories", "photos", "photo-gallery", "live-tv", "podcast",
 ]
 
+# Crawled sites: (site rule, start page, host, channel).
+SOURCES: list[tuple[str, str, str, str]] = [
+    ("toi", "https://timesofindia.indiatimes.com", "timesofindia.indiatimes.com", "TimesOfIndia"),
+    ("ht", "https://www.hindustantimes.com", "www.hindustantimes.com", "HindustanTimes"),
+    ("thehindu", "https://www.thehindu.com", "www.thehindu.com", "TheHindu"),
+    ("indianexpress", "https://indianexpress.com", "indianexpress.com", "IndianExpress"),
+    ("indiatoday", "https://www.indiatoday.in", "www.indiatoday.in", "IndiaToday"),
+    ("theprint", "https://theprint.in", "theprint.in", "ThePrint"),
+    ("et", "https://economictimes.indiatimes.com", "economictimes.indiatimes.com", "EconomicTimes"),
+    ("livemint", "https://www.livemint.com", "www.livemint.com", "LiveMint"),
+    ("scroll", "https://scroll.in", "scroll.in", "Scroll"),
+    ("aajtak", "https://www.aajtak.in", "www.aajtak.in", "AajTak"),
+]
+
 # Publish-date sources, in fallback order.
 DATE_META_PROPERTIES: list[str] = ["article:published_time", "og:article:published_time"]
 DATE_META_NAMES: list[str] = ["publish-date", "date", "pubdate", "publishdate", "original-source"]

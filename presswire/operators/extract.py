@@ -125,7 +125,7 @@ def parse_html(html: str) -> Node:
     try:
         b.feed(html or "")
         b.close()
-    except Exception:  # noqa: BLE001 - malformed markup keeps what was parsed
+    except AssertionError:  # the parser's answer to a broken declaration: keep what was parsed
         pass
     return b.root
 
@@ -237,21 +237,48 @@ ARTICLE_SCHEMA = "page_id bigint, url string, heading string, body string, categ
 
 def _extract_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        rows = []
-        for pid, url, html, rule in zip(b["page_id"], b["url"], b["html"], b["rule"]):
-            r = extract_one(url or "", html or "", rule) if rule in SITE_RULES else None
-            if r is not None:
-                rows.append((pid, url, r[0], r[1], r[2]))
-        yield pd.DataFrame(rows, columns=["page_id", "url", "heading", "body", "category_from_url"])
-
-
-def extract_articles(pages: DataFrame, rule: Column, min_body: int = C.MIN_BODY_CHARS) -> DataFrame:
-    """ext_article: per-site rule extraction, then the crawler's ``len(strip(body)) > 50``."""
-    src = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html", rule.alias("rule"))
-    out = src.mapInPandas(_extract_batches, ARTICLE_SCHEMA)
+        found = [extract_one(url or "", html or "", rule) if rule in SITE_RULES else None
+                 for url, html, rule in zip(b["url"], b["html"], b["rule"])]
+        out = b.drop(columns=["html", "rule"])
+        for i, name in enumerate(("heading", "body", "category_from_url")):
+            out[name] = [r[i] if r else None for r in found]
+        yield out[[r is not None for r in found]]
+
+
+def extract_articles(pages: DataFrame, rule: Column, min_body: int = C.MIN_BODY_CHARS,
+                     keep: dict[str, Column] | None = None) -> DataFrame:
+    """ext_article: per-site rule extraction, then the crawler's ``len(strip(body)) > 50``.
+
+    ``keep`` names string columns that go along with the page."""
+    extra = keep or {}
+    src = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html", rule.alias("rule"),
+                       *[c.alias(name) for name, c in extra.items()])
+    schema = ARTICLE_SCHEMA + "".join(f", {name} string" for name in extra)
+    out = src.mapInPandas(_extract_batches, schema)
     return out.where(F.length(F.trim(F.col("body"))) > F.lit(min_body))
 
 
+def raw_articles(pages: DataFrame, run_date: str | None = None,
+                 sources: list[tuple[str, str, str, str]] | None = None) -> DataFrame:
+    """Captured pages -> raw articles of every listed site in one job.
+
+    The page's host names its source, which gives rule and channel; pages of other hosts go.  The
+    publish date is read before the parser runs, so with ``run_date`` only that day's pages reach it.
+    ``sources``: (rule, start page, host, channel), by default the fixed list.
+    """
+    listed = sources or C.SOURCES
+    host = H.url_host(F.col("url"))
+    rule, channel = (F.try_element_at(F.create_map(*[F.lit(x) for s in listed for x in (s[2], s[i])]), host)
+                     for i in (0, 3))
+    dated = (pages.withColumn("_rule", rule).where(F.col("_rule").isNotNull())
+             .withColumn("_channel", channel)
+             .withColumn("_date", H.article_date(F.col("html"), F.col("url"))))
+    if run_date is not None:
+        dated = dated.where(F.col("_date") == F.lit(run_date))
+    found = extract_articles(dated, F.col("_rule"), keep={"channel": F.col("_channel"), "article_date": F.col("_date")})
+    return found.select("page_id", "heading", "body", "category_from_url", "url", "channel", "article_date")
+
+
 # ---------------------------------------------------------------------------
 # crawl closure
 # ---------------------------------------------------------------------------

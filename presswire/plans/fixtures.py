@@ -131,6 +131,68 @@ def rewritten_markup(html: F.Column, variant: F.Column) -> F.Column:
             .otherwise(html))
 
 
+# Article container of each site rule (fixture markup that the rules must find).
+SITE_CONTAINERS = {
+    "toi": "<div class=x data-articlebody='1'>",
+    "ht": "<DIV class='story detailPage'>",
+    "thehindu": '<div class="col ArticleBodyContent">',
+    "indianexpress": '<div id="pcl-full-content">',
+    "indiatoday": '<div class="story__content__body"><div class="new Story_description__x">',
+    "theprint": "<div id=postexcerpt>",
+    "et": '<div class="artText">',
+    "livemint": '<div class="contentSec">',
+    "scroll": '<div class="article-body">',
+    "aajtak": '<div class="story-with-main-sec">',
+    "news18": '<div class="article-body x">',
+    "indiatv": '<div id="content">',
+    "news18_punjab": '<div class="article_content_x">',
+}
+SITE_HEADINGS = {"aajtak": '<h1>site</h1><div class="story-heading"><h1>',
+                 "indiatv": '<h1>site</h1><div class="article-title"><h1>',
+                 "news18": '<h1>site</h1><h1 class="article_heading1">',
+                 "news18_punjab": '<h1>site</h1><h1 class="article_heading1">'}
+SITE_LANGS = {"aajtak": "hi", "news18_punjab": "pa", "theprint": "en-US"}
+SITE_HOSTS = {rule: host for rule, _, host, _ in C.SOURCES} | {
+    "news18": "www.news18.com", "indiatv": "www.indiatvnews.com", "news18_punjab": "punjab.news18.com"}
+SITE_PARAGRAPHS = 6
+SITE_SECTIONS = ["cities", "news", "sports"]
+
+
+def site_pages(spark: SparkSession, sf_dir: str, rule: str | None = None) -> DataFrame:
+    """pages -> pages in the markup of ``rule``'s site; without a rule, of the sites in turn.
+
+    The words are the page's own, in six paragraphs.  page_id % 7 = 3 has no article container,
+    4 a plain ``<article>``, page_id % 11 = 5 a foreign language.
+    """
+    pid = F.col("page_id")
+    names = F.array(*[F.lit(r) for r in SITE_CONTAINERS])
+    site = F.lit(rule) if rule else F.element_at(names, (pid % len(SITE_CONTAINERS)).cast("int") + 1)
+
+    def by_site(values: dict[str, str], default: str = "") -> F.Column:
+        table = F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
+        return F.coalesce(F.try_element_at(table, F.col("site")), F.lit(default))
+
+    words = F.trim(F.regexp_replace(F.col("html"), "[^A-Za-z]+", " "))
+    p = spread(read_table(spark, sf_dir, "pages"), "page_id").select(pid, words.alias("w"), site.alias("site"))
+    size = F.floor(F.length("w") / SITE_PARAGRAPHS).cast("int")
+    parts = [F.substring(F.col("w"), F.lit(i) * size + 1, size) for i in range(SITE_PARAGRAPHS)]
+    tail = F.when(F.col("site").isin("aajtak", "news18_punjab"), F.lit("&nbsp;\n")).otherwise(F.lit(""))
+    paras = F.concat(*[F.concat(F.lit("<p><!-- no --><script>no</script><b>"), c, tail, F.lit("</b></p>")) for c in parts])
+    lines = F.concat(*[F.concat(c, F.lit("<br>")) for c in parts])
+    plain = (F.col("site") == "toi") | ((F.col("site") == "et") & (pid % 2 == 0))
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (pid % F.lit(PAGE_DAYS)).cast("int")).cast("string")
+    section = F.element_at(F.array(*[F.lit(x) for x in SITE_SECTIONS]), (pid % 3).cast("int") + 1)
+    url = F.concat(F.lit("https://"), by_site(SITE_HOSTS), F.lit("/"), section, F.lit("/world/"), pid.cast("string"))
+    lang = F.when(pid % 11 == 5, F.lit("xx")).otherwise(by_site(SITE_LANGS, "en"))
+    container = (F.when(pid % 7 == 3, F.lit("<div class=other>")).when(pid % 7 == 4, F.lit("<article>"))
+                 .otherwise(by_site(SITE_CONTAINERS)))
+    return p.select(pid, url.alias("url"), F.concat(
+        F.lit("<html lang='"), lang, F.lit("'><META content='"), day,
+        F.lit("T08:00' property=article:published_time>"), by_site(SITE_HEADINGS, "<h1>"), F.lit("Story "),
+        pid.cast("string"), F.lit("</h1>"), container, F.when(plain, lines).otherwise(paras),
+        F.lit("</div></body></html>")).alias("html"))
+
+
 def workspace_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents -> workspace rows (Heading, Body, Category, URL, Date, sheet, doc_id).
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from presswire import constants as C
 from presswire.functions.text import WS_CLASS, contraction_pattern
 from presswire.plans.fixtures import (DOC_CATEGORY_PHRASES, DOC_DAYS, DOC_SENTIMENT_PHRASES,
-                                      EVENT_CATEGORIES, PAGE_DAYS)
+                                      EVENT_CATEGORIES, PAGE_DAYS, SITE_HOSTS, SITE_PARAGRAPHS, SITE_SECTIONS)
 
 WS = f"[{WS_CLASS}]"
 NONWORD = rf"[^\p{{L}}\p{{N}}_{WS_CLASS}]"
@@ -188,3 +188,33 @@ dpages AS (SELECT page_id,
            WHEN 3 THEN '<script type="application/ld+json">[{{"datePublished": "' || _d || 'T08:00"}}]</script>'
            ELSE '' END) || html AS html
   FROM _pg)"""
+
+
+def site_articles_sql(rule: str) -> str:
+    """What the rule must find on ``fixtures.site_pages``, from the pages' own words."""
+    n = SITE_PARAGRAPHS
+    parts = "[" + ", ".join(f"substring(w, {i} * z + 1, z)" for i in range(n)) + "]"
+    texts = f"array_to_string(list_filter(list_transform({parts}, lambda _p: trim(_p)), lambda _p: _p != ''), ' ')"
+    joiner = "" if rule in ("news18", "indiatv", "news18_punjab") else " "
+    kept = 2 if rule in ("theprint", "aajtak", "indiatv") else n
+    paras = f"trim(array_to_string(({parts})[1:{kept}], '{joiner}'))"
+    body = texts if rule == "toi" else f"CASE WHEN page_id % 2 = 0 THEN {texts} ELSE {paras} END" if rule == "et" else paras
+    section = pick(SITE_SECTIONS, "page_id", len(SITE_SECTIONS))
+    cat = {"indiatoday": f"CASE {section} WHEN 'cities' THEN 'india' ELSE {section} END",
+           "indiatv": f"CASE {section} WHEN 'news' THEN 'world' ELSE {section} END"}.get(rule, section)
+    lost = "page_id % 7 = 3" if rule in ("thehindu", "et", "livemint", "scroll") else "page_id % 7 IN (3, 4)"
+    if rule in ("theprint", "aajtak", "news18", "news18_punjab"):
+        lost += " OR page_id % 11 = 5"
+    return (f"SELECT page_id, 'https://{SITE_HOSTS[rule]}/' || {section} || '/world/' || CAST(page_id AS VARCHAR) AS url, "
+            f"'Story ' || CAST(page_id AS VARCHAR) AS heading, body, {cat} AS category_from_url FROM (SELECT page_id, {body} AS body "
+            "FROM (SELECT *, CAST(floor(length(w) / 6) AS INTEGER) AS z FROM (SELECT page_id, "
+            "trim(regexp_replace(html, '[^A-Za-z]+', ' ', 'g')) AS w FROM pages))) "
+            f"WHERE length(body) > {C.MIN_BODY_CHARS} AND NOT ({lost})")
+
+
+def raw_articles_sql() -> str:
+    day = f"CAST(CAST(DATE '2024-01-01' + CAST(page_id % {PAGE_DAYS} AS INTEGER) AS DATE) AS VARCHAR)"
+    return " UNION ALL ".join(
+        f"SELECT page_id, heading, body, category_from_url, url, {q(channel)} AS channel, {day} AS article_date "
+        f"FROM ({site_articles_sql(rule)}) WHERE page_id % {len(SITE_HOSTS)} = {i}"
+        for i, (rule, _, _, channel) in enumerate(C.SOURCES))

@@ -15,7 +15,7 @@ from presswire.plans import catalog as Q
 from presswire.plans import fixtures as FX
 from presswire.plans import pipeline as P
 from presswire.plans import report as R
-from presswire.plans.oracle import d, rnd, strip, with_gold
+from presswire.plans.oracle import d, rnd, site_articles_sql, strip, with_gold
 from presswire.plans.registry import AS_OF, DAY, GOLD_COLS, register
 from presswire.plans.registry_misc import WS, _daily_files, _forest, results, scratch
 from presswire.plans.registry_pages import dp, strip_tags_sql, with_pages
@@ -159,7 +159,8 @@ register("agg_scrape_counts", with_pages(
     .agg(F.count(F.lit(1)).alias("articles")).orderBy(F.desc("articles"), "channel"))
 
 for _rule in X.SITE_RULES:
-    register(_rule)((lambda r: lambda s, sf: X.extract_articles(dp(s, sf), F.lit(r)))(_rule))
+    register(_rule, site_articles_sql(_rule))(
+        (lambda r: lambda s, sf: X.extract_articles(FX.site_pages(s, sf, r), F.lit(r)))(_rule))
 
 # --- link filter ----------------------------------------------------------------------
 

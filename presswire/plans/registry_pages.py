@@ -11,7 +11,7 @@ from presswire.functions import scores as S
 from presswire.operators import extract as X
 from presswire.operators.joins import anti_visited
 from presswire.plans import fixtures as FX
-from presswire.plans.oracle import d, dated_pages_cte, q, rnd, strlist
+from presswire.plans.oracle import d, dated_pages_cte, q, raw_articles_sql, rnd, strlist
 from presswire.plans.registry import register
 from presswire.sources.tables import read_table
 
@@ -162,9 +162,11 @@ register("join_frontier", with_pages(
         .unionByName(dp(s, sf).where(H.html_lang(F.col("html")) == "en").select("url")).distinct(),
         "url", "left_semi").select("page_id", "url"))
 
-# Rows-only (HTML parser in mapInPandas; iterative closure)
-register("ext_article")(
-    lambda s, sf: X.extract_articles(dp(s, sf), F.lit("scroll")))
+register("ext_article", raw_articles_sql())(lambda s, sf: X.raw_articles(FX.site_pages(s, sf)))
+register("ext_article_date", f"SELECT * FROM ({raw_articles_sql()}) WHERE article_date = '{TARGET}'")(
+    lambda s, sf: X.raw_articles(FX.site_pages(s, sf), TARGET))
+
+# Rows-only (iterative closure)
 register("ext_crawl")(
     lambda s, sf: X.crawl(read_table(s, sf, "pages"),
                           read_table(s, sf, "pages").where(H.html_lang(F.col("html")) == "en").select("url")))
