@@ -7,8 +7,8 @@ classifier defaults to one Aho-Corasick pass in an Arrow-batched pandas UDF
 (measured 10x faster than 190 substring scans) with the pure expression
 form as an option.  Each
 lookup that could grow with user input (keyword map, lexicon, ministry
-table) has a DataFrame-join form as well, used when the table is too big to
-inline; the inline form is only used below a checked size.
+table) has a DataFrame-join form as well, for tables too big to inline; the
+planner broadcasts such a table when its bytes are below the threshold.
 """
 
 from __future__ import annotations
@@ -22,11 +22,10 @@ from pyspark.sql import functions as F
 from presswire import constants as C
 from presswire.functions import scores as S
 from presswire.functions.text import is_blank
-from presswire.operators.joins import checked_broadcast
 from presswire.operators.rules import compute_once
 
-# Above this many keywords / lexicon entries the inline expression is replaced
-# by a join against a DataFrame (the expression would exceed codegen limits).
+# The inline forms refuse tables above these sizes (the expression would exceed
+# codegen limits); the join forms take tables of any size.
 INLINE_KEYWORD_LIMIT = 2000
 INLINE_LEXICON_LIMIT = 5000
 
@@ -158,19 +157,25 @@ def keyword_dim(spark, keyword_map: Mapping[str, list[str]] | None = None) -> Da
 
 
 def classify_keywords_join(df: DataFrame, key: str, text_col: str, keywords: DataFrame,
-                           default: str = C.DEFAULT_CATEGORY, max_broadcast_rows: int = 100_000) -> DataFrame:
-    """join_keyword: theta join ``contains(text, keyword)`` then per-row winner.
+                           default: str = C.DEFAULT_CATEGORY) -> DataFrame:
+    """join_keyword: ``contains(text, keyword)`` as an equality join, then the winner per key.
 
-    Returns (key, category).  The keyword side is broadcast after a row-count
-    check; the join result holds only hits, aggregated partially per
-    partition before the shuffle on ``key``.
+    A text gives its distinct snippets (every position, as long as the longest keyword); snippet and
+    keyword meet by their first characters (as many as the shortest keyword has) and match when the
+    snippet starts with the keyword.  So no text meets every keyword, and a keyword table of any size
+    can be joined.  ``key`` names one text; a key without any hit gets ``default``.  Returns (key, category).
     """
-    kw = checked_broadcast(keywords, max_broadcast_rows)
-    docs = df.select(F.col(key), F.lower(F.col(text_col)).alias("_t"))
-    # left join: a row without any hit keeps one row with NULL category, so the
-    # default is assigned without joining back to the input
-    hits = (docs.join(kw, F.instr(F.col("_t"), F.col("keyword")) > 0, "left")
-            .groupBy(key, "category", "rank").agg(F.count("keyword").alias("score")))
+    kw = keywords.select("category", "rank", "keyword").where(F.length("keyword") > 0)
+    shortest, longest = kw.agg(F.min(F.length("keyword")), F.max(F.length("keyword"))).first()
+    if longest is None:
+        return df.select(key).distinct().withColumn("category", F.lit(default))
+    # a lookahead matches at every position and takes what follows
+    snippets = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(f"(?s)(?=(.{{1,{longest}}}))"), F.lit(1)))
+    docs = df.select(F.col(key), F.explode_outer(snippets).alias("_s"))
+    head = F.substring(F.col("_s"), 1, shortest)
+    hits = (docs.join(kw.withColumn("_head", F.substring("keyword", 1, shortest)),
+                      (head == F.col("_head")) & F.col("_s").startswith(F.col("keyword")), "left")
+            .groupBy(key, "category", "rank").agg(F.count_distinct("keyword").alias("score")))
     best = hits.groupBy(key).agg(F.max(F.when(F.col("score") > 0, F.struct(
         F.col("score"), (-F.col("rank")).alias("nr"), F.col("category")))).alias("b"))
     return best.select(key, F.coalesce(F.col("b.category"), F.lit(default)).alias("category"))
@@ -187,12 +192,9 @@ def ministry_of(category: Column, ministry_map: Mapping[str, str] | None = None)
     return F.coalesce(F.try_element_at(lookup, category), category)
 
 
-def join_ministry(df: DataFrame, ministries: DataFrame, category_col: str = "category",
-                  max_broadcast_rows: int = 100_000) -> DataFrame:
-    """join_ministry (table form): left join on category with a user ministry table
-    (category, ministry); broadcast only after a row-count check."""
-    dim = checked_broadcast(ministries.select(F.col("category").alias("_mcat"), F.col("ministry").alias("_min")),
-                            max_broadcast_rows)
+def join_ministry(df: DataFrame, ministries: DataFrame, category_col: str = "category") -> DataFrame:
+    """join_ministry (table form): left join on category with a user ministry table (category, ministry)."""
+    dim = ministries.select(F.col("category").alias("_mcat"), F.col("ministry").alias("_min"))
     return (df.join(dim, F.col(category_col) == F.col("_mcat"), "left")
             .withColumn("ministry", F.coalesce(F.col("_min"), F.col(category_col)))
             .drop("_mcat", "_min"))
@@ -255,32 +257,30 @@ def lexicon_dim(spark, lexicon: Mapping[str, float] | None = None) -> DataFrame:
 
 
 def join_lexicon(df: DataFrame, key: str, text_col: str, lexicon: DataFrame,
-                 negation: str = C.NEGATION_WORD, factor: float = C.NEGATION_FACTOR,
-                 max_broadcast_rows: int = 1_000_000) -> DataFrame:
-    """join_lexicon (table form): explode tokens, join the lexicon, grouped mean.
-
-    Returns (key, polarity) for every input key.  The lexicon is broadcast
-    after a row-count check; the grouped mean is partially aggregated per
-    partition (tokens of one row are adjacent), so the shuffle carries one
-    small row per key.
+                 negation: str = C.NEGATION_WORD, factor: float = C.NEGATION_FACTOR) -> DataFrame:
+    """join_lexicon (table form): tokens joined with the lexicon, grouped mean.
+
+    Returns (key, polarity) for every row of ``df``.  A group is one text of one key (key and SHA-256
+    of the text, the same in every retry); rows that agree in both come back as often as they were given.
     """
-    lex = checked_broadcast(lexicon.select(F.col("word"), F.col("polarity")), max_broadcast_rows)
+    lex = lexicon.select(F.col("word"), F.col("polarity")).dropDuplicates(["word"])
     toks, prev = token_pairs(F.col(text_col))
     # (word, previous word) pairs are built inside the row, so the explode
     # needs neither a window nor a self-join.
     pairs = F.zip_with(toks, prev, lambda t, p: F.struct(t.alias("word"), p.alias("prev")))
-    # one group per input row (per-row id), so repeated keys are not merged
-    rows = df.select(F.col(key), F.col(text_col)).withColumn("_rid", F.monotonically_increasing_id())
-    exploded = rows.select("_rid", F.col(key), F.explode(pairs).alias("_w")).select(
-        "_rid", F.col(key), F.col("_w.word").alias("word"),
+    text = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    exploded = df.select(F.col(key), text.alias("_text"), F.posexplode(pairs).alias("_pos", "_w")).select(
+        key, "_text", "_pos", F.col("_w.word").alias("word"),
         F.coalesce(F.col("_w.prev") == F.lit(negation), F.lit(False)).alias("_negated"))
     # left join: every row has at least one token, so every key reaches the
     # grouped mean and no join back to the input is needed
     scored = (exploded.join(lex, "word", "left")
               .withColumn("_v", F.when(F.col("_negated"), F.col("polarity") * F.lit(factor))
                           .otherwise(F.col("polarity"))))
-    return scored.groupBy("_rid", key).agg(
-        F.coalesce(F.sum("_v") / F.count("_v").cast("double"), F.lit(0.0)).alias("polarity")).drop("_rid")
+    means = scored.groupBy(key, "_text").agg(
+        F.coalesce(F.sum("_v") / F.count("_v").cast("double"), F.lit(0.0)).alias("_mean"),
+        F.count_if(F.col("_pos") == F.lit(0)).cast("int").alias("_copies"))
+    return means.select(key, F.explode(F.array_repeat("_mean", F.col("_copies"))).alias("polarity"))
 
 
 # ---------------------------------------------------------------------------

@@ -1,23 +1,8 @@
-"""Join helpers: size-checked broadcast and skew-safe anti joins."""
+"""Join helpers: skew-safe anti joins."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-
-def checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only when it has at most ``max_rows`` rows.
-
-    The row count is measured with a bounded action: at most ``max_rows + 1``
-    rows are counted (each partition stops early), so checking a side that
-    turns out to be large never scans it whole.  Above the bound no hint is
-    given and the planner falls back to a shuffled sort-merge join (AQE may
-    still switch to broadcast at run time when the measured shuffle output is
-    small).
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
 
 
 def anti_loaded_keys(incoming: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,8 +1,9 @@
 """join_lemma: token -> lemma replacement (re-aim of an external lemmatiser).
 
 Two forms: inline (a map lookup on the token array, no shuffle; for small
-tables) and a join form for user tables of any size (posexplode, broadcast
-left join after a size check, re-assembly in position order per row).
+tables) and a join form for user tables of any size (posexplode, left join,
+re-assembly in position order per row).  The planner broadcasts the table
+when its bytes are below the session's threshold.
 """
 
 from __future__ import annotations
@@ -13,38 +14,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from presswire import constants as C
-from presswire.operators.joins import checked_broadcast
+from presswire.functions import text as T
 
 INLINE_LEMMA_LIMIT = 5000
 
 
-def lemmatize_inline(text: Column, lemmas: Mapping[str, str] | None = None) -> Column:
-    """Space-separated tokens; each token found in the table is replaced by its lemma."""
+def lemmatize_inline(text: Column, lemmas: Mapping[str, str] | None = None, sep: str = " ") -> Column:
+    """Tokens split at ``sep`` (a pattern), joined by a space; each one found in the table becomes its lemma."""
     table = dict(lemmas or C.DEFAULT_LEMMAS)
     if len(table) > INLINE_LEMMA_LIMIT:
         raise ValueError("lemma table too large for the inline form; use lemmatize_join")
     words = sorted(table)
     lmap = F.create_map(*[x for w in words for x in (F.lit(w), F.lit(table[w]))])
-    toks = F.split(F.coalesce(text, F.lit("")), " ")
+    toks = F.split(F.coalesce(text, F.lit("")), sep)
     return F.array_join(F.transform(toks, lambda t: F.when(t.isin(*words), F.try_element_at(lmap, t))
                                     .otherwise(t)), " ")
 
 
+def clean_english(body: Column, lemmas: Mapping[str, str] | None = None) -> Column:
+    """txt_clean_english: base cleaning, lemmas, then the stop words (all but "not")."""
+    return T.remove_stopwords_ci(lemmatize_inline(T.clean_english_base(body), lemmas, T.WS + "+"), T.english_stopwords())
+
+
 def lemma_dim(spark, lemmas: Mapping[str, str] | None = None) -> DataFrame:
     return spark.createDataFrame(list((lemmas or C.DEFAULT_LEMMAS).items()), "token string, lemma string")
 
 
-def lemmatize_join(df: DataFrame, key: str, text_col: str, lemmas: DataFrame,
-                   max_broadcast_rows: int = 1_000_000) -> DataFrame:
-    """(key, lemmatized) for every row: tokens joined with the lemma table and
-    put back in position order.  The regrouping is per row key, so a group is
-    one document's tokens."""
-    dim = checked_broadcast(lemmas.select("token", "lemma"), max_broadcast_rows)
-    # group by a per-row id, not by ``key``: a group is exactly one row's
-    # tokens even when keys repeat (copies of a document)
-    rows = df.select(F.col(key), F.col(text_col)).withColumn("_rid", F.monotonically_increasing_id())
-    toks = rows.select("_rid", F.col(key), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), " "))
-                       .alias("pos", "token"))
-    joined = toks.join(dim, "token", "left").select("_rid", key, "pos", F.coalesce("lemma", "token").alias("w"))
-    regrouped = joined.groupBy("_rid", key).agg(F.sort_array(F.collect_list(F.struct("pos", "w"))).alias("_ws"))
-    return regrouped.select(key, F.array_join(F.transform("_ws", lambda x: x["w"]), " ").alias("lemmatized"))
+def lemmatize_join(df: DataFrame, key: str, text_col: str, lemmas: DataFrame) -> DataFrame:
+    """(key, lemmatized) for every row: tokens joined with the lemma table and put back in position order.
+
+    A group is one text of one key (key and SHA-256 of the text, the same in every retry); rows that
+    agree in both are worked out once and come back as often as they were given.
+    """
+    dim = lemmas.select("token", "lemma").dropDuplicates(["token"])
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    toks = df.select(F.col(key), F.sha2(text, 256).alias("_text"), F.posexplode(F.split(text, " ")).alias("pos", "token"))
+    joined = toks.join(dim, "token", "left").select(key, "_text", "pos", F.coalesce("lemma", "token").alias("w"))
+    regrouped = joined.groupBy(key, "_text").agg(
+        F.sort_array(F.collect_set(F.struct("pos", "w"))).alias("_ws"),
+        F.count_if(F.col("pos") == F.lit(0)).cast("int").alias("_copies"))
+    lemmatized = F.array_join(F.transform("_ws", lambda x: x["w"]), " ")
+    return regrouped.select(key, F.explode(F.array_repeat(lemmatized, F.col("_copies"))).alias("lemmatized"))

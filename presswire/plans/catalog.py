@@ -499,14 +499,33 @@ def validate_page(page: int, per_page: int) -> None:
 def page_offset(gold: DataFrame, page: int = 1, per_page: int = C.API_DEFAULT_PER_PAGE,
                 channel=None, category=None, sentiment=None, search=None, date=None,
                 sort_by=None, literal_search: bool = False) -> DataFrame:
-    """One page of the filtered feed: ORDER BY .. LIMIT .. OFFSET, planned as a
-    single TakeOrderedAndProject (no full sort)."""
+    """One page of the filtered feed: ORDER BY .. LIMIT .. OFFSET, planned as a single
+    TakeOrderedAndProject (no full sort), which keeps page * per_page rows: for the first pages.
+    ``page_after`` reads deep ones."""
     validate_page(page, per_page)
     df = flt_search(flt_conj_eq(gold, channel, category, sentiment, date), search, literal_search)
     return (ordered(prj_article_cols(df), F.desc(sort_column(sort_by)), "url")
             .offset((page - 1) * per_page).limit(per_page))
 
 
+def page_after(gold: DataFrame, last: tuple | None = None, per_page: int = C.API_DEFAULT_PER_PAGE,
+               channel=None, category=None, sentiment=None, search=None, date=None,
+               sort_by=None, literal_search: bool = False) -> DataFrame:
+    """The page that follows ``last``, the (sort value, url) of the row read last; None gives the first.
+
+    However deep the page, only ``per_page`` rows are kept.  A NULL sort value comes last, by url.
+    """
+    validate_page(1, per_page)
+    df = flt_search(flt_conj_eq(gold, channel, category, sentiment, date), search, literal_search)
+    key = sort_column(sort_by)
+    if last is not None:
+        value, url = F.lit(last[0]).cast(df.schema[key].dataType), F.lit(last[1])
+        later = (F.col(key).isNull() & (F.col("url") > url) if last[0] is None else
+                 (F.col(key) < value) | ((F.col(key) == value) & (F.col("url") > url)) | F.col(key).isNull())
+        df = df.where(later)
+    return ordered(prj_article_cols(df), F.desc(key), "url").limit(per_page)
+
+
 def page_info(gold: DataFrame, page: int = 1, per_page: int = C.API_DEFAULT_PER_PAGE,
               channel=None, category=None, sentiment=None, search=None, date=None,
               literal_search: bool = False) -> DataFrame:

@@ -223,7 +223,7 @@ gold_query("agg_trend_summary", lambda g: Q.agg_trend_summary(Q.agg_trends(g)),
            f"FROM ({trends_sql()})")
 
 
-def _panels_sql() -> str:
+def _panels_sql(where: str = "") -> str:
     keys = Q.PANEL_KEYS
     sets = ["(article_date, sentiment_label)", "(category, sentiment_label)", "(channel, sentiment_label)",
             "(ministry, sentiment_label)", "(sentiment_label)", "(article_date)", "()"]
@@ -237,10 +237,11 @@ def _panels_sql() -> str:
         ("CAST(positive_score AS DECIMAL(18,4))", "sum_pos"), ("CAST(negative_score AS DECIMAL(18,4))", "sum_neg"),
         ("CAST(neutral_score AS DECIMAL(18,4))", "sum_neu"), (DIFF, "sum_pol")))
     return (f"SELECT {panel} AS panel, {', '.join(keys)}, CAST(count(*) AS BIGINT) AS cnt, {sums} "
-            f"FROM gold GROUP BY GROUPING SETS ({', '.join(sets)})")
+            f"FROM gold {where} GROUP BY GROUPING SETS ({', '.join(sets)})")
 
 
 gold_query("agg_panels", Q.agg_panels, _panels_sql())
+gold_query("agg_panels_date", lambda g: Q.agg_panels(g, DAY), _panels_sql(f"WHERE article_date = DATE '{DAY}'"))
 
 # --- 2.5 windows -----------------------------------------------------------------
 
@@ -282,6 +283,11 @@ gold_query("page_offset", lambda g: Q.page_offset(g, page=3, per_page=20, sentim
                                                   sort_by="negative_score"),
            f"SELECT {GOLD_COLS} FROM gold WHERE sentiment_label = 'negative' "
            f"ORDER BY negative_score DESC, url LIMIT 20 OFFSET 40")
+gold_query("page_after", lambda g: Q.page_after(g, (0.6, "https://click.example.org/5"), per_page=20, sentiment="negative",
+                                                sort_by="negative_score"),
+           f"SELECT {GOLD_COLS} FROM gold WHERE sentiment_label = 'negative' AND (negative_score < CAST(0.6 AS DOUBLE) "
+           f"OR negative_score = CAST(0.6 AS DOUBLE) AND url > 'https://click.example.org/5') "
+           f"ORDER BY negative_score DESC, url LIMIT 20")
 gold_query("page_info", lambda g: Q.page_info(g, page=3, per_page=20, sentiment="negative"),
            "SELECT total, 3 AS page, 20 AS per_page, CAST(ceil(total / CAST(20 AS DOUBLE)) AS BIGINT) AS pages "
            "FROM (SELECT CAST(count(*) AS BIGINT) AS total FROM gold WHERE sentiment_label = 'negative')")

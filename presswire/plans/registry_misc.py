@@ -256,7 +256,6 @@ def _label_map(s, sf):
     """Write a tab-separated label map for the label ids present in ``embeddings``
     (names by id from the fixed list, others "label_<id>"), read it back with
     the label-map source and name every vector's label with it."""
-    from presswire.operators.joins import checked_broadcast
     emb = read_table(s, sf, "embeddings")
     names = F.array(*[F.lit(x) for x in C.SENTIMENT_LABELS])
     ids = emb.select(F.col("label").alias("id")).distinct()
@@ -266,7 +265,7 @@ def _label_map(s, sf):
     ids.select(F.concat_ws("\t", F.col("id").cast("string"), name)).write.text(path)
     labels = files.read_label_map(s, path).select(F.col("id").alias("label_id"), F.col("label").alias("label_name"))
     return (emb.select("vec_id", F.col("label").alias("label_id"))
-            .join(checked_broadcast(labels, 100_000), "label_id", "left"))
+            .join(labels, "label_id", "left"))
 
 
 register("src_label_map",
@@ -284,7 +283,8 @@ def _multi_source(s, sf):
 
 
 register("src_multi_source")(_multi_source)
-register("sample_head")(lambda s, sf: silver(s, sf).limit(3))
+register("sample_head", with_silver("SELECT doc_id, heading, url FROM silver ORDER BY doc_id LIMIT 3"))(
+    lambda s, sf: silver(s, sf, ["doc_id", "heading", "url"]).orderBy("doc_id").limit(3))
 register("api_scalar", "SELECT CAST(count(*) AS BIGINT) AS total FROM events WHERE event_type = 'click'")(
     lambda s, sf: (read_table(s, sf, "events").createOrReplaceTempView("events_v"),
                    s.sql("SELECT count(*) AS total FROM events_v WHERE event_type = :t", args={"t": "click"}))[1])

@@ -11,11 +11,12 @@ from presswire.functions import text as T
 from presswire.operators import enrich as E
 from presswire.operators import rules as R
 from presswire.operators.joins import anti_loaded_keys
+from presswire.operators.lemma import clean_english
 from presswire.plans import catalog as Q
 from presswire.plans import fixtures as FX
 from presswire.plans.oracle import (NONWORD, WS, clean_silver_sql, contractions_sql, d, gold_documents_ctes,
                                     gold_events_ctes, keyword_category_sql, ministry, polarity_sql,
-                                    raw_documents_cte, rnd, sent_map_ctes, silver_ctes, strip, strlist)
+                                    raw_documents_cte, q, rnd, sent_map_ctes, silver_ctes, strip, strlist)
 from presswire.plans.registry import register
 
 
@@ -133,7 +134,9 @@ def english_sql(x: str) -> str:
     t = f"regexp_replace({t}, '[0-9]', '', 'g')"
     toks = f"list_filter(regexp_split_to_array({strip(t)}, '{WS}+'), lambda _x: _x != '')"
     sw = strlist(T.english_stopwords())
-    return f"array_to_string(list_filter({toks}, lambda _x: NOT list_contains({sw}, lower(_x))), ' ')"
+    lemma = "CASE _x " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in C.DEFAULT_LEMMAS.items()) + " ELSE _x END"
+    return (f"array_to_string(list_filter(list_transform({toks}, lambda _x: {lemma}), "
+            f"lambda _x: NOT list_contains({sw}, lower(_x))), ' ')")
 
 
 def _english_sql() -> str:
@@ -141,8 +144,7 @@ def _english_sql() -> str:
 
 
 register("txt_clean_english", with_raw(_english_sql()))(
-    lambda s, sf: raw(s, sf).select("doc_id", T.remove_stopwords_ci(T.clean_english_base(F.col("body")),
-                                                                     T.english_stopwords()).alias("cleaned")))
+    lambda s, sf: raw(s, sf).select("doc_id", clean_english(F.col("body")).alias("cleaned")))
 
 # --- string functions -------------------------------------------------------------
 register("fn_strings", with_raw(
@@ -193,6 +195,13 @@ register("sent_alert", with_gold_docs("SELECT url, negative_score FROM gold_docs
     lambda s, sf: gold_docs(s, sf, columns=["url", "negative_score"]).where(
         S.sent_alert(F.col("negative_score"))))
 register("enr_gold", with_gold_docs(f"SELECT {GOLD_DOC_COLS} FROM gold_docs"))(gold_docs)
+register("agg_lineage_layers", with_gold_docs(
+    "SELECT 1 AS stage_number, 'Data Collection' AS stage_name, count(*) AS data_count FROM gold_docs UNION ALL "
+    "SELECT 2, 'Bronze Layer (Raw)', count(*) FROM raw UNION ALL SELECT 3, 'Silver Layer (Cleaned)', count(*) FROM silver "
+    "UNION ALL SELECT 4, 'Gold Layer (Enriched)', count(positive_score) FROM gold_docs UNION ALL "
+    "SELECT 5, 'Presentation Layer', count(positive_score) FROM gold_docs"))(
+    lambda s, sf: Q.agg_lineage_stages(
+        gold_docs(s, sf, columns=["heading", "positive_score", "category", "channel"]), raw(s, sf), silver(s, sf, ["doc_id"])))
 register("append_gold", with_gold_docs(f"SELECT {GOLD_DOC_COLS} FROM gold_docs"))(
     lambda s, sf: gold_docs(s, sf).select(*E.GOLD_COLUMNS))
 register("join_ministry", with_silver(

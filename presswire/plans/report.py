@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 
 from presswire import constants as C
 from presswire.functions import scores as S
-from presswire.functions import text as T
+from presswire.operators import lemma
 from presswire.operators.enrich import lexicon_polarity, ministry_of, with_sentiment
 from presswire.operators.models import forest_predict
 from presswire.operators.rules import compute_once, merge_sources, workspace_clean
 
 
 def english_cleaner(body):
-    return T.remove_stopwords_ci(T.clean_english_base(body), T.english_stopwords())
+    return lemma.clean_english(body)
 
 
 def workspace_results(sheets, model=None, polarity=None) -> DataFrame:

@@ -34,16 +34,3 @@ def test_ordered_top_k_matches_plain_sort(spark, sf):
     plain = gold.orderBy(F.desc("negative_score"), "url").limit(7).select("url", "negative_score").collect()
     mat = Q.ordered(gold, F.desc("negative_score"), "url").limit(7).select("url", "negative_score").collect()
     assert plain == mat
-
-
-def test_checked_broadcast_bound(spark, sf):
-    """Broadcast hint only up to the bound; the check counts at most bound + 1 rows."""
-    from presswire.operators.joins import checked_broadcast
-    ev = read_table(spark, sf, "events").select("event_id")
-    n = ev.count()
-
-    def hinted(df):
-        return "broadcast" in df._jdf.queryExecution().analyzed().toString().lower()
-
-    assert hinted(checked_broadcast(ev, n))
-    assert not hinted(checked_broadcast(ev, n - 1))
