@@ -227,10 +227,14 @@ def _softmax_sql() -> str:
     return f"list_transform({ex}, lambda _v: _v / list_reduce({ex}, lambda _a, _b: _a + _b))"
 
 
-register("fn_softmax", "SELECT vec_id, " + ", ".join(
-    f"{rnd(f'({_softmax_sql()})[{i + 1}]', 4)} AS p{i}" for i in range(3)) + " FROM embeddings")(
-    lambda s, sf: logits(s, sf).select("vec_id", S.softmax(F.col("z")).alias("p")).select(
-        "vec_id", *[S.round_half_up(F.col("p")[i], 4).alias(f"p{i}") for i in range(3)]))
+register("fn_softmax", "WITH z AS (SELECT vec_id, list_transform(embedding, lambda _v: CAST(_v AS DOUBLE)) AS z FROM embeddings), "
+         "m AS (SELECT vec_id, z, list_max(z) AS m FROM z), "
+         "x AS (SELECT vec_id, list_transform(z, lambda _v: exp(_v - m)) AS x FROM m), "
+         "t AS (SELECT vec_id, x, list_reduce(x, lambda _a, _b: _a + _b) AS t FROM x) "
+         f"SELECT vec_id, pos, {rnd('x / t', 4)} AS p FROM (SELECT vec_id, t, unnest(x) AS x, unnest(range(len(x))) AS pos FROM t)")(
+    lambda s, sf: read_table(s, sf, "embeddings").select(
+        "vec_id", F.posexplode(S.softmax(F.transform("embedding", lambda v: v.cast("double")))).alias("pos", "p"))
+    .select("vec_id", F.col("pos").cast("bigint").alias("pos"), S.round_half_up(F.col("p"), 4).alias("p")))
 register("fn_argmax_label",
          "SELECT vec_id, CASE list_position(embedding[1:3], list_max(embedding[1:3])) "
          + " ".join(f"WHEN {i + 1} THEN {q(lab)}" for i, lab in enumerate(C.SENTIMENT_LABELS))

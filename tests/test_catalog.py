@@ -70,3 +70,16 @@ def test_result_independent_of_partitioning(gold):
     a = sorted(tuple(r) for r in Q.agg_channel_stats(gold).collect())
     b = sorted(tuple(r) for r in Q.agg_channel_stats(gold.repartition(3)).collect())
     assert a == b
+
+
+def test_keyset_pages_walk_the_whole_feed(spark, sf):
+    rows = [(f"u{i}", None if i % 7 == 0 else i % 3 / 10) for i in range(40)]
+    gold = FX.gold_events(spark, sf).limit(0)
+    made = spark.createDataFrame(rows, "url string, negative_score double")
+    feed = gold.unionByName(made, allowMissingColumns=True)
+    whole = [r.url for r in Q.page_offset(feed, 1, 100, sort_by="negative_score").collect()]
+    got, last = [], None
+    while page := Q.page_after(feed, last, 9, sort_by="negative_score").collect():
+        got += [r.url for r in page]
+        last = (page[-1].negative_score, page[-1].url)
+    assert got == whole and len(got) == 40

@@ -81,3 +81,17 @@ def test_markup_notations_match_the_html_parser(spark):
     assert (r[0].lang, r[0].date) == ("en-GB", "2024-05-06")
     assert (r[1].links, r[1].lang, r[1].date) == (None, None, None)
     assert (r[2].links, r[2].lang, r[2].date) == ([], None, None)
+
+
+def test_raw_articles_take_rule_and_channel_from_the_host(spark):
+    body = "<p>" + "long enough " * 8 + "</p>"
+    meta = "<meta property='article:published_time' content='2024-03-05T01:00'>"
+    pages = spark.createDataFrame([
+        (1, "https://scroll.in/a/1", f"{meta}<h1>t</h1><article>{body}</article>"),
+        (2, "https://www.hindustantimes.com/b/2", f"{meta}<h1>u</h1><div class=detailPage>{body}</div>"),
+        (3, "https://unknown.org/b/3", f"{meta}<h1>v</h1><article>{body}</article>"),
+        (4, "https://scroll.in/a/4", f"<h1>w</h1><article>{body}</article>"),
+        (5, None, None), (6, "https://scroll.in/a/6", None)], "page_id int, url string, html string")
+    every = {(r.page_id, r.channel, r.article_date) for r in X.raw_articles(pages).collect()}
+    assert every == {(1, "Scroll", "2024-03-05"), (2, "HindustanTimes", "2024-03-05"), (4, "Scroll", None)}
+    assert {r.page_id for r in X.raw_articles(pages, "2024-03-05").collect()} == {1, 2}

@@ -84,3 +84,23 @@ def test_stopword_lists():
     assert len(C.SILVER_STOPWORDS) == 151 and "not" not in C.SILVER_STOPWORDS
     assert sum(map(len, C.KEYWORD_MAP.values())) == 190
     assert sum(map(len, C.KEYWORD_MAP_SMALL.values())) == 127
+
+
+def test_text_joins_keep_repeated_rows_and_match_the_inline_forms(spark):
+    rows = [(1, "good was bad"), (1, "good was bad"), (1, "not good"), (2, ""), (3, None), (4, "x" * 5000 + " great")]
+    df = spark.createDataFrame(rows, "id int, t string")
+    joined = sorted(map(tuple, L.lemmatize_join(df, "id", "t", L.lemma_dim(spark)).collect()))
+    assert joined == sorted(map(tuple, df.select("id", L.lemmatize_inline(F.col("t"))).collect()))
+    polar = sorted(map(tuple, E.join_lexicon(df, "id", "t", E.lexicon_dim(spark)).collect()))
+    assert polar == sorted(map(tuple, df.select("id", E.lexicon_polarity(F.col("t"))).collect()))
+
+
+def test_keyword_join_compares_no_text_with_every_keyword(spark):
+    rows = [(1, "He SAID it"), (2, "abab ab"), (3, None), (4, ""), (5, "zzz"), (6, "b\nc ab")]
+    words = [("A", 0, "ab"), ("A", 0, "ba"), ("B", 1, "said"), ("C", 2, "b\nc"), ("D", 3, "\nc "), ("E", 4, "")]
+    df = spark.createDataFrame(rows, "id int, t string")
+    kw = spark.createDataFrame(words, "category string, rank int, keyword string")
+    got = E.classify_keywords_join(df, "id", "t", kw, "none")
+    assert dict(map(tuple, got.collect())) == {1: "B", 2: "A", 3: "none", 4: "none", 5: "none", 6: "A"}
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+    assert E.classify_keywords_join(df, "id", "t", kw.limit(0), "none").where("category = 'none'").count() == 6
