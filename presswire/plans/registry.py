@@ -283,7 +283,7 @@ gold_query("page_offset", lambda g: Q.page_offset(g, page=3, per_page=20, sentim
                                                   sort_by="negative_score"),
            f"SELECT {GOLD_COLS} FROM gold WHERE sentiment_label = 'negative' "
            f"ORDER BY negative_score DESC, url LIMIT 20 OFFSET 40")
-gold_query("page_after", lambda g: Q.page_after(g, (0.6, "https://click.example.org/5"), per_page=20, sentiment="negative",
+gold_query("page_after", lambda g: Q.page_after(Q.compute_once(g), (0.6, "https://click.example.org/5"), per_page=20, sentiment="negative",
                                                 sort_by="negative_score"),
            f"SELECT {GOLD_COLS} FROM gold WHERE sentiment_label = 'negative' AND (negative_score < CAST(0.6 AS DOUBLE) "
            f"OR negative_score = CAST(0.6 AS DOUBLE) AND url > 'https://click.example.org/5') "
