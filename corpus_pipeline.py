@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presswire.llm.common import stored
+from presswire.llm.common import stored, with_row_key
 from presswire.llm.mixing import sainte_lague_mix
 from presswire.llm.packing import pack_sequences
 from presswire.llm.quality import filter_quality
@@ -24,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays: the smallest doc_id."""
+    """One row of each SimHash group stays: that with the smallest doc_id (null only if no row of the group has one)."""
     return keep_one(docs)
 
 
@@ -34,13 +34,15 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document comes as often as the mix takes its words, rounded: up to twice, or not at all.
+    """A row comes as often as the mix takes its words, rounded: up to twice, or not at all.
 
-    Repeats are rows with the same doc_id.
+    Every row has its own share, also without a doc_id or with one that other rows have.  Repeats
+    are rows with the same doc_id.
     """
-    shares = sainte_lague_mix(docs).where("size > 0").select(
-        "doc_id", F.least(F.round(F.col("taken") / F.col("size")), F.lit(2)).cast("int").alias("_times"))
-    return (docs.join(shares, "doc_id").where("_times > 0")
+    rows = with_row_key(docs, "pipeline-mix")
+    shares = sainte_lague_mix(rows, row=("_row",)).where("size > 0").select(
+        "_row", F.least(F.round(F.col("taken") / F.col("size")), F.lit(2)).cast("int").alias("_times"))
+    return (rows.join(shares, "_row").where("_times > 0")
             .withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns))
 
 

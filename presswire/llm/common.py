@@ -36,6 +36,18 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_row_key(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` with a column _row (file, place in it), another one for every row and the same whenever it is read.
+
+    What isn't a plain scan of Parquet files is stored first.
+    """
+    plan = df._jdf.queryExecution().analyzed()
+    scan = plan.getClass().getSimpleName() == "LogicalRelation" and "ParquetFileFormat" in (
+        plan.relation().fileFormat().getClass().getName() if "HadoopFs" in plan.relation().getClass().getName() else "")
+    return (df if scan else stored(df, tag)).select("*", F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place")).alias("_row"))
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

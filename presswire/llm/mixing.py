@@ -82,7 +82,7 @@ def source_plan(docs_sized: DataFrame) -> list[dict]:
 
 
 def sainte_lague_mix(docs: DataFrame, weights=WEIGHTS, growth: float = GROWTH, most: int = MOST_REPEATS,
-                     seed: int = 5, shard_words: int = SHARD_WORDS) -> DataFrame:
+                     seed: int = 5, shard_words: int = SHARD_WORDS, row: tuple[str, ...] = ()) -> DataFrame:
     """How many words of each document the mix takes, repeats counted.
 
     1. Word counts per document, summed per source; targets by weight with the cap ``most``.
@@ -99,13 +99,14 @@ def sainte_lague_mix(docs: DataFrame, weights=WEIGHTS, growth: float = GROWTH, m
     Nulls: a null text has no words (taken 0); a null source is a source, last in the order; a
     null doc_id is hashed as such.  Repeated rows are separate documents.  Sources without words
     have target 0.  An empty table gives no rows.  Extra columns are not read.  doc_id is taken
-    as a key: rows that share one share a shard.
+    as a key: rows that share one share a shard.  Columns named in ``row`` (a row key) are carried
+    through and settle the order of repeated rows.
     """
     import numpy as np
 
     spark = docs.sparkSession
     tune(spark)
-    sized = stored(docs.select("doc_id", "source", F.xxhash64("text").alias("_t"),
+    sized = stored(docs.select("doc_id", "source", *row, F.xxhash64("text").alias("_t"),
                                F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD))
                                .cast("long").alias("size")), "op5")
     plan = source_plan(sized)
@@ -140,7 +141,7 @@ def sainte_lague_mix(docs: DataFrame, weights=WEIGHTS, growth: float = GROWTH, m
         split, "source string, shard long, words long, n_blocks long"), "op5")
     quotas = quotas.select(F.col("source").alias("_s"), F.col("shard").alias("_c"), "words", "n_blocks")
 
-    ring = Window.partitionBy("source", "shard").orderBy("_h", "doc_id", "size", "_t")
+    ring = Window.partitionBy("source", "shard").orderBy("_h", "doc_id", "size", "_t", *row)
     run = (dealt.withColumn("_start", F.sum("size").over(ring.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
            .join(quotas, F.col("source").eqNullSafe(F.col("_s")) & (F.col("shard") == F.col("_c"))))
     b, w = F.lit(block).cast("long"), F.col("words")
@@ -156,4 +157,4 @@ def sainte_lague_mix(docs: DataFrame, weights=WEIGHTS, growth: float = GROWTH, m
 
     taken = F.when(w > 0, upto(end) - upto(F.col("_first"))).otherwise(F.lit(0).cast("long"))
     return run.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"),
-                      "shard", "n_blocks", F.lit(block).alias("block_words"))
+                      "shard", "n_blocks", F.lit(block).alias("block_words"), *row)

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presswire.llm.common import components, star_edges, stored, tune
+from presswire.llm.common import components, star_edges, stored, tune, with_row_key
 
 SEED = 42
 SHINGLE = 3
@@ -234,23 +234,33 @@ def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, most: int = MAX_BITS
     the minimum (null only if the whole component has none).  An empty table gives no rows; extra
     columns are not read.
     """
+    return _grouped(docs, [], shingle, most, seed, most_block).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")
+
+
+def _grouped(docs: DataFrame, row: list[str], shingle: int = SHINGLE, most: int = MAX_BITS, seed: int = SEED,
+             most_block: int = MOST_BLOCK) -> DataFrame:
+    """doc_id, fp, component_id of every row; with a row key also the key, and the first row of its component
+    (by doc_id, null last, then by key)."""
     tune(docs.sparkSession)
-    own = stored(docs.select("doc_id", fingerprint_udf(shingle, seed)("text").alias("fp")), "op8")
-    nodes = stored(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "op8")
+    own = stored(docs.select("doc_id", *row, fingerprint_udf(shingle, seed)("text").alias("fp")), "op8")
+    lows = {"least": F.col("doc_id")} | {"first": F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", c) for c in row}
+    nodes = stored(own.groupBy("fp").agg(*[F.min(c).alias(n) for n, c in lows.items()]), "op8")
     edges = near_prints(nodes.select("fp"), most, most_block)
     comp = components(edges, "op8")
     linked = (comp.join(nodes.withColumnRenamed("fp", "node"), "node"))
-    low = linked.groupBy("root").agg(F.min("least").alias("low"))
-    found = linked.join(low, "root").select(F.col("node").alias("fp"), "low")
-    label = nodes.join(found, "fp", "left").select("fp", F.coalesce("low", "least").alias("component_id"))
-    return own.join(label, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")
+    low = linked.groupBy("root").agg(*[F.min(n).alias(f"low_{n}") for n in lows])
+    found = linked.join(low, "root").select(F.col("node").alias("fp"), *[f"low_{n}" for n in lows])
+    label = nodes.join(found, "fp", "left").select("fp", *[F.coalesce(f"low_{n}", n).alias(n) for n in lows])
+    return own.join(label, "fp").withColumnRenamed("least", "component_id")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The documents without those whose group holds a document with a smaller doc_id.
+    """One row of each group: that with the smallest doc_id (any of them if rows share it; null only if no row has one).
 
-    Of repeated rows with one doc_id all go or all stay; rows without a doc_id stay.
+    Rows are told apart by their place in the stored table, so repeated rows, rows without a doc_id and
+    different texts under one doc_id are judged each for itself.
     """
-    gone = (simhash_groups(docs, **options).where("doc_id <> component_id").select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti")
+    rows = with_row_key(docs, "op8")
+    gone = _grouped(rows, ["_row"], **options).where("_row <> first._row").select("_row")
+    return rows.join(gone, "_row", "left_anti").select(docs.columns)

@@ -74,3 +74,35 @@ def test_run_and_empty_tables(spark, sf, empty, tmp_path):
 def test_odd_rows_pass_every_stage(spark, odd):
     for _, stage in C.STAGES:
         assert stage(spark, odd, "").count() >= 0
+
+
+def test_null_and_repeated_ids_are_rows_of_their_own(spark, tmp_path):
+    def prose(k):
+        return " ".join(f"w{k}x{i}" for i in range(40))
+
+    rows = [(1, prose(1)), (1, prose(1)), (2, prose(2)), (2, prose(3)), (3, prose(3)), (None, prose(4)), (None, prose(4)),
+            (None, prose(1)), (None, prose(5))]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/rows")
+    for given in (docs, spark.read.parquet(f"{tmp_path}/rows"), spark.read.parquet(f"{tmp_path}/rows").repartition(3)):
+        got = Counter((r.doc_id, r.text) for r in C.near_dedup(spark, given, "").collect())
+        assert got == Counter([(1, prose(1)), (2, prose(2)), (2, prose(3)), (None, prose(4)), (None, prose(5))])
+
+        # one source of 360 words: its target of 1.5 x 360 = 540 words, in whole documents of 40 words but for the ends
+        shares = mixing.sainte_lague_mix(C.with_row_key(given, "test"), row=("_row",)).collect()
+        assert len({r._row for r in shares}) == len(rows)
+        want = Counter(r.doc_id for r in shares for _ in range(min(2, int(r.taken / r.size + 0.5))))
+        mixed = C.mix(spark, given, "").collect()
+        assert Counter(r.doc_id for r in mixed) == want and abs(len(mixed) - 1.5 * len(rows)) <= 1
+        assert all(n <= 2 * rows.count(k) for k, n in Counter((r.doc_id, r.text) for r in mixed).items())
+
+
+def test_rows_taken_twice_come_twice(spark, monkeypatch):
+    monkeypatch.setattr(C, "sainte_lague_mix", lambda docs, row=(): docs.select(
+        *row, C.F.lit(3).alias("size"), C.F.when(docs.text == "d e f", 3).otherwise(6).alias("taken")))
+    rows = [(1, "a b c")] * 2 + [(None, "a b c"), (2, "d e f"), (2, "g h i")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 5) for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r.doc_id, r.text) for r in C.mix(spark, docs, "").collect())
+    assert got == {(1, "a b c"): 4, (None, "a b c"): 2, (2, "d e f"): 1, (2, "g h i"): 2}
