@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presswire.llm.common import components, numbered, stored, tune
+from presswire.llm.common import components, numbered, star_edges, stored, tune
 
 THRESHOLD = 0.93
 #: Neighbours in a list, random-projection orders that start the graph, members of a starting block.
@@ -16,9 +16,14 @@ BITS = 32
 #: A pass ends when a round changes less than this share of the list entries, or after so many rounds.
 CHANGE = 0.005
 MOST_ROUNDS = 6
-#: Queries of the audit (compared with every vector) and the recall it asks for.
+#: Queries with links that the audit wants to see (compared with every vector), in small components and in
+#: those of more than CROWD nodes apart; the recall it asks for; bytes of vectors sent along at once.
 AUDIT = 256
+CROWD = 64
 RECALL = 0.995
+AUDIT_BYTES = 1 << 22
+#: Hash values among which nodes are drawn.
+SPACE = 1 << 40
 #: Members of a component compared in one piece when its links are counted.
 COUNT_BLOCK = 256
 #: What single precision may be off.
@@ -229,40 +234,73 @@ def count_links(members: DataFrame, threshold: float) -> DataFrame:
 
 
 def audit(nodes: DataFrame, comps: DataFrame, threshold: float, queries: int, seed: int) -> float:
-    """Share of the links of a drawn set of nodes that lie within one component, against brute force.
+    """Share of a node's links that lie within its component, on average over drawn nodes that have links."""
+    return audited(nodes, comps, threshold, queries, seed)[0]
 
-    ``queries`` nodes are drawn by hash and compared with every node in blocks; they are the only
-    vectors that are sent along, so their size is bounded.
+
+def audited(nodes: DataFrame, comps: DataFrame, threshold: float, queries: int, seed: int) -> tuple[float, bool, DataFrame | None]:
+    """(recall, whether every node was drawn, a star forest (a, b) of the links between components), against brute force.
+
+    Nodes of small components and of crowds are judged apart, every node with links counts the same, and
+    the lower average is returned.  Nodes are drawn by hash until ``queries`` with links have been seen, or
+    all are drawn: no links seen means that there are none.  They are compared with every node in blocks,
+    and only AUDIT_BYTES of their vectors are sent along at once.
     """
     import numpy as np
 
     spark = nodes.sparkSession
-    drawn = nodes.join(comps, "node").orderBy(F.xxhash64(F.lit(seed), "node"), "node").limit(queries).select(
-        *GROUP, "node", "comp", "embedding").collect()
-    if not drawn:
-        return 1.0
-    by = {}
-    for r in drawn:
-        by.setdefault((r["label"], r["dim"]), []).append(r)
-    held = spark.sparkContext.broadcast({k: (np.array([r["node"] for r in v]), np.array([r["comp"] for r in v]),
-                                             unit_rows([r["embedding"] for r in v])) for k, v in by.items()})
-
-    def scan(frames):
-        import pandas as pd
-
-        for pdf in frames:
-            for key, part in pdf.groupby(GROUP):
-                if key not in held.value:
-                    continue
-                q_node, q_comp, q = held.value[key]
-                i, j = np.nonzero(unit_rows(part["embedding"]) @ q.T >= threshold)
-                other = part["node"].to_numpy()[i] != q_node[j]
-                found = part["comp"].to_numpy()[i] == q_comp[j]
-                yield pd.DataFrame({"links": [int(other.sum())], "found": [int((found & other).sum())]})
-
-    got = nodes.join(comps, "node").select(*GROUP, "node", "comp", "embedding").mapInPandas(
-        scan, "links long, found long").agg(F.sum("links"), F.sum("found")).first()
-    return 1.0 if not got[0] else got[1] / got[0]
+    sizes = comps.groupBy("comp").agg(F.count("*").alias("size"))
+    held = stored(nodes.select(*GROUP, "node", "embedding").join(comps, "node").join(sizes, "comp").select(
+        *GROUP, "node", "comp", "embedding", (F.col("size") > CROWD).alias("crowd"),
+        F.pmod(F.xxhash64(F.lit(seed), "node"), F.lit(SPACE)).alias("h")), "op1")
+
+    def scan(drawn):
+        by = {}
+        for r in drawn:
+            by.setdefault((r["label"], r["dim"]), []).append(r)
+        sent = spark.sparkContext.broadcast({k: (np.array([r["node"] for r in v]), np.array([r["comp"] for r in v]),
+                                                 unit_rows([r["embedding"] for r in v])) for k, v in by.items()})
+
+        def compare(frames):
+            import pandas as pd
+
+            for pdf in frames:
+                for key, part in pdf.groupby(GROUP):
+                    if key not in sent.value:
+                        continue
+                    u, node, comp = unit_rows(part["embedding"]), part["node"].to_numpy(), part["comp"].to_numpy()
+                    for s in range(0, len(sent.value[key][0]), 1024):
+                        q_node, q_comp, q = (x[s:s + 1024] for x in sent.value[key])
+                        i, j = np.nonzero(u @ q.T >= threshold)
+                        other = node[i] != q_node[j]
+                        i, j = i[other], j[other]
+                        inside = comp[i] == q_comp[j]
+                        links = np.bincount(j, minlength=len(q_node))
+                        hit = np.flatnonzero(links)
+                        if len(hit):
+                            yield pd.DataFrame({"node": q_node[hit], "links": links[hit], "b": -1,
+                                                "found": np.bincount(j[inside], minlength=len(q_node))[hit]})
+                            a, b = star_edges(node[i[~inside]], q_node[j[~inside]])
+                            yield pd.DataFrame({"node": a, "links": 0, "b": b, "found": 0})
+
+        return stored(held.select(*GROUP, "node", "comp", "embedding").mapInPandas(
+            compare, "node long, links long, b long, found long"), "op1")
+
+    worst, whole, missed = 1.0, True, None
+    for kind in held.groupBy("crowd").agg(F.count("*").alias("n"), F.max("dim").alias("dim")).orderBy("crowd").collect():
+        at, want, linked, share = 0, 2 * queries, 0, 0.0
+        while at < SPACE and linked < queries:
+            to = min(SPACE, at + max(1, SPACE * min(want, max(1, AUDIT_BYTES // (8 * kind["dim"]))) // kind["n"]))
+            seen = scan(held.where((F.col("crowd") == kind["crowd"]) & (F.col("h") >= at) & (F.col("h") < to)).collect())
+            got = (seen.where("b < 0").groupBy("node").agg(F.sum("links").alias("links"), F.sum("found").alias("found"))
+                   .agg(F.count("*"), F.sum(F.col("found") / F.col("links"))).first())
+            linked, share = linked + got[0], share + (got[1] or 0.0)
+            lost = seen.where("b >= 0").select(F.col("node").alias("a"), "b")
+            missed = lost if missed is None else missed.union(lost)
+            at, want = to, 4 * want
+        worst = min(worst, share / linked) if linked else worst
+        whole = whole and at >= SPACE
+    return worst, whole, missed
 
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, orders: int = ORDERS,
@@ -275,7 +313,8 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, width: int =
     3. Lists that are full of links (saturated) are enlarged: their component's members are counted in
        blocks, and a further pass searches with lists that hold only nodes outside the own component,
        until no list brings two components together.
-    4. An audit compares drawn nodes with all; below ``recall`` another pass runs with wider lists.
+    4. An audit compares drawn nodes with all; the links that it finds between components are joined too,
+       and below ``recall`` another pass runs with wider lists and more orders, unless every node was drawn.
 
     Returns vec_id, n_links, component_id, kept.  Vectors that are null, zero, empty, or hold null or
     non-finite components, and those without a label, link with nothing (their own component).  Vectors
@@ -307,6 +346,11 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, width: int =
     nodes = nodes.select("node", *key, "least", "copies", "embedding")
     schema = ", ".join(f"{c} {t}" for c, t in nodes.dtypes) + ", u binary"
     nodes = stored(nodes.mapInPandas(single, schema), "op1")
+
+    def joined(links):
+        comp = components(links, "op1")
+        return stored(nodes.select("node").join(comp, "node", "left").select("node", F.coalesce("root", "node").alias("comp")), "op1")
+
     comps, links, turn = nodes.select("node", F.col("node").alias("comp")), None, 0
     while n:
         held = stored(nodes.join(comps, "node"), "op1")
@@ -317,13 +361,16 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, width: int =
         n_found = found.count()
         links = found if links is None else links.union(found)
         if n_found:
-            comp = components(links, "op1")
-            comps = stored(nodes.select("node").join(comp, "node", "left").select("node", F.coalesce("root", "node").alias("comp")), "op1")
+            comps = joined(links)
         saturated = lists.where((F.size("nbrs") == width) & (F.element_at("nbrs", -1)["sim"] >= threshold - SLACK)).limit(1).count()
         turn += 1
         if n_found and saturated:
             continue
-        if audit(nodes, comps, threshold, AUDIT, seed + turn) >= recall:
+        reached, whole, missed = audited(nodes, comps, threshold, AUDIT, seed + turn)
+        if missed is not None and not missed.isEmpty():
+            links = links.union(missed)
+            comps = joined(links)
+        if reached >= recall or whole:
             break
         width, orders = 2 * width, 2 * orders
     sizes = comps.groupBy("comp").agg(F.count("*").alias("size"))

@@ -74,3 +74,25 @@ def test_audit_sees_missing_links(spark, crowd):
     apart = nodes.selectExpr("node", "node as comp")
     assert N.audit(nodes, apart, 0.93, 50, 1) == 0
     assert N.audit(nodes, nodes.selectExpr("node", "0L as comp"), 0.93, 50, 1) == 1
+
+
+def test_audit_sees_lost_pairs_beside_a_crowd_and_among_unlinked(spark):
+    rng = np.random.default_rng(5)
+    crowd = rng.normal(size=16) + rng.normal(size=(300, 16)) * 0.05
+    one = rng.normal(size=(12, 16))
+    far = rng.normal(size=(1200, 16))
+
+    def frames(x, comp):
+        x = [(i, 1, 16, e.tolist()) for i, e in enumerate(x)]
+        return (spark.createDataFrame(x, "node long, label int, dim int, embedding array<double>"),
+                spark.createDataFrame([(r[0], comp(r[0])) for r in x], "node long, comp long"))
+
+    # the crowd is found, all pairs beside it are lost
+    beside = np.concatenate([crowd, one, one + 0.01])
+    assert N.audit(*frames(beside, lambda i: 0 if i < 300 else i), 0.93, 50, 1) == 0
+    # one lost pair that a small draw does not meet: all are drawn, and the pair comes back
+    recall, whole, missed = N.audited(*frames(np.concatenate([far, far[:1] + 0.01]), lambda i: i), 0.93, 20, 1)
+    pairs = {tuple(sorted((r.a, r.b))) for r in missed.collect()}
+    x = far / np.linalg.norm(far, axis=1, keepdims=True)
+    others = {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(x @ x.T >= 0.93, 1)), strict=True)}
+    assert not others and recall == 0 and whole and pairs == {(0, 1200)}
