@@ -39,6 +39,10 @@ _WORD_BEFORE = re.compile(r"[^\x20\x09-\x0D]+")
 #: Words that announce a secret (own list).
 HINTS = frozenset("password passwd pwd pass passphrase secret token key apikey api_key auth authorization bearer "
                   "credential credentials private signature access access_key secret_key".split())
+#: A link mark before letters, and an announcing word right before that mark.
+_LINKED = re.compile(r"""(?::=|=>|[:=])\x20*["']?(?=[A-Za-z][A-Za-z+/_-]{5})""")
+_SAID = re.compile(r"(?<![A-Za-z])(?:" + "|".join(sorted(HINTS)) + r""")["']?\x20*\Z""", re.ASCII | re.IGNORECASE)
+ANNOUNCED = "announced"
 
 
 def base_spans(text: str) -> list[tuple[int, str, int]]:
@@ -104,18 +108,23 @@ def chain_features(tokens: list[str], before: list[str], after: str, of_file: li
 
 
 def may_be_secret(token: str) -> bool:
-    """Lattice constraint: other tokens are outside whatever the weights."""
+    """Lattice constraint: other tokens are outside whatever the weights, unless they are announced."""
     return token[0].isascii() and (len(token) >= 20 or (len(token) >= 6 and any(c.isdigit() for c in token)))
 
 
+def announced(text: str) -> set[int]:
+    """Starts of the tokens of six or more letters right behind an announcing word and a link mark."""
+    return {m.end() for m in _LINKED.finditer(text) if _SAID.search(text, max(0, m.start() - 40), m.start())}
+
+
 def chains(text: str):
     """(start, tokens, their starts, features) of every chain of the text."""
-    if not any(c in text for c in "0123456789") and not _LONG.search(text):
+    said = announced(text)
+    if not said and not any(c in text for c in "0123456789") and not _LONG.search(text):
         return
     of_file = None
     spans = [m.span() for m in _WITH_DIGIT.finditer(text)]
-    for m in _LONG.finditer(text):
-        a, b = m.span()
+    for a, b in [*(m.span() for m in _LONG.finditer(text)), *((s, s + 1) for s in said)]:
         while a and text[a - 1] not in " \t\n\x0b\x0c\r":
             a -= 1
         while b < len(text) and text[b] not in " \t\n\x0b\x0c\r":
@@ -123,25 +132,29 @@ def chains(text: str):
         spans.append((a, b))
     for a, b in sorted(set(spans)):
         found = [(m[0], m.start()) for m in _TOKEN.finditer(text, a, b)]
-        if not any(may_be_secret(t) for t, _ in found):
+        if not any(may_be_secret(t) or s in said for t, s in found):
             continue
         if of_file is None:
             of_file = file_features(text)
         before = _WORD_BEFORE.findall(text[max(0, a - 60):a])
         after = _WORD_BEFORE.search(text, b, b + 40)
         tokens = [t for t, _ in found]
-        yield a, tokens, [s for _, s in found], chain_features(tokens, before, after[0] if after else "", of_file)
+        features = chain_features(tokens, before, after[0] if after else "", of_file)
+        for names, (_, s) in zip(features, found, strict=True):
+            if s in said:
+                names.append(ANNOUNCED)
+        yield a, tokens, [s for _, s in found], features
 
 
 # --- model ------------------------------------------------------------------
 
-def allowed(tokens: list[str]):
+def allowed(tokens: list[str], features: list[list[str]]):
     """0 where a label is possible, else minus infinity: a mark can only go on with a secret."""
     import numpy as np
 
     bar = np.zeros((len(tokens), 3))
     for i, t in enumerate(tokens):
-        if not may_be_secret(t):
+        if not may_be_secret(t) and ANNOUNCED not in features[i]:
             bar[i, BEGIN] = -np.inf
             if len(t) > 1 and not t.isalnum() or not t.isascii() or t in "\"'<>(){}[],;":
                 bar[i, INSIDE] = -np.inf
@@ -174,7 +187,7 @@ class Crf:
 
         known = self.names
         rows = [self.weights[[known[f] for f in fs if f in known]].sum(axis=0) for fs in features]
-        return np.array(rows).reshape(-1, 3) + allowed(tokens)
+        return np.array(rows).reshape(-1, 3) + allowed(tokens, features)
 
     def spans(self, text: str) -> list[tuple[int, int]]:
         """Spans that the decoded labels mark as secrets."""
@@ -206,7 +219,7 @@ def fit(examples, rounds: int = 150, rate: float = 0.1, l2: float = 0.02) -> Crf
         for fs in features:
             flat[at, [names[f] for f in fs]] = 1
             at += 1
-        bar[i, :len(tokens)] = allowed(tokens)
+        bar[i, :len(tokens)] = allowed(tokens, features)
         gold[i, :len(tokens)], live[i, :len(tokens)] = labels, True
     bar = np.where(np.isinf(bar), -30.0, bar)
     stop = np.array([[0, 0, -30.0], [0, 0, 0], [0, 0, 0]])
@@ -252,9 +265,9 @@ def labelled(text: str, secrets: list[tuple[int, int]]):
     """Fitting examples of a text whose secrets (start, end) are known."""
     for _, tokens, at, features in chains(text):
         labels, inside = [], None
-        for t, s in zip(tokens, at, strict=True):
+        for t, s, names in zip(tokens, at, features, strict=True):
             hit = next((k for k, (a, b) in enumerate(secrets) if a <= s < b), None)
-            can = may_be_secret(t)
+            can = may_be_secret(t) or ANNOUNCED in names
             labels.append(OUTSIDE if hit is None else INSIDE if hit == inside else BEGIN if can else OUTSIDE)
             inside = hit if labels[-1] != OUTSIDE else None
         yield tokens[:FIT_TOKENS], features[:FIT_TOKENS], labels[:FIT_TOKENS]
@@ -278,7 +291,8 @@ def generated(count: int, seed: int = 11):
     strong = [lambda: run("0123456789abcdef", 24, 64), lambda: run(alnum, 20, 48), lambda: run(alnum + "+/", 28, 64),
               lambda: "AKIA" + run("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 16, 16),
               lambda: run(low, 2, 4) + rng.choice("_-") + run(alnum, 24, 40)]
-    weak = [lambda: run("0123456789abcdef", 10, 20), lambda: run(alnum, 8, 18), lambda: word() + digits(2, 5) + run(alnum, 3, 6)]
+    weak = [lambda: run("0123456789abcdef", 10, 20), lambda: run(alnum, 8, 18), lambda: word() + digits(2, 5) + run(alnum, 3, 6),
+            lambda: run(low, 8, 18), lambda: run(low + low.upper(), 8, 18), lambda: "".join(word().capitalize() for _ in range(3))]
     plain = [lambda: f"{word()}.{digits(1, 3)}@{word()}{digits(1)}.{word()}.com", lambda: ".".join(digits(1, 3) for _ in range(4)),
              lambda: f"+{digits(1, 2)} ({digits(3)}) {digits(3)}-{digits(4)}", lambda: digits(16), lambda: digits(1, 8),
              lambda: f"{digits(4)}-{digits(2)}-{digits(2)}", lambda: f"{digits(1)}.{digits(1)}.{digits(1, 2)}",
@@ -324,9 +338,15 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = S
 # --- scan ---------------------------------------------------------------------
 
 def all_spans(text: str, model: Crf) -> list[tuple[int, str, int]]:
-    """Base spans, and the model's spans that touch none of them."""
-    base = base_spans(text)
-    extra = [(a, METHOD, b) for a, b in model.spans(text) if not any(s < b and a < e for s, _, e in base)]
+    """Base spans, and the model's spans that reach beyond them; the two may overlap."""
+    base, extra = base_spans(text), []
+    for a, b in model.spans(text):
+        at = a
+        for s, _, e in base:
+            if s <= at < e:
+                at = e
+        if at < b:
+            extra.append((a, METHOD, b))
     return sorted(base + extra, key=lambda s: (s[0], KINDS.index(s[1])))
 
 

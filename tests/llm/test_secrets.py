@@ -93,3 +93,26 @@ def test_redaction(docs, odd, empty, model):
         assert r.n_chars == (len(r.text) if spans else rows[r.doc_id].n_chars)
     assert S.redact_secrets(odd, model).count() == odd.count() and S.redact_secrets(empty, model).count() == 0
     assert S.replaced("ab cd ef", [(0, "x", 4), (1, "y", 2), (6, "z", 8)], "*") == "*d *"
+
+
+def test_method_spans_that_overlap_base_spans_stay():
+    class Whole:
+        def __init__(self, *spans):
+            self.spans = lambda text: list(spans)
+
+    text = 'password="Xk9dLq$27TzPw3mBv81Rn" next'
+    base = S.base_spans(text)
+    assert [text[a:b] for a, _, b in base] == ['password="Xk9dLq']
+    got = S.all_spans(text, Whole((10, 31)))
+    assert got == [*base, (10, "crf", 31)] and S.replaced(text, got, "*") == '*" next'
+    assert S.all_spans(text, Whole((10, 16))) == base  # covered already
+    key = "zq" + "0af1" * 6 + "XYZ"
+    assert S.replaced(f"a {key} b", S.all_spans(f"a {key} b", Whole((2, 2 + len(key)))), "*") == "a * b"
+
+
+@pytest.mark.parametrize("text,secret", [
+    ("set passphrase: qTbwLkZrmXv before noon", "qTbwLkZrmXv"), ('auth_key="kwzqhgbtrxm"', "kwzqhgbtrxm"),
+    ("the credential => 'MorvaLintekSuhol' is old", "MorvaLintekSuhol")])
+def test_announced_secrets_of_letters(model, text, secret):
+    assert S.base_spans(text) == []
+    assert [text[a:b] for a, _, b in S.all_spans(text, model)] == [secret]
