@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from presswire.llm.common import stored, tune
 
 KEY = "presswire"
+#: Draws in an entity's own shape; later ones have more room.  Draws in all, which only a full address space needs.
 MOST_ATTEMPTS = 64
+LAST_ATTEMPT = 512
 
 # --- fixed values: own word lists -----------------------------------------------
 TITLES = {"m": ("Mr", "Herr", "Monsieur", "Señor", "Sir", "господин"),
@@ -138,8 +140,14 @@ def _pick(words, at: Column) -> Column:
     return F.element_at(F.array(*[F.lit(w) for w in words]), (at % len(words)) + 1)
 
 
-def surrogate(type_: Column, norm: Column, attempt: Column, key: str) -> Column:
-    """The candidate replacement of an entity's norm; another attempt gives another one."""
+def surrogate(type_: Column, norm: Column, attempt: Column, key: str, narrow: int = MOST_ATTEMPTS) -> Column:
+    """The candidate replacement of an entity's norm; another attempt gives another one.
+
+    From attempt ``narrow`` on, a small space of values grows with each attempt: the local part of an e-mail
+    gets more letters and a number more digits; a private address may be any of 10.*, and after as many
+    attempts again any address.
+    """
+    over = F.greatest(attempt - (narrow - 1), F.lit(0))
     s = _stream(key, type_, norm, attempt.cast("string"))
     body = _like(norm, s)
     low = lambda d, least: F.concat(((_byte(s, 100) % (10 - least)) + least).cast("string"), F.call_function("substr", d, F.lit(2)))
@@ -148,11 +156,14 @@ def surrogate(type_: Column, norm: Column, attempt: Column, key: str) -> Column:
     domain = F.call_function("substr", norm, at + 1)
     ending = F.concat(F.lit("."), F.element_at(F.split(domain, r"\."), -1))
     host = F.call_function("substr", domain, F.lit(1), F.length(domain) - F.length(ending))
-    email = F.concat(F.call_function("substr", body, F.lit(1), at), _like(host, _stream(key, F.lit("domain"), domain)), ending)
+    letters, digits = (_like(F.repeat(F.lit(c), over), _stream(key, F.lit("more"), type_, norm, attempt.cast("string"))) for c in "a0")
+    email = F.concat(F.call_function("substr", body, F.lit(1), at - 1), letters, F.lit("@"), _like(host, _stream(key, F.lit("domain"), domain)), ending)
     # addresses: private ranges stay private
     octets = F.split(norm, r"\.")
     own = F.when(norm.startswith("10.") | norm.startswith("127."), 1).when(norm.startswith("192.168."), 2).when(
         F.regexp_like(norm, F.lit(r"^172\.(1[6-9]|2[0-9]|3[01])\.")), 2).otherwise(0)
+    octets = F.when((over > 0) & (own == 2), F.array(*[F.lit(x) for x in ("10", "0", "0", "0")])).otherwise(octets)
+    own = F.when(over > narrow, 0).when((over > 0) & (own == 2), 1).otherwise(own)
     fresh = F.transform(octets, lambda c, i: F.when(i < own, c).when(i == 0, (F.lit(11) + _byte(s, i) % 110).cast("string")).otherwise(
         _byte(s, i).cast("string")))
     # cards: first digit, length and validity stay
@@ -167,7 +178,7 @@ def surrogate(type_: Column, norm: Column, attempt: Column, key: str) -> Column:
         return F.array_join(parts, "")
 
     out = (F.when(type_ == "email", email).when(type_ == "ip", F.array_join(fresh, ".")).when(type_ == "card", card)
-           .when(type_ == "ssn", low(body, 1)).when(type_.startswith("phone"), low(body, 2)))
+           .when(type_ == "ssn", F.concat(low(body, 1), digits)).when(type_.startswith("phone"), F.concat(low(body, 2), digits)))
     for script in SYLLABLES:
         out = out.when(type_ == f"family-{script}", family(script))
         for g in "mf":
@@ -184,11 +195,12 @@ def mapping(entities: DataFrame, key: str = KEY, most_attempts: int = MOST_ATTEM
 
     Each round draws candidates for the entities still open; a candidate that is a real entity of
     the corpus, is given already, or is drawn by a smaller norm too, is drawn anew.  Rounds are stored.
+    After ``most_attempts`` draws the candidates have more room each time, so that the rest ends as well.
     """
     entities = stored(entities.select("type", "norm").distinct(), "op2")
     taken, open_ = None, entities
-    for attempt in range(most_attempts):
-        drawn = stored(open_.withColumn("surrogate", surrogate(F.col("type"), F.col("norm"), F.lit(attempt), key)), "op2")
+    for attempt in range(max(LAST_ATTEMPT, 4 * most_attempts)):
+        drawn = stored(open_.withColumn("surrogate", surrogate(F.col("type"), F.col("norm"), F.lit(attempt), key, most_attempts)), "op2")
         first = drawn.groupBy("type", "surrogate").agg(F.min("norm").alias("norm"))
         real = entities.select("type", F.col("norm").alias("surrogate"))
         fine = first.join(real, ["type", "surrogate"], "left_anti")
@@ -199,7 +211,7 @@ def mapping(entities: DataFrame, key: str = KEY, most_attempts: int = MOST_ATTEM
         open_ = stored(drawn.select("type", "norm").join(fine, ["type", "norm"], "left_anti"), "op2")
         if open_.isEmpty():
             return taken
-    raise RuntimeError(f"entities without a distinct surrogate after {most_attempts} attempts")
+    raise RuntimeError("more distinct entities of a type than it has values")
 
 
 def _written(text: Column, norm: Column, type_: Column) -> Column:
@@ -217,6 +229,9 @@ def _written(text: Column, norm: Column, type_: Column) -> Column:
             F.call_function("substr", norm, nth - cc, F.lit(1)))
 
     numbers = F.array_join(F.transform(chars, put), "")
+    # digits beyond those of the mention come last
+    count = F.aggregate(marks, F.lit(0), lambda a, x: a + x)
+    numbers = F.concat(numbers, F.call_function("substr", norm, count - cc + 1))
     cased = (F.when((text == F.upper(text)) & (F.length(text) > 1), F.upper(norm))
              .when(text.substr(1, 1) != F.lower(text.substr(1, 1)), F.concat(F.upper(norm.substr(1, 1)), F.call_function("substr", norm, F.lit(2))))
              .otherwise(norm))

@@ -90,3 +90,17 @@ def test_tables(docs, odd, empty):
             assert r[c] == len(re.findall(rx, old[r.doc_id])), (c, old[r.doc_id])
         assert (r.text == old[r.doc_id]) == (not any(r[f"n_{k}"] for k in S.KINDS))
     assert S.replace_private(odd).count() == odd.count() and S.replace_private(empty).collect() == []
+
+
+def test_crowded_types_get_surrogates_with_more_room(spark):
+    rows = [("email", f"{c}@x.com") for c in "abcdefghijklmnopqrstuvwxyz0123456789"]
+    rows += [("phone7", f"{i:04d}") for i in range(0, 10_000, 3)] + [("phone7", f"{i:04d}") for i in range(1, 10_000, 3)]
+    rows += [("ip", f"192.168.{i >> 8}.{i & 255}") for i in range(34_000)]
+    got = S.mapping(spark.createDataFrame(rows, "type string, norm string"), most_attempts=2).collect()
+    assert sorted((r.type, r.norm) for r in got) == sorted(rows)
+    assert len({(r.type, r.surrogate) for r in got}) == len(rows)
+    assert not {(r.type, r.surrogate) for r in got} & set(rows)
+    assert all(r.surrogate.startswith(("192.168.", "10.")) for r in got if r.type == "ip")
+    assert all("@" in r.surrogate and r.surrogate.endswith(".com") for r in got if r.type == "email")
+    row = spark.createDataFrame([("+7 12 34", "98765", "phone7")], "text string, norm string, type string")
+    assert row.select(S._written(row.text, row.norm, row.type)).first()[0] == "+7 98 765"
