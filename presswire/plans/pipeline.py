@@ -77,8 +77,9 @@ def on_days(df: DataFrame, days: list) -> DataFrame:
 
 
 def _article() -> Column:
-    """What names an article within its day: the url, else the heading."""
-    return F.coalesce("url", F.concat(F.lit("heading:"), F.coalesce("heading", F.lit(""))))
+    """What names an article within its day: the url, else a hash of heading and body (a null is no empty text)."""
+    said = F.to_json(F.struct("heading", "body"))     # leaves nulls out
+    return F.coalesce("url", F.concat(F.lit("content:"), F.sha2(said, 256)))
 
 
 def new_articles_only(incoming: DataFrame, target: DataFrame | None, days: list) -> DataFrame:

@@ -86,3 +86,17 @@ def test_days_reach_the_scan(spark, sf):
     day = [d for d in P.days_of(layers.read(spark, "bronze")) if d][0]
     plan = P.on_days(layers.read(spark, "bronze"), [day])._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [article_date" in plan.replace("isnotnull(article_date#", "article_date#") or "PartitionFilters: []" not in plan
+
+
+def test_articles_without_url_are_named_by_heading_and_body(spark):
+    layers = P.Layers(tempfile.mkdtemp(dir="/tmp"))
+
+    def add(*rows):
+        rows = [(h, b, "c", None, "ch", day) for h, b, day in rows]
+        return P.add_bronze(spark, layers, spark.createDataFrame(rows, files.RAW_SCHEMA))["rows"]
+
+    assert add(("h", "one", "2024-01-01"), (None, "two", "2024-01-01"), (None, None, "?")) == 3
+    later = [("h", "other", "2024-01-01"), (None, "three", "2024-01-01"), ("", "two", "2024-01-01"), (None, "", "?"), ("", None, "?")]
+    assert add(*later) == 5
+    assert add(*later, ("h", "one", "2024-01-01"), (None, None, "?")) == 0
+    assert layers.read(spark, "bronze").count() == 8
