@@ -95,3 +95,16 @@ def test_raw_articles_take_rule_and_channel_from_the_host(spark):
     every = {(r.page_id, r.channel, r.article_date) for r in X.raw_articles(pages).collect()}
     assert every == {(1, "Scroll", "2024-03-05"), (2, "HindustanTimes", "2024-03-05"), (4, "Scroll", None)}
     assert {r.page_id for r in X.raw_articles(pages, "2024-03-05").collect()} == {1, 2}
+
+
+def test_link_filter_query_returns_every_page_and_depth_follows_links(spark, tmp_path):
+    from presswire.plans.registry import load_all
+    urls = [f"https://news.example.org/section/page{i:02d}" for i in range(1, 6)] + ["https://news.example.org/x"]
+    to = urls[1:5] + [urls[5], None]  # a chain; the last link is too short to be followed
+    rows = [(i + 1, u, f'<html><body><a href="{v}">next</a></body></html>') for i, (u, v) in enumerate(zip(urls, to, strict=True))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    got = load_all()[0]["link_filter"](spark, str(tmp_path)).collect()
+    assert sorted((r.url, r.depth) for r in got) == sorted((u, 0) for u in urls)
+    chain = X.crawl(pages, pages.where("page_id = 1"), link_filter=lambda u: F.length(u) > F.lit(30)).collect()
+    assert sorted((r.url, r.depth) for r in chain) == [(u, i) for i, u in enumerate(urls[:5])]
