@@ -115,3 +115,25 @@ def op1(spark, sf_dir):
 def op6(spark, sf_dir):
     from presswire.llm.passages import repeated_passages
     return repeated_passages(common.documents(spark, sf_dir))
+
+
+@query("op11_merge_path_alignment")
+def op11(spark, sf_dir):
+    from presswire.llm.alignment import align_tokens
+    return align_tokens(common.documents(spark, sf_dir)).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@query("op12_offset_pieces")
+def op12(spark, sf_dir):
+    from presswire.llm.pieces import decode_pieces, encode_pieces
+    return decode_pieces(encode_pieces(common.documents(spark, sf_dir))).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.sha2(F.concat("begins", "ends"), 256).alias("spans_sha256"))
+
+
+@query("op13_spectrum_slicing")
+def op13(spark, sf_dir):
+    from presswire.llm.whitening import whiten
+    from presswire.sources.tables import read_table
+    return whiten(read_table(spark, sf_dir, "embeddings"))
