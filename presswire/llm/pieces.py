@@ -259,7 +259,7 @@ def encode_pieces(docs: DataFrame, path: str | None = None) -> DataFrame:
 
         tool = piece_encoder(path)
         for pdf in frames:
-            for at, texts in batches(pdf["text"].tolist(), 1 << 20):
+            for at, texts in batches(pdf["text"].tolist(), 1 << 18):
                 ids, begins, ends, count = tool.encode(texts)
                 edge = np.concatenate([[0], np.cumsum(count)]).tolist()
                 cut = lambda x, kind: [x[a:b].tobytes() for x in (x.astype(kind),)
