@@ -13,21 +13,27 @@ planner broadcasts such a table when its bytes are below the threshold.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from presswire import constants as C
 from presswire.functions import scores as S
 from presswire.functions.text import is_blank
+from presswire.operators.membership import where_held
 from presswire.operators.rules import compute_once
+from presswire.session import checkpoint_dir
 
-# The inline forms refuse tables above these sizes (the expression would exceed
-# codegen limits); the join forms take tables of any size.
-INLINE_KEYWORD_LIMIT = 2000
-INLINE_LEXICON_LIMIT = 5000
+#: Characters of a keyword's q-gram (a shorter keyword is filed under all of it).
+GRAM = 4
+#: Of the texts, one in so many is counted to tell which q-grams are rare.  Any choice gives the same answer.
+GRAM_SAMPLE = 16
+#: At most so many q-grams are dealt out over salts, the most frequent ones, over so many salts each.
+HOT_GRAMS, GRAM_SALTS = 64, 16
+#: Characters of a long text that are looked at together.
+STRETCH = 1 << 16
 
 
 # ---------------------------------------------------------------------------
@@ -44,16 +50,21 @@ def keyword_scores(text: Column, keyword_map: Mapping[str, list[str]], lowered:
     out = []
     for cat, kws in keyword_map.items():
         terms = [(F.instr(low, k) > F.lit(0)).cast("int") for k in dict.fromkeys(kws)]
-        out.append(reduce(lambda a, b: a + b, terms).alias(cat))
+        out.append(_sum(terms).alias(cat))
     return out
 
 
+def _sum(terms: list[Column]) -> Column:
+    """Their sum as a balanced tree, so that many terms stay shallow."""
+    while len(terms) > 1:
+        terms = [a + b for a, b in zip(terms[::2], terms[1::2])] + terms[len(terms) // 2 * 2:]
+    return terms[0] if terms else F.lit(0)
+
+
 def best_category(text: Column, keyword_map: Mapping[str, list[str]] | None = None,
                   lowered: bool = False) -> Column:
     """struct(score, neg_rank, category) of the winning category (ties -> first declared)."""
     kmap = keyword_map or C.KEYWORD_MAP
-    if sum(len(v) for v in kmap.values()) > INLINE_KEYWORD_LIMIT:
-        raise ValueError("keyword map too large for the inline form; use classify_keywords_join")
     scored = [F.struct(sc.alias("score"), F.lit(-rank).alias("neg_rank"), F.lit(cat).alias("category"))
               for rank, (cat, sc) in enumerate(zip(kmap.keys(), keyword_scores(text, kmap, lowered)))]
     return F.array_max(F.array(*scored))
@@ -156,26 +167,85 @@ def keyword_dim(spark, keyword_map: Mapping[str, list[str]] | None = None) -> Da
     return spark.createDataFrame(rows, "category string, rank int, keyword string")
 
 
+def _runs(text: Column, least: int, most: int) -> Column:
+    """The ``least`` to ``most`` characters from every place on that has as many."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{least},{most}}}))."), F.lit(1))
+
+
+def gram_index(df: DataFrame, text_col: str, keywords: DataFrame) -> DataFrame:
+    """The keywords, each filed under its rarest q-gram: (category, rank, keyword, size, gram, texts).
+
+    A gram has min(GRAM, length of the keyword) characters.  Rarity is the number of texts that hold the gram,
+    counted on one text in GRAM_SAMPLE (by hash), with only the keywords' own grams shuffled.
+    """
+    kw = keywords.select("category", "rank", "keyword").where(F.length("keyword") > 0).withColumn(
+        "size", F.least(F.length("keyword"), F.lit(GRAM)))
+    grams = F.coalesce(*[F.when(F.col("size") == n, F.array_distinct(_runs(F.col("keyword"), n, n))) for n in range(1, GRAM + 1)])
+    filed = kw.withColumn("gram", F.explode(grams))
+    held = F.array_distinct(F.concat(F.array().cast("array<string>"), *[_runs(F.col("_low"), n, n) for n in gram_sizes(kw)]))
+    some = (df.where(F.pmod(F.xxhash64(text_col), F.lit(GRAM_SAMPLE)) == 0).select(F.lower(F.col(text_col)).alias("_low"))
+            .select(F.explode(held).alias("gram")))
+    counts = where_held(some, F.col("gram"), filed.select("gram").distinct(), "gram").groupBy("gram").agg(
+        F.count(F.lit(1)).alias("texts"))
+    rarest = Window.partitionBy("keyword", "category").orderBy("texts", "gram")
+    return (filed.join(counts, "gram", "left").withColumn("texts", F.coalesce("texts", F.lit(0)))
+            .withColumn("_nth", F.row_number().over(rarest)).where("_nth = 1")
+            .select("category", "rank", "keyword", "size", "gram", "texts"))
+
+
+def gram_sizes(kw: DataFrame) -> list[int]:
+    """The gram lengths in use, GRAM at most."""
+    return sorted(r[0] for r in kw.select("size").distinct().collect())
+
+
+def keyword_candidates(df: DataFrame, key: str, text_col: str, index: DataFrame) -> DataFrame:
+    """What the texts send to the index: (key, gram, window), one row per distinct window over a filed gram.
+
+    A window holds every keyword that lies over its gram; a gram shorter than GRAM is a whole keyword and its
+    own window.  Long texts are cut into overlapping stretches, so that their windows are never all in memory.  Each
+    stretch also sends one row without a gram.
+    """
+    longest = index.agg(F.max(F.length("keyword"))).first()[0] or 1
+    ahead = max(longest - GRAM, 0)      # where the gram of a window begins
+    sizes = gram_sizes(index)
+    stretch = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(f"(?s)(?=(.{{1,{STRETCH + longest}}})).{{1,{STRETCH}}}"), F.lit(1))
+    cut = df.select(F.col(key), F.explode_outer(stretch).alias("_low"))
+    padded = F.concat(F.lit("\0" * ahead), F.col("_low"))
+    windows = [_runs(padded, ahead + GRAM, ahead + longest) if n == GRAM else _runs(F.col("_low"), n, n) for n in sizes]
+    none = F.array(F.lit(None).cast("string"))
+    sent = cut.select(F.col(key), F.explode(F.concat(none, F.array_distinct(F.concat(
+        F.array().cast("array<string>"), *[F.coalesce(w, F.array().cast("array<string>")) for w in windows])))).alias("window"))
+    gram = F.when(F.length("window") < GRAM, F.col("window")).otherwise(F.substring("window", ahead + 1, GRAM))
+    return where_held(sent.withColumn("gram", gram), F.col("gram"), index.select("gram").distinct(), "gram",
+                      F.col("window").isNull()).select(key, "gram", "window")
+
+
 def classify_keywords_join(df: DataFrame, key: str, text_col: str, keywords: DataFrame,
                            default: str = C.DEFAULT_CATEGORY) -> DataFrame:
-    """join_keyword: ``contains(text, keyword)`` as an equality join, then the winner per key.
-
-    A text gives its distinct snippets (every position, as long as the longest keyword); snippet and
-    keyword meet by their first characters (as many as the shortest keyword has) and match when the
-    snippet starts with the keyword.  So no text meets every keyword, and a keyword table of any size
-    can be joined.  ``key`` names one text; a key without any hit gets ``default``.  Returns (key, category).
+    """join_keyword: ``contains(text, keyword)`` as an equality join on rare q-grams, then the winner per key.
+
+    Every keyword is filed under the q-gram of its own that fewest texts hold (``gram_index``).  A text sends only
+    the places whose q-gram is filed (a Bloom filter in the same stage) with the characters around them, and a
+    keyword that meets such a place is looked up in that window.  So the rows sent are about as many as the
+    hits, and a keyword table of any size can be joined.  The q-grams with the most texts are dealt out over
+    salts, their keywords repeated for each.  ``key`` names one text; a key without any hit gets ``default``.
+    Returns (key, category).
     """
-    kw = keywords.select("category", "rank", "keyword").where(F.length("keyword") > 0)
-    shortest, longest = kw.agg(F.min(F.length("keyword")), F.max(F.length("keyword"))).first()
-    if longest is None:
-        return df.select(key).distinct().withColumn("category", F.lit(default))
-    # a lookahead matches at every position and takes what follows
-    snippets = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(f"(?s)(?=(.{{1,{longest}}}))"), F.lit(1)))
-    docs = df.select(F.col(key), F.explode_outer(snippets).alias("_s"))
-    head = F.substring(F.col("_s"), 1, shortest)
-    hits = (docs.join(kw.withColumn("_head", F.substring("keyword", 1, shortest)),
-                      (head == F.col("_head")) & F.col("_s").startswith(F.col("keyword")), "left")
-            .groupBy(key, "category", "rank").agg(F.count_distinct("keyword").alias("score")))
+    checkpoint_dir(df.sparkSession)
+    index = gram_index(df, text_col, keywords).checkpoint()     # the size of the keyword table
+    hot = [r[0] for r in index.where("texts > 0").groupBy("gram").agg(F.max("texts").alias("n"))
+           .orderBy(F.desc("n"), "gram").limit(HOT_GRAMS).collect()]
+
+    def salted(gram: Column, salt: Column) -> Column:
+        return F.when(gram.isin(*hot), salt).otherwise(F.lit(0)) if hot else F.lit(0)
+
+    sent = keyword_candidates(df, key, text_col, index).withColumn(
+        "_salt", salted(F.col("gram"), F.pmod(F.xxhash64(key, "window"), F.lit(GRAM_SALTS)).cast("int")))
+    salts = F.when(F.col("gram").isin(*hot), F.sequence(F.lit(0), F.lit(GRAM_SALTS - 1))).otherwise(F.array(F.lit(0))) if hot \
+        else F.array(F.lit(0))
+    filed = index.select("category", "rank", "keyword", "gram", F.explode(salts).alias("_salt"))
+    hits = (sent.join(filed, ["gram", "_salt"], "left")
+            .groupBy(key, "category", "rank").agg(F.count_distinct(F.when(F.contains("window", "keyword"), F.col("keyword"))).alias("score")))
     best = hits.groupBy(key).agg(F.max(F.when(F.col("score") > 0, F.struct(
         F.col("score"), (-F.col("rank")).alias("nr"), F.col("category")))).alias("b"))
     return best.select(key, F.coalesce(F.col("b.category"), F.lit(default)).alias("category"))
@@ -214,10 +284,9 @@ def lexicon_polarity(text: Column, lexicon: Mapping[str, float] | None = None,
     only the few matching tokens reach the map lookup.
     """
     lex = dict(lexicon or C.DEFAULT_LEXICON)
-    if len(lex) > INLINE_LEXICON_LIMIT:
-        raise ValueError("lexicon too large for the inline form; use join_lexicon")
     words = sorted(lex)
-    lmap = F.create_map(*[x for w in words for x in (F.lit(w), F.lit(float(lex[w])))])
+    # one literal, however long the lexicon: its text is parsed once, when the plan is made
+    lmap = F.from_json(F.lit(json.dumps(lex)), "map<string,double>")
     toks, prev = token_pairs(text)
 
     def value(t: Column, p: Column) -> Column:
@@ -258,7 +327,7 @@ def lexicon_dim(spark, lexicon: Mapping[str, float] | None = None) -> DataFrame:
 
 def join_lexicon(df: DataFrame, key: str, text_col: str, lexicon: DataFrame,
                  negation: str = C.NEGATION_WORD, factor: float = C.NEGATION_FACTOR) -> DataFrame:
-    """join_lexicon (table form): tokens joined with the lexicon, grouped mean.
+    """join_lexicon (table form): the tokens that pass the lexicon's Bloom filter joined with it, grouped mean.
 
     Returns (key, polarity) for every row of ``df``.  A group is one text of one key (key and SHA-256
     of the text, the same in every retry); rows that agree in both come back as often as they were given.
@@ -271,12 +340,11 @@ def join_lexicon(df: DataFrame, key: str, text_col: str, lexicon: DataFrame,
     text = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
     exploded = df.select(F.col(key), text.alias("_text"), F.posexplode(pairs).alias("_pos", "_w")).select(
         key, "_text", "_pos", F.col("_w.word").alias("word"),
-        F.coalesce(F.col("_w.prev") == F.lit(negation), F.lit(False)).alias("_negated"))
-    # left join: every row has at least one token, so every key reaches the
-    # grouped mean and no join back to the input is needed
-    scored = (exploded.join(lex, "word", "left")
-              .withColumn("_v", F.when(F.col("_negated"), F.col("polarity") * F.lit(factor))
-                          .otherwise(F.col("polarity"))))
+        F.coalesce(F.col("_w.prev") == F.lit(negation), F.lit(False)).alias("negated"))
+    # tokens that the lexicon lacks stay behind, but for the first of each text, which stands for it
+    sent = where_held(exploded, F.col("word"), lex, "word", F.col("_pos") == 0)
+    scored = (sent.join(lex, "word", "left")
+              .withColumn("_v", F.when(F.col("negated"), F.col("polarity") * F.lit(factor)).otherwise(F.col("polarity"))))
     means = scored.groupBy(key, "_text").agg(
         F.coalesce(F.sum("_v") / F.count("_v").cast("double"), F.lit(0.0)).alias("_mean"),
         F.count_if(F.col("_pos") == F.lit(0)).cast("int").alias("_copies"))
