@@ -7,13 +7,13 @@
   standard-library HTML parser inside ``mapInPandas`` (Arrow batches, one
   parser per row, no driver round trip)
 * ``crawl`` – ext_crawl / ext_video_links: iterative link closure where
-  "fetching" is an equi-join of the frontier with the captured pages; the
-  lineage is cut every round with ``checkpoint()`` into the shared
-  checkpoint folder
+  "fetching" is an equi-join of the frontier with the captured pages, parsed
+  once into a table bucketed by url (``LinkTable``)
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
@@ -30,6 +30,12 @@ from presswire.session import checkpoint_dir
 # ---------------------------------------------------------------------------
 
 
+def page_links(html: Column, domain: Column, skip: list[str] | None = None) -> Column:
+    """array<string>: the page's hrefs without a skip segment, resolved against ``domain``, each once."""
+    kept = F.filter(H.href_list(html), lambda h: ~H.has_skip_segment(h, skip))
+    return F.array_distinct(F.filter(F.transform(kept, lambda h: H.resolve_href(h, domain)), lambda u: u.isNotNull()))
+
+
 def extract_links(pages: DataFrame, domain: Column | None = None,
                   skip: list[str] | None = None) -> DataFrame:
     """(page url, link) pairs: hrefs without a skip segment, resolved against
@@ -284,49 +290,134 @@ def raw_articles(pages: DataFrame, run_date: str | None = None,
 # ---------------------------------------------------------------------------
 
 
+class LinkTable:
+    """Captured pages parsed once and kept by url: a table (url, links, further columns) in buckets of the url.
+
+    Joins with it by url need no exchange of its rows; what is looked up comes to the buckets.  The files lie
+    in the shared checkpoint folder; ``close`` takes the names out of the catalog and leaves the files, so
+    that results already planned stay readable.
+    """
+
+    def __init__(self, pages: DataFrame, domain: Column | None = None, skip: list[str] | None = None,
+                 keep: dict[str, Column] | None = None):
+        self.spark = pages.sparkSession
+        self.root = f"{checkpoint_dir(self.spark).rstrip('/')}/crawl-{uuid.uuid4().hex}"
+        self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.names: list[str] = []
+        dom = domain if domain is not None else H.url_host(F.col("url"))
+        self.pages = self.put(pages.select("url", page_links(F.col("html"), dom, skip).alias("links"),
+                                           *[c.alias(n) for n, c in (keep or {}).items()]), "pages")
+
+    def put(self, rows: DataFrame, table: str) -> str:
+        """Add ``rows`` to the bucketed table of that name, and give its full name."""
+        name = f"{table}_{self.root[-32:]}"
+        (rows.repartition(self.buckets, "url").write.mode("append").format("parquet").bucketBy(self.buckets, "url")
+         .option("path", f"{self.root}/{table}").saveAsTable(name))
+        if name not in self.names:
+            self.names.append(name)
+        return name
+
+    def read(self, name: str) -> DataFrame:
+        return self.spark.table(name)
+
+    def fetch(self, urls: DataFrame) -> DataFrame:
+        """join_frontier: the parsed pages among ``urls``."""
+        return self.read(self.pages).join(urls.select("url"), "url", "left_semi")
+
+    def found(self, urls: DataFrame) -> DataFrame:
+        """The distinct links on the pages among ``urls``."""
+        return self.fetch(urls).select(F.explode("links").alias("url")).distinct()
+
+    def round(self, frontier: DataFrame, visited: DataFrame, link_filter: Callable[[Column], Column] | None = None) -> DataFrame:
+        """The pages that the frontier's links reach and that were not visited: one exchange, of the links found."""
+        found = self.found(frontier)
+        if link_filter is not None:
+            found = found.where(link_filter(F.col("url")))
+        captured = found.join(self.read(self.pages).select("url"), "url", "left_semi")
+        return captured.join(visited.select("url"), "url", "left_anti")
+
+    def close(self) -> None:
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def _closure(table: LinkTable, seeds: DataFrame, link_filter: Callable[[Column], Column] | None) -> str:
+    """Name of the bucketed table (url, depth) of every page reached from ``seeds``."""
+    first = seeds.select("url").distinct().join(table.read(table.pages).select("url"), "url", "left_semi")
+    visited, depth = table.put(first.withColumn("depth", F.lit(0)), "visited"), 0
+    while True:
+        seen = table.read(visited)
+        frontier = seen.where(F.col("depth") == depth)
+        if frontier.isEmpty():
+            return visited
+        depth += 1
+        table.put(table.round(frontier, seen, link_filter).withColumn("depth", F.lit(depth)), "visited")
+
+
 def crawl(pages: DataFrame, seeds: DataFrame, link_filter: Callable[[Column], Column] | None = None,
           domain: Column | None = None) -> DataFrame:
     """ext_crawl: breadth-first link closure over the captured pages, until no new page is found.
 
-    Links are extracted once, and only those between captured pages are kept (stored).  Each round
-    follows them from the frontier and removes visited pages with a left-anti join; only the new
-    urls of a round are checkpointed.  Returns (url, depth) of every fetched page.  ``link_filter``
-    restricts which links are followed.
+    The pages are parsed once into a ``LinkTable``; the visited urls are kept in buckets of the same kind.  A
+    round joins the frontier with the pages and the found links with the visited urls in their buckets, so
+    that only the links found are shuffled, and adds its new urls as files of their own: a lost executor
+    repeats tasks of one round.  Returns (url, depth) of every fetched page.  ``link_filter`` restricts
+    which links are followed.
     """
-    checkpoint_dir(pages.sparkSession)
-    captured = pages.select("url").distinct()
-    links = extract_links(pages, domain).select(F.col("page_url").alias("_from"), F.col("link").alias("url"))
-    if link_filter is not None:
-        links = links.where(link_filter(F.col("url")))
-    links = links.join(captured, "url", "left_semi").checkpoint()
-    frontier = seeds.select("url").distinct().join(captured, "url", "left_semi").checkpoint()
-    visited, depth = frontier.withColumn("depth", F.lit(0)), 0
-    while not frontier.isEmpty():
-        depth += 1
-        frontier = (links.join(frontier.withColumnRenamed("url", "_from"), "_from", "left_semi").select("url").distinct()
-                    .join(visited.select("url"), "url", "left_anti").checkpoint())
-        visited = visited.unionByName(frontier.withColumn("depth", F.lit(depth)))
-    return visited
+    table = LinkTable(pages, domain)
+    reached = table.read(_closure(table, seeds, link_filter))
+    table.close()
+    return reached
 
 
 def video_links(pages: DataFrame, seeds: DataFrame, marker: str, min_chars: int = C.VIDEO_LINK_MIN_CHARS,
                 domain: Column | None = None) -> DataFrame:
-    """ext_video_links / flt_video_link: every link reachable from the seeds
+    """ext_video_links / flt_video_link: every link on a page reachable from the seeds
     that contains ``marker`` and is longer than ``min_chars`` (distinct)."""
-    reached = crawl(pages, seeds, None, domain)
-    got = pages.join(reached.select("url"), "url", "left_semi")
-    links = extract_links(got, domain).select(F.col("link").alias("url")).distinct()
+    table = LinkTable(pages, domain)
+    links = table.found(table.read(_closure(table, seeds, None)))
+    table.close()
     return links.where((F.instr(F.col("url"), F.lit(marker)) > 0) & (F.length("url") > F.lit(min_chars)))
 
 
+#: Pages with more than one in so many log entries count as heavy; there can be no more heavy ones than that.
+HEAVY_SHARE = 200
+#: Parts over which a heavy page's entries are dealt.
+HEAVY_SALTS = 32
+
+
+def heavy_keys(rows: DataFrame, key: str, share: int = HEAVY_SHARE) -> list:
+    """Values of ``key`` that may hold more than one row in ``share``: a frequent-items sketch, one small row per task.
+
+    The sketch keeps eight times as many items as can be heavy, so it misses none of them.
+    """
+    sketch = rows.where(F.col(key).isNotNull()).agg(
+        F.expr(f"approx_top_k({key}, {share}, {8 * share})").alias("top"), F.count(F.lit(1)).alias("n")).first()
+    return [t["item"] for t in sketch["top"] or [] if t["count"] * share > sketch["n"]]
+
+
+def join_back(rows: DataFrame, per_key: DataFrame, key: str, spread_by: str, heavy: list, salts: int = HEAVY_SALTS) -> DataFrame:
+    """``rows`` joined with the one row that ``per_key`` has for each key, however many rows a key has.
+
+    The rows of ``heavy`` keys are dealt over ``salts`` parts by a hash of ``spread_by``, and these keys' one row is
+    repeated for each part; all other rows are joined by the key as usual.
+    """
+    is_heavy = F.col(key).isin(*heavy) if heavy else F.lit(False)
+    dealt = rows.withColumn("_salt", F.when(is_heavy, F.pmod(F.xxhash64(spread_by), F.lit(salts))).otherwise(F.lit(0)).cast("int"))
+    parts = F.when(is_heavy, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(per_key.withColumn("_salt", F.explode(parts)), [key, "_salt"]).drop("_salt")
+
+
 def first_segment_urls(log: DataFrame, page_col: str, pos_col: str, url_col: str, k: int) -> DataFrame:
     """win_first_segment: keep log URLs whose path segment ``k`` equals that of
     the first URL of the same page in log order.
 
     The first URL per page is found with ``min_by`` in a grouped aggregate
     (partial per partition, so a page holding a third of the log costs one
-    row per partition), then joined back on the page key.
+    row per partition) and joined back by page; the entries of pages that a
+    sketch finds heavy are dealt over several tasks.
     """
     seg = H.url_segment(F.col(url_col), k)
     firsts = log.groupBy(page_col).agg(F.min_by(seg, F.col(pos_col)).alias("_first_seg"))
-    return (log.join(firsts, page_col).where(seg == F.col("_first_seg")).drop("_first_seg"))
+    joined = join_back(log, firsts, page_col, pos_col, heavy_keys(log, page_col))
+    return joined.where(seg == F.col("_first_seg")).drop("_first_seg")

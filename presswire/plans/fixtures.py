@@ -114,6 +114,34 @@ def dated_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("html", rewritten_markup(F.col("html"), pid % F.lit(5)))
 
 
+LINK_HOSTS = ["news.example.org", "daily.example.org", "herald.example.net"]
+LINK_SECTIONS = ["india", "world", "archive", "sports"]
+
+
+def linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages -> pages of three sites that link to each other, before the links that the pages have.
+
+    A page's place on its site decides its address; it links to two later pages, one farther on, the front page, a
+    section that crawlers skip and a page of another site.
+    """
+    pid = F.col("page_id")
+    place = F.expr(f"page_id div {len(LINK_HOSTS)}")
+
+    def path(n: F.Column) -> F.Column:
+        section = F.element_at(F.array(*[F.lit(x) for x in LINK_SECTIONS]), (n % len(LINK_SECTIONS) + 1).cast("int"))
+        return F.when(n == 0, F.lit("/")).otherwise(F.concat(F.lit("/"), section, F.lit("/"), n.cast("string")))
+
+    def host(n: F.Column) -> F.Column:
+        return F.element_at(F.array(*[F.lit(x) for x in LINK_HOSTS]), (n % len(LINK_HOSTS) + 1).cast("int"))
+
+    site = F.concat(F.lit("https://"), host(pid))
+    targets = [path(place * 2 + 1), F.concat(site, path(place * 2 + 2)), path(place + 7), F.lit("/"),
+               F.concat(F.lit("/video/"), place.cast("string")), F.concat(F.lit("https://"), host(pid + 1), path(place + 1))]
+    anchors = F.concat(*[F.concat(F.lit('<a href="'), t, F.lit('">more</a>')) for t in targets])
+    return read_table(spark, sf_dir, "pages").select(
+        pid, F.concat(site, path(place)).alias("url"), F.concat(anchors, F.col("html")).alias("html"))
+
+
 def rewritten_markup(html: F.Column, variant: F.Column) -> F.Column:
     """The same page in other notations: 1 single quotes, 2 upper-case names, 3 decoys in a comment
     and a script, 4 bare attribute values.  The SQL twins read the page as it was."""

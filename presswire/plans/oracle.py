@@ -11,7 +11,7 @@ from __future__ import annotations
 from presswire import constants as C
 from presswire.functions.text import WS_CLASS, contraction_pattern
 from presswire.plans.fixtures import (DOC_CATEGORY_PHRASES, DOC_DAYS, DOC_SENTIMENT_PHRASES,
-                                      EVENT_CATEGORIES, PAGE_DAYS, SITE_HOSTS, SITE_PARAGRAPHS, SITE_SECTIONS)
+                                      EVENT_CATEGORIES, LINK_HOSTS, LINK_SECTIONS, PAGE_DAYS, SITE_HOSTS, SITE_PARAGRAPHS, SITE_SECTIONS)
 
 WS = f"[{WS_CLASS}]"
 NONWORD = rf"[^\p{{L}}\p{{N}}_{WS_CLASS}]"
@@ -190,6 +190,21 @@ dpages AS (SELECT page_id,
   FROM _pg)"""
 
 
+def linked_pages_cte() -> str:
+    """The SQL twin of ``fixtures.linked_pages`` as lpages."""
+    def path(n: str) -> str:
+        return f"CASE WHEN {n} = 0 THEN '/' ELSE '/' || {pick(LINK_SECTIONS, n, len(LINK_SECTIONS))} || '/' || CAST({n} AS VARCHAR) END"
+
+    def host(n: str) -> str:
+        return pick(LINK_HOSTS, n, len(LINK_HOSTS))
+
+    targets = [path("(_n * 2 + 1)"), f"_site || {path('(_n * 2 + 2)')}", path("(_n + 7)"), "'/'", "'/video/' || CAST(_n AS VARCHAR)",
+               f"'https://' || {host('(page_id + 1)')} || {path('(_n + 1)')}"]
+    anchors = " || ".join(f"""'<a href="' || {t} || '">more</a>'""" for t in targets)
+    return (f"_lp AS (SELECT *, page_id // {len(LINK_HOSTS)} AS _n, 'https://' || {host('page_id')} AS _site FROM pages), "
+            f"lpages AS (SELECT page_id, _site || {path('_n')} AS url, {anchors} || html AS html FROM _lp)")
+
+
 def site_articles_sql(rule: str) -> str:
     """What the rule must find on ``fixtures.site_pages``, from the pages' own words."""
     n = SITE_PARAGRAPHS

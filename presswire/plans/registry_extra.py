@@ -162,16 +162,6 @@ for _rule in X.SITE_RULES:
     register(_rule, site_articles_sql(_rule))(
         (lambda r: lambda s, sf: X.extract_articles(FX.site_pages(s, sf, r), F.lit(r)))(_rule))
 
-# --- link filter ----------------------------------------------------------------------
-
-
-def _pages(s, sf):
-    return read_table(s, sf, "pages")
-
-
-register("link_filter")(lambda s, sf: X.crawl(_pages(s, sf), _pages(s, sf).select("url"),
-                                              link_filter=lambda u: F.length(u) > F.lit(30)))
-
 # --- sinks, increments, report, forest keys ---------------------------------------------------
 
 

@@ -11,7 +11,7 @@ from presswire.functions import scores as S
 from presswire.operators import extract as X
 from presswire.operators.joins import anti_visited
 from presswire.plans import fixtures as FX
-from presswire.plans.oracle import d, dated_pages_cte, q, raw_articles_sql, rnd, strlist
+from presswire.plans.oracle import d, dated_pages_cte, linked_pages_cte, q, raw_articles_sql, rnd, strlist
 from presswire.plans.registry import register
 from presswire.sources.tables import read_table
 
@@ -73,15 +73,27 @@ def h1_sql() -> str:
     return rf"CASE WHEN regexp_extract(html, '(?i)(<h1\b)', 1) != '' THEN trim({strip_tags_sql(inner)}) END"
 
 
-def links_sql() -> str:
+def links_sql(pages: str = "dpages") -> str:
     dom = r"regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]+)', 1)"
     hrefs = r"""regexp_extract_all(html, '(?i)<a\b[^>]*\bhref="([^"]*)"', 1)"""
-    return f"""_h AS (SELECT url AS page_url, {dom} AS _dom, unnest({hrefs}) AS href FROM dpages),
+    return f"""_h AS (SELECT url AS page_url, {dom} AS _dom, unnest({hrefs}) AS href FROM {pages}),
 _k AS (SELECT * FROM _h WHERE NOT list_has_any(string_split(href, '/'), {strlist(C.CRAWL_SKIP_SEGMENTS)})),
 links AS (SELECT DISTINCT page_url, link FROM (SELECT page_url, CASE WHEN starts_with(href, '/') THEN 'https://' || _dom || href
    WHEN starts_with(href, 'http') AND contains(href, _dom) THEN href END AS link FROM _k) WHERE link IS NOT NULL)"""
 
 
+def reach_sql(link_filter: str = "TRUE") -> str:
+    """The crawl from the front pages as a recursive query; the bound ends the loops of pages that link to each other."""
+    return (f"WITH RECURSIVE {linked_pages_cte()}, {links_sql('lpages')}, "
+            "reach AS (SELECT url, 0 AS depth FROM lpages WHERE len(string_split(url, '/')) = 4 AND ends_with(url, '/') "
+            "UNION SELECT l.link, r.depth + 1 FROM reach r JOIN links l ON l.page_url = r.url JOIN lpages p ON p.url = l.link "
+            f"WHERE r.depth < 40 AND {link_filter})")
+
+
+def front_pages(pages):
+    return pages.where((F.size(F.split("url", "/")) == 4) & F.col("url").endswith("/")).select("url")
+
+
 # --- extraction -------------------------------------------------------------------
 register("ext_date", with_pages(f"SELECT page_id, {article_date_sql()} AS article_date FROM dpages"))(
     lambda s, sf: dp(s, sf).select("page_id", H.article_date(F.col("html"), F.col("url")).alias("article_date")))
@@ -103,10 +115,10 @@ register("ext_heading", with_pages(f"SELECT page_id, {h1_sql()} AS heading FROM
     lambda s, sf: dp(s, sf).select("page_id", H.first_h1(F.col("html")).alias("heading")))
 register("ext_links", with_pages(f", {links_sql()} SELECT page_url, link FROM links"))(
     lambda s, sf: X.extract_links(dp(s, sf)))
-register("flt_skip_segments", with_pages(
-    r"""SELECT page_id, href FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<a\b[^>]*\bhref="([^"]*)"', 1)) AS href FROM dpages) """
-    f"WHERE list_has_any(string_split(href, '/'), {strlist(C.CRAWL_SKIP_SEGMENTS)})"))(
-    lambda s, sf: dp(s, sf).select("page_id", F.explode(H.href_list(F.col("html"))).alias("href"))
+register("flt_skip_segments", f"WITH {linked_pages_cte()} "
+    r"""SELECT page_id, href FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<a\b[^>]*\bhref="([^"]*)"', 1)) AS href FROM lpages) """
+    f"WHERE list_has_any(string_split(href, '/'), {strlist(C.CRAWL_SKIP_SEGMENTS)})")(
+    lambda s, sf: FX.linked_pages(s, sf).select("page_id", F.explode(H.href_list(F.col("html"))).alias("href"))
     .where(H.has_skip_segment(F.col("href"))))
 register("flt_domain", with_pages(
     r"""SELECT page_id, href, CASE WHEN starts_with(href, '/') THEN 'https://' || _dom || href
@@ -150,29 +162,43 @@ register("fn_drop_last_paras", with_pages(
         "page_id", F.size("p").cast("bigint").alias("n"),
         F.array_join(H.drop_last_paragraphs(F.col("p"), 4, 1), " ").alias("pipeline_body"),
         F.array_join(H.drop_last_paragraphs(F.col("p"), 4, 0), "").alias("workspace_body")))
-register("anti_visited", with_pages(
-    f", {links_sql()} SELECT DISTINCT link AS url FROM links WHERE link NOT IN (SELECT url FROM dpages)"))(
-    lambda s, sf: anti_visited(X.extract_links(dp(s, sf)).select(F.col("link").alias("url")), dp(s, sf)))
-register("join_frontier", with_pages(
-    f", {links_sql()}, fr AS (SELECT link AS url FROM links UNION SELECT url FROM dpages "
-    r"""WHERE regexp_extract(html, '(?i)<html\b[^>]*\blang="([^"]*)"', 1) = 'en') """
-    "SELECT page_id, url FROM dpages WHERE url IN (SELECT url FROM fr)"))(
-    lambda s, sf: dp(s, sf).join(
-        X.extract_links(dp(s, sf)).select(F.col("link").alias("url"))
-        .unionByName(dp(s, sf).where(H.html_lang(F.col("html")) == "en").select("url")).distinct(),
-        "url", "left_semi").select("page_id", "url"))
+register("anti_visited", f"WITH {linked_pages_cte()}, {links_sql('lpages')} "
+         "SELECT DISTINCT link AS url FROM links WHERE link NOT IN (SELECT url FROM lpages)")(
+    lambda s, sf: anti_visited(X.extract_links(FX.linked_pages(s, sf)).select(F.col("link").alias("url")), FX.linked_pages(s, sf)))
+
+
+def _frontier(s, sf):
+    """The pages that are linked to or in English, from pages parsed once."""
+    pages = FX.linked_pages(s, sf)
+    table = X.LinkTable(pages, keep={"page_id": F.col("page_id"), "lang": H.html_lang(F.col("html"))})
+    stored = table.read(table.pages)
+    frontier = stored.select(F.explode("links").alias("url")).unionByName(stored.where("lang = 'en'").select("url")).distinct()
+    got = table.fetch(frontier).select("page_id", "url")
+    table.close()
+    return got
+
+
+register("join_frontier", f"WITH {linked_pages_cte()}, {links_sql('lpages')}, fr AS (SELECT link AS url FROM links UNION SELECT url "
+    r"""FROM lpages WHERE regexp_extract(html, '(?i)<html\b[^>]*\blang="([^"]*)"', 1) = 'en') """
+    "SELECT page_id, url FROM lpages WHERE url IN (SELECT url FROM fr)")(_frontier)
 
 register("ext_article", raw_articles_sql())(lambda s, sf: X.raw_articles(FX.site_pages(s, sf)))
 register("ext_article_date", f"SELECT * FROM ({raw_articles_sql()}) WHERE article_date = '{TARGET}'")(
     lambda s, sf: X.raw_articles(FX.site_pages(s, sf), TARGET))
 
-# Rows-only (iterative closure)
-register("ext_crawl")(
-    lambda s, sf: X.crawl(read_table(s, sf, "pages"),
-                          read_table(s, sf, "pages").where(H.html_lang(F.col("html")) == "en").select("url")))
-register("ext_video_links")(
-    lambda s, sf: X.video_links(read_table(s, sf, "pages"), read_table(s, sf, "pages").select("url"),
-                                marker="example", min_chars=30))
+
+def _crawl(s, sf, link_filter=None):
+    pages = FX.linked_pages(s, sf)
+    return X.crawl(pages, front_pages(pages), link_filter)
+
+
+register("ext_crawl", f"{reach_sql()} SELECT url, CAST(min(depth) AS INTEGER) AS depth FROM reach GROUP BY url")(_crawl)
+register("link_filter", f"{reach_sql(chr(39).join(('NOT contains(l.link, ', '/archive/', ')')))} "
+         "SELECT url, CAST(min(depth) AS INTEGER) AS depth FROM reach GROUP BY url")(
+    lambda s, sf: _crawl(s, sf, lambda u: ~u.contains("/archive/")))
+register("ext_video_links", f"{reach_sql()} SELECT DISTINCT link AS url FROM links JOIN reach ON page_url = url "
+         "WHERE contains(link, '/world/') AND length(link) > 30")(
+    lambda s, sf: X.video_links(FX.linked_pages(s, sf), front_pages(FX.linked_pages(s, sf)), marker="/world/", min_chars=30))
 
 
 # --- events: network log, chunks, log windows ------------------------------------------

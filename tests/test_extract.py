@@ -97,14 +97,60 @@ def test_raw_articles_take_rule_and_channel_from_the_host(spark):
     assert {r.page_id for r in X.raw_articles(pages, "2024-03-05").collect()} == {1, 2}
 
 
-def test_link_filter_query_returns_every_page_and_depth_follows_links(spark, tmp_path):
+def test_link_filter_decides_what_is_reached_and_depth_follows_links(spark, sf):
     from presswire.plans.registry import load_all
-    urls = [f"https://news.example.org/section/page{i:02d}" for i in range(1, 6)] + ["https://news.example.org/x"]
-    to = urls[1:5] + [urls[5], None]  # a chain; the last link is too short to be followed
-    rows = [(i + 1, u, f'<html><body><a href="{v}">next</a></body></html>') for i, (u, v) in enumerate(zip(urls, to, strict=True))]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    pages.write.parquet(f"{tmp_path}/pages.parquet")
-    got = load_all()[0]["link_filter"](spark, str(tmp_path)).collect()
-    assert sorted((r.url, r.depth) for r in got) == sorted((u, 0) for u in urls)
-    chain = X.crawl(pages, pages.where("page_id = 1"), link_filter=lambda u: F.length(u) > F.lit(30)).collect()
-    assert sorted((r.url, r.depth) for r in chain) == [(u, i) for i, u in enumerate(urls[:5])]
+    queries = load_all()[0]
+    every = {r.url: r.depth for r in queries["ext_crawl"](spark, sf).collect()}
+    some = {r.url: r.depth for r in queries["link_filter"](spark, sf).collect()}
+    assert max(every.values()) >= 3 and len(every) == 50
+    assert set(some) < set(every) and not any("/archive/" in u for u in some)
+    assert all(d >= every[u] for u, d in some.items())
+
+
+def test_a_round_exchanges_only_the_links_found(spark):
+    pages = spark.createDataFrame([(f"https://s.org/q{i}", f'<a href="/q{i + 1}">n</a>') for i in range(50)], "url string, html string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        table = X.LinkTable(pages)
+        visited = table.put(pages.limit(1).select("url", F.lit(0).alias("depth")), "visited")
+        seen = table.read(visited)
+        found = table.round(seen.where("depth = 0"), seen)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and plan.count("SortMergeJoin") == 3
+        table.close()
+        assert [r.url for r in found.collect()] == ["https://s.org/q1"]
+        assert not any("visited_" in t.name for t in spark.catalog.listTables())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_crawl_with_loops_repeated_pages_and_dead_ends(spark):
+    pages = spark.createDataFrame([
+        ("https://s.org/", '<a href="/a">1</a><a href="/a">1</a><a href="/gone">x</a>'), ("https://s.org/a", '<a href="/">r</a>'),
+        ("https://s.org/a", '<a href="/b">2</a>'), ("https://s.org/b", None), ("https://s.org/c", '<a href="/">r</a>'), (None, "")],
+        "url string, html string")
+    seeds = spark.createDataFrame([("https://s.org/",), ("https://s.org/",), ("https://s.org/none",), (None,)], "url string")
+    assert sorted(map(tuple, X.crawl(pages, seeds).collect())) == [("https://s.org/", 0), ("https://s.org/a", 1), ("https://s.org/b", 2)]
+    assert X.crawl(pages, seeds.limit(0)).collect() == []
+
+
+def test_heavy_pages_are_spread_over_tasks(spark):
+    log = spark.range(6000).select((F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id"))).alias("page"), F.col("id").alias("pos"),
+                                   F.concat(F.lit("https://c/a"), (F.col("id") % 2), F.lit("/"), F.col("id")).alias("url"))
+    assert X.heavy_keys(log, "page") == [0]
+    firsts = log.groupBy("page").agg(F.min_by("url", "pos").alias("first"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = X.join_back(log, firsts, "page", "pos", [0])
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 6000 and max(sizes) < 1500
+        plain = [r["count"] for r in X.join_back(log, firsts, "page", "pos", []).groupBy(F.spark_partition_id()).count().collect()]
+        assert max(plain) >= 2000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = {r.pos for r in log.collect() if r.page != 0 or r.pos % 2 == 0}
+    assert {r.pos for r in X.first_segment_urls(log, "page", "pos", "url", 3).collect()} == want
