@@ -1,17 +1,19 @@
 """Medallion pipeline: raw CSV -> bronze -> silver -> gold, incremental and rerunnable.
 
 Every layer is a Parquet table partitioned by ``article_date``, so reads of
-one day prune to one folder.  Bronze takes each article of a day once (by
-url), so a day may come in several files and a rerun adds nothing; rows with
-a bad date are kept in a partition without a date.  Silver and gold rebuild
-exactly the days that came in and replace their partitions.
+one day prune to one folder.  Bronze holds each article of a day once: the url
+names it, and of several versions the lowest by (heading, body, category, url,
+channel) stays, nulls first.  So the same files give the same bronze in any
+batches and any order, and a rerun adds nothing; rows with a bad date are kept in
+a partition without a date.  Silver and gold rebuild exactly the days that
+changed and replace their partitions.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from presswire.operators.enrich import GOLD_COLUMNS, enrich_gold
@@ -45,7 +47,7 @@ class Layers:
 
     def read(self, spark: SparkSession, layer: str) -> DataFrame | None:
         p = self.path(layer)
-        return spark.read.parquet(p) if files.path_exists(spark, p) else None
+        return spark.read.schema(DDL[layer][0]).parquet(p) if files.path_exists(spark, p) else None
 
     def create_tables(self, spark: SparkSession, database: str = "news") -> None:
         """ddl_tables: database and the three tables, partitioned by date, if missing."""
@@ -82,13 +84,32 @@ def _article() -> Column:
     return F.coalesce("url", F.concat(F.lit("content:"), F.sha2(said, 256)))
 
 
-def new_articles_only(incoming: DataFrame, target: DataFrame | None, days: list) -> DataFrame:
-    """Rows whose article the target does not hold on that day; of the target only ``days`` are read."""
+#: What decides between versions of an article: the lowest stays.
+VERSION = ["heading", "body", "category_from_url", "url", "channel"]
+
+
+def one_per_article(bronze: DataFrame) -> DataFrame:
+    """Each article of a day once, its lowest version; copies of a version keep the earliest load stamp.
+
+    Partial minima come first, so an article that a batch holds many times costs one row per task.
+    """
+    lowest = F.min(F.struct(*VERSION, "ingested_at")).alias("_row")
+    return bronze.groupBy("article_date", _article().alias("_article")).agg(lowest).select(
+        *[F.col(f"_row.{c}") for c in files.RAW_COLUMNS if c != "article_date"], "article_date", "_row.ingested_at")
+
+
+def against_bronze(batch: DataFrame, target: DataFrame | None, days: list) -> DataFrame:
+    """``batch`` (an article of a day once) with _state: new, lower (than the version held) or held.
+
+    Of the target only ``days`` are read.
+    """
     if target is None:
-        return incoming
-    held = on_days(target, days).select(F.col("article_date").alias("_day"), _article().alias("_article")).distinct()
+        return batch.withColumn("_state", F.lit("new"))
+    held = on_days(target, days).select(F.col("article_date").alias("_day"), _article().alias("_article"),
+                                        F.struct(*VERSION).alias("_held"))
     same = F.col("article_date").eqNullSafe(F.col("_day")) & (_article() == F.col("_article"))
-    return incoming.join(held, same, "left_anti")
+    state = (F.when(F.col("_held").isNull(), "new").when(F.struct(*VERSION) < F.col("_held"), "lower").otherwise("held"))
+    return batch.join(held, same, "left").withColumn("_state", state).drop("_day", "_article", "_held")
 
 
 def new_dates_only(incoming: DataFrame, target: DataFrame | None) -> DataFrame:
@@ -104,14 +125,26 @@ def to_bronze(raw: DataFrame) -> DataFrame:
 
 
 def add_bronze(spark: SparkSession, layers: Layers, raw: DataFrame) -> dict:
-    """Add the articles of ``raw`` that bronze does not hold; rows with a bad date are counted and kept."""
-    bronze = to_bronze(raw).checkpoint()      # one evaluation for the days, the counts and the write
-    days = days_of(bronze)
-    todo = new_articles_only(bronze, layers.read(spark, "bronze"), days).checkpoint()
-    n, bad = todo.agg(F.count(F.lit(1)), F.count_if(F.col("article_date").isNull())).first()
-    if n:
-        write_layer(todo, layers.path("bronze"), "append")
-    return {"status": "loaded" if n else "already ingested", "rows": n, "bad_dates": bad, "days": days}
+    """Bring bronze to what it would be had the articles of ``raw`` come with all earlier ones in one batch.
+
+    New articles are appended, counted while they are written; rows with a bad date are counted and kept.  Where a
+    version lower than the one held comes in, its day is rebuilt from bronze and ``raw``.
+    """
+    bronze = to_bronze(raw)
+    days = days_of(bronze)      # reads one column of the raw files
+    flagged = against_bronze(one_per_article(bronze), layers.read(spark, "bronze"), days)
+    seen, new = Observation(), F.col("_state") == "new"
+    counted = flagged.observe(seen, F.count_if(new).alias("new"), F.count_if(F.col("_state") == "lower").alias("lower"),
+                              F.count_if(new & F.col("article_date").isNull()).alias("bad"))
+    write_layer(counted.where(new).select(*BRONZE_COLUMNS), layers.path("bronze"), "append")
+    lower_rows = flagged.where(F.col("_state") == "lower")
+    added, lower, bad = files.counts_of(seen, "new", "lower", "bad") or (0, lower_rows.count(), 0)
+    if lower:
+        changed = days_of(lower_rows)
+        both = on_days(layers.read(spark, "bronze").unionByName(bronze), changed)
+        write_layer(one_per_article(both).checkpoint(), layers.path("bronze"))  # stored first: it reads what it replaces
+    rows = added + lower
+    return {"status": "loaded" if rows else "already ingested", "rows": rows, "bad_dates": bad, "days": days}
 
 
 def load_bronze(spark: SparkSession, layers: Layers, raw_path: str) -> dict:
@@ -121,32 +154,86 @@ def load_bronze(spark: SparkSession, layers: Layers, raw_path: str) -> dict:
     return add_bronze(spark, layers, files.read_raw_csv(spark, raw_path))
 
 
-def _load_layer(spark: SparkSession, layers: Layers, source: str, target: str, days: list | None, build) -> dict:
+#: The load stamp of each layer.
+STAMP = {"bronze": "ingested_at", "silver": "cleaned_at", "gold": "processed_at"}
+
+
+def stale_days(spark: SparkSession, layers: Layers, source: str, target: str, among: list | None = None) -> list:
+    """Days that ``target`` lacks, or that got rows in ``source`` after ``target`` was built: by the layers' load stamps.
+
+    ``among``: only these days are looked at.
+    """
+    def last(layer: str) -> DataFrame:
+        rows = layers.read(spark, layer)
+        return (rows if among is None else on_days(rows, among)).groupBy("article_date").agg(F.max(STAMP[layer]).alias(f"_{layer}"))
+
+    new = last(source)
+    if layers.read(spark, target) is None:
+        return [r[0] for r in new.select("article_date").collect()]
+    built = last(target).withColumnRenamed("article_date", "_day")
+    late = new.join(built, F.col("article_date").eqNullSafe(F.col("_day")), "left").where(
+        F.col(f"_{target}").isNull() | (F.col(f"_{source}") >= F.col(f"_{target}")))
+    return [r[0] for r in late.select("article_date").collect()]
+
+
+def _load_layer(spark: SparkSession, layers: Layers, source: str, target: str, days: list | None, rebuild: bool, build) -> dict:
     src = layers.read(spark, source)
     if src is None:
         return {"status": f"no {source}", "rows": 0}
-    if days is None:        # days that the target does not hold: two short lists, no scan of rows
-        held = set(days_of(layers.read(spark, target)))
-        days = [x for x in days_of(src) if x not in held]
-    out = build(on_days(src, days)).checkpoint()
-    n = out.count()
-    if n:
-        write_layer(out, layers.path(target))
+    if rebuild and days is None:
+        days = days_of(src)
+    elif not rebuild:
+        days = stale_days(spark, layers, source, target, days)
+    n = 0
+    if days:
+        seen = Observation()
+        write_layer(build(on_days(src, days)).observe(seen, F.count(F.lit(1)).alias("rows")), layers.path(target))
+        n = (files.counts_of(seen, "rows") or [0])[0]
     return {"status": "loaded" if n else "nothing new", "rows": n}
 
 
-def load_silver(spark: SparkSession, layers: Layers, days: list | None = None) -> dict:
-    """Silver rules for ``days`` of bronze (default: those that silver does not hold)."""
-    return _load_layer(spark, layers, "bronze", "silver", days, lambda b: silver_rules(b).select(*SILVER_COLUMNS)
+def load_silver(spark: SparkSession, layers: Layers, days: list | None = None, rebuild: bool = False) -> dict:
+    """Silver rules for the days that silver lacks or that bronze got rows of since.
+
+    ``days``: only these are looked at; with ``rebuild`` they are done in any case.
+    """
+    return _load_layer(spark, layers, "bronze", "silver", days, rebuild, lambda b: silver_rules(b).select(*SILVER_COLUMNS)
                        .withColumn("cleaned_at", F.current_timestamp()))
 
 
-def load_gold(spark: SparkSession, layers: Layers, days: list | None = None) -> dict:
-    """Gold enrichment for ``days`` of silver (default: those that gold does not hold)."""
-    return _load_layer(spark, layers, "silver", "gold", days,
+def load_gold(spark: SparkSession, layers: Layers, days: list | None = None, rebuild: bool = False) -> dict:
+    """Gold enrichment for the days that gold lacks or that silver rebuilt since; ``days`` and ``rebuild`` as for silver."""
+    return _load_layer(spark, layers, "silver", "gold", days, rebuild,
                        lambda s: enrich_gold(s).select(*GOLD_COLUMNS, "processed_at"))
 
 
+def append_batch(df: DataFrame, path: str, batch_id: str) -> None:
+    """append_silver / append_gold: add ``df`` to a table by day as the batch of that name.
+
+    The batch is a partition below the day.  A rerun replaces the partitions it writes, so it adds nothing; other
+    batches of the same days stay.
+    """
+    (df.withColumn("batch_id", F.lit(batch_id)).hint("rebalance", "article_date").write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("article_date", "batch_id").parquet(path))
+
+
+def catalog_table(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """The Parquet table at ``path`` through the catalog, with the partitions it has now."""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} USING PARQUET LOCATION '{path}'")
+    spark.catalog.recoverPartitions(name)
+    return spark.table(name)
+
+
+def scan_by_date(layer: DataFrame, runs: DataFrame) -> DataFrame:
+    """scan_by_date: the rows of the days that ``runs`` (run_date, status) has as due.
+
+    The days come from a table, so they are known only at run time: the planner prunes the layer's partitions by
+    them (dynamic partition pruning) before its files are read.
+    """
+    due = runs.where(F.col("status") == "due").select(F.col("run_date").alias("article_date"))
+    return layer.join(due, "article_date", "left_semi")
+
+
 def run_day(spark: SparkSession, layers: Layers, raw_root: str, run_date: str) -> dict:
     """The daily job: raw file of ``run_date`` -> bronze -> the days it touched in silver and gold."""
     bronze = load_bronze(spark, layers, files.daily_path(raw_root, run_date))

@@ -3,6 +3,8 @@ rules, caps, scans, API forms, and report / increment status queries."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from presswire import constants as C
@@ -15,11 +17,11 @@ from presswire.plans import catalog as Q
 from presswire.plans import fixtures as FX
 from presswire.plans import pipeline as P
 from presswire.plans import report as R
-from presswire.plans.oracle import d, rnd, site_articles_sql, strip, with_gold
+from presswire.plans.oracle import d, gold_events_ctes, raw_documents_cte, rnd, site_articles_sql, strip, with_gold
 from presswire.plans.registry import AS_OF, DAY, GOLD_COLS, register
 from presswire.plans.registry_misc import WS, _daily_files, _forest, results, scratch
 from presswire.plans.registry_pages import dp, strip_tags_sql, with_pages
-from presswire.plans.registry_text import raw, silver, with_gold_docs, with_raw, with_silver, gold_docs
+from presswire.plans.registry_text import GOLD_DOC_COLS, SILVER_COLS, raw, silver, with_gold_docs, with_raw, with_silver, gold_docs
 from presswire.plans.oracle import WS as WSCLASS
 from presswire.sources import files
 from presswire.sources.tables import read_table
@@ -116,7 +118,8 @@ register("run_date", with_gold(
     "SELECT DISTINCT CAST(article_date + INTERVAL 1 DAY AS DATE) AS run_date, article_date AS target_date FROM gold"))(
     lambda s, sf: gold(s, sf).select(F.date_add("article_date", 1).alias("run_date"),
                                      F.col("article_date").alias("target_date")).distinct())
-register("fn_now")(lambda s, sf: gold(s, sf).select("url", F.current_timestamp().alias("loaded_at")))
+register("fn_now", with_gold("SELECT url, CAST(now() AS TIMESTAMP) > article_date AS loaded_later FROM gold"))(
+    lambda s, sf: gold(s, sf).select("url", (F.current_timestamp() > F.col("article_date")).alias("loaded_later")))
 register("fn_zero_fill", with_gold(
     "SELECT channel, " + ", ".join(f"coalesce(CAST(count_if(sentiment_label = '{x}') AS BIGINT), 0) AS {x}"
                                    for x in Q.LABELS) + " FROM gold WHERE category != 'Sports' GROUP BY channel"))(
@@ -133,8 +136,34 @@ register("concat_positional", with_gold_docs(
                                             "sentiment_label", "ministry", "is_negative_alert"]))
 
 # --- scans and the SQL API ---------------------------------------------------------------
-register("scan_by_date", with_gold(f"SELECT {GOLD_COLS} FROM gold WHERE article_date = DATE '{DAY}'"))(
-    lambda s, sf: Q.prj_article_cols(gold(s, sf).where(F.col("article_date") == F.lit(DAY).cast("date"))))
+
+
+def _appended(s, rows, stamp: str):
+    """``rows`` appended as two batches, the later one twice, and read back through the catalog."""
+    path = scratch(s, "append")
+    odd = F.coalesce(F.dayofmonth("article_date") % 2, F.lit(0))
+    for batch, part in (("even", 0), ("odd", 1), ("odd", 1)):
+        P.append_batch(rows.where(odd == part).withColumn(stamp, F.current_timestamp()), path, batch)
+    return P.catalog_table(s, path, f"appended_{uuid.uuid4().hex}").select(*rows.columns)
+
+
+register("append_silver", with_silver(f"SELECT {SILVER_COLS} FROM silver"))(
+    lambda s, sf: _appended(s, silver(s, sf, SILVER_COLS.split(", ")), "cleaned_at"))
+register("append_gold", with_gold_docs(f"SELECT {GOLD_DOC_COLS} FROM gold_docs"))(
+    lambda s, sf: _appended(s, gold_docs(s, sf).select(*P.GOLD_COLUMNS), "processed_at"))
+
+
+def _scan_by_date(s, sf):
+    """The gold layer as a catalog table by day, and a table of runs in which one day is due."""
+    layers = P.Layers(scratch(s, "scan"))
+    P.write_layer(gold(s, sf), layers.path("gold"))
+    table = P.catalog_table(s, layers.path("gold"), f"gold_{uuid.uuid4().hex}")
+    status = F.when(F.col("article_date") == F.lit(DAY).cast("date"), "due").otherwise("done")
+    gold(s, sf).select(F.col("article_date").alias("run_date"), status.alias("status")).distinct().write.parquet(layers.path("runs"))
+    return Q.prj_article_cols(P.scan_by_date(table, s.read.parquet(layers.path("runs"))))
+
+
+register("scan_by_date", with_gold(f"SELECT {GOLD_COLS} FROM gold WHERE article_date = DATE '{DAY}'"))(_scan_by_date)
 
 
 def _api_query(s, sf):
@@ -186,27 +215,32 @@ register("snk_links", with_raw("SELECT DISTINCT url FROM raw"))(_link_sink)
 
 
 def _daily_path(s, sf):
-    root, days = _daily_files(s, sf)
-    rows = [(x, files.daily_path(root, x), files.path_exists(s, files.daily_path(root, x)))
-            for x in days + ["1999-01-01"]]
-    return s.createDataFrame(rows, "run_date string, path string, present boolean")
+    """Every day of the raw folder and the day before the first, with whether its file is there."""
+    root, _ = _daily_files(s, sf)
+    days = gold(s, sf).select("article_date").distinct()
+    asked = days.unionByName(days.agg(F.date_sub(F.min("article_date"), 400).alias("article_date"))).select(
+        F.col("article_date").cast("string").alias("run_date"))
+    return files.daily_files(asked, root).withColumn("path", F.regexp_extract("path", "[^/]+$", 0))
 
 
-register("src_daily_path")(_daily_path)
+_FIRST_DAYS = "SELECT DISTINCT article_date FROM raw ORDER BY article_date LIMIT {n}"
+register("src_daily_path", f"WITH {raw_documents_cte()}, {gold_events_ctes()} SELECT run_date, 'arrived_' || run_date || '.csv' AS path, "
+         f"run_date IN (SELECT CAST(article_date AS VARCHAR) FROM ({_FIRST_DAYS.format(n=2)})) AS present FROM ("
+         "SELECT DISTINCT CAST(article_date AS VARCHAR) AS run_date FROM gold UNION ALL "
+         "SELECT CAST(CAST(min(article_date) - INTERVAL 400 DAY AS DATE) AS VARCHAR) FROM gold)")(_daily_path)
 
 
 def _guard(s, sf):
+    """A day's file loaded twice: bronze holds its articles once."""
     root, days = _daily_files(s, sf)
     layers = P.Layers(scratch(s, "guard"))
-    first = P.load_bronze(s, layers, files.daily_path(root, days[0]))
-    n1 = layers.read(s, "bronze").count()
-    second = P.load_bronze(s, layers, files.daily_path(root, days[0]))
-    n2 = layers.read(s, "bronze").count()
-    return s.createDataFrame([("first", first["status"], n1), ("rerun", second["status"], n2)],
-                             "run string, status string, bronze_rows long")
+    for _ in range(2):
+        P.load_bronze(s, layers, files.daily_path(root, days[0]))
+    return layers.read(s, "bronze").drop("ingested_at")
 
 
-register("inc_guard")(_guard)
+register("inc_guard", f"WITH {raw_documents_cte()} SELECT heading, body, category_from_url, url, channel, article_date FROM raw "
+         f"WHERE article_date IN ({_FIRST_DAYS.format(n=1)})")(_guard)
 register("inc_silver")(lambda s, sf: _layer_run(s, sf, "silver"))
 register("inc_gold")(lambda s, sf: _layer_run(s, sf, "gold"))
 
@@ -222,13 +256,24 @@ def _layer_run(s, sf, layer):
     return out.drop("cleaned_at", "processed_at")
 
 
-register("rep_summary", WS + "SELECT CAST(count(*) AS BIGINT) AS total, "
-         f"CAST(count_if(Negative >= {d(C.ALERT_PERCENT)}) AS BIGINT) AS high_negativity, "
-         "CAST(count(DISTINCT Category) AS BIGINT) AS categories FROM ws")(
-    lambda s, sf: results(s, sf).agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(F.col("Negative") >= F.lit(C.ALERT_PERCENT)).alias("high_negativity"),
-        F.count_distinct("Category").alias("categories")))
+def _report(s, sf):
+    """The results are scored once, as they are saved; the report reads the file."""
+    path = scratch(s, "report")
+    files.write_results(results(s, sf), path)
+    return R.report_rows(s.read.parquet(path))
+
+
+_MEAN = {c: rnd(f"CAST(sum(CAST({c} AS DECIMAL(18,4))) AS DOUBLE) / CAST(count({c}) AS DOUBLE)", 1)
+         for c in ("Positive", "Negative", "Neutral")}
+_MINISTRY = "coalesce(CASE Category " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in C.MINISTRY_MAP.items()) + " END, Category)"
+register("rep_summary", WS + "SELECT 'total' AS item, 'articles' AS name, CAST(count(*) AS DOUBLE) AS value FROM ws UNION ALL "
+         f"SELECT 'total', 'high_negativity', CAST(count_if(Negative >= {d(C.ALERT_PERCENT)}) AS DOUBLE) FROM ws UNION ALL "
+         + "".join(f"SELECT 'mean', 'avg_{c.lower()}', {sql} FROM ws UNION ALL " for c, sql in _MEAN.items())
+         + "SELECT 'category', Category, CAST(count(*) AS DOUBLE) FROM ws GROUP BY Category UNION ALL "
+         "SELECT * FROM (SELECT 'most negative', concat_ws(' | ', substring(Heading, 1, 60), Category, URL), Negative FROM ws "
+         "ORDER BY Negative DESC, URL LIMIT 5) UNION ALL "
+         f"SELECT 'alert', concat_ws(' | ', {_MINISTRY}, substring(Heading, 1, 50), URL), NULL FROM ws "
+         f"WHERE Negative >= {d(C.ALERT_PERCENT)}")(_report)
 register("cls_rf_predict")(lambda s, sf: (lambda dm: M.forest_predict(dm[0], "text", dm[1], "predicted")
                                           .select("doc_id", "predicted"))(_forest(s, sf)))
 

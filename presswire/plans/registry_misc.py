@@ -241,17 +241,14 @@ register("inc_daily_window", "SELECT CAST(ts AS DATE) AS day, event_type, CAST(c
 
 
 def _sinks(s, sf):
-    res = results(s, sf)
-    out = scratch(s, "results")
-    files.write_results(res, out + "/all")
-    wrote = files.write_alerts(res, out + "/alerts")
-    files.write_links(FX.raw_documents(s, sf).select("url"), out + "/links")
-    back = s.read.parquet(out + "/all")
-    return back.select(F.count(F.lit(1)).alias("rows"), F.lit(wrote).alias("alerts_written"),
-                       F.lit(s.read.text(out + "/links").count()).alias("links"))
+    path = scratch(s, "results")
+    files.write_results(results(s, sf), path)
+    return s.read.parquet(path)
+
+
+register("snk_results", WS + "SELECT Heading, Body, Category, Positive, Negative, Neutral, URL FROM ws")(_sinks)
 
 
-register("snk_results")(_sinks)
 def _label_map(s, sf):
     """Write a tab-separated label map for the label ids present in ``embeddings``
     (names by id from the fixed list, others "label_<id>"), read it back with

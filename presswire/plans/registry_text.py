@@ -81,8 +81,6 @@ register("flt_min_extract", with_raw(
     lambda s, sf: raw(s, sf).where(R.min_extract_len(F.col("body"))).select("doc_id"))
 register("flt_clean_len", with_silver(f"SELECT doc_id, body_cleaned FROM silver"))(
     lambda s, sf: silver(s, sf, TEXT))
-register("append_silver", with_silver(f"SELECT {SILVER_COLS} FROM silver"))(
-    lambda s, sf: silver(s, sf).select(*SILVER_COLS.split(", ")))
 register("flt_text_typed", with_raw(
     "SELECT doc_id FROM raw WHERE body IS NOT NULL AND TRY_CAST(body AS DOUBLE) IS NULL"))(
     lambda s, sf: raw(s, sf).where(R.text_typed(F.col("body"))).select("doc_id"))
@@ -202,8 +200,6 @@ register("agg_lineage_layers", with_gold_docs(
     "SELECT 5, 'Presentation Layer', count(positive_score) FROM gold_docs"))(
     lambda s, sf: Q.agg_lineage_stages(
         gold_docs(s, sf, columns=["heading", "positive_score", "category", "channel"]), raw(s, sf), silver(s, sf, ["doc_id"])))
-register("append_gold", with_gold_docs(f"SELECT {GOLD_DOC_COLS} FROM gold_docs"))(
-    lambda s, sf: gold_docs(s, sf).select(*E.GOLD_COLUMNS))
 register("join_ministry", with_silver(
     f"SELECT doc_id, _c AS category, {ministry('_c')} AS ministry FROM "
     f"(SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'Weather' ELSE {keyword_category_sql('body_cleaned')} END AS _c FROM silver)"))(

@@ -75,3 +75,26 @@ def rep_summary(results: DataFrame) -> dict[str, DataFrame]:
             "categories": agg_value_counts(results), "means": agg_mean_pct(results),
             "alerts": agg_alert_count(results), "top": topk_nlargest(results),
             "ministries": agg_ministry_alerts(results)}
+
+
+def report_rows(results: DataFrame) -> DataFrame:
+    """The whole report as one table (item, name, value): totals and means, articles per category, the most negative
+    articles, and every alert with its ministry.  ``results`` is read several times: give it as saved."""
+    items = rep_summary(results)
+    means = items["means"]
+
+    def rows(item: str, df: DataFrame, name, value) -> DataFrame:
+        return df.select(F.lit(item).alias("item"), name.alias("name"), value.cast("double").alias("value"))
+
+    wide = F.explode(F.array(*[F.struct(F.lit(c).alias("n"), F.col(c).alias("v")) for c in means.columns])).alias("x")
+    place = F.concat_ws(" | ", "heading", "Category", "URL")
+    parts = [rows("total", items["total"], F.lit("articles"), F.col("total")),
+             rows("total", items["alerts"], F.lit("high_negativity"), F.col("high_negativity")),
+             rows("mean", means.select(wide), F.col("x.n"), F.col("x.v")),
+             rows("category", items["categories"], F.col("Category"), F.col("count")),
+             rows("most negative", items["top"], place, F.col("Negative")),
+             rows("alert", items["ministries"], F.concat_ws(" | ", "ministry", "heading", "URL"), F.lit(None))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

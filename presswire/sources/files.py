@@ -6,7 +6,7 @@ the Hadoop FileSystem of the session so they work on any of them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -30,6 +30,18 @@ def daily_path(root: str, run_date: str) -> str:
     return f"{root.rstrip('/')}/arrived_{run_date}.csv"
 
 
+def daily_files(run_dates: DataFrame, root: str) -> DataFrame:
+    """src_daily_path for many days: (run_date, path, present) for every run_date of ``run_dates``.
+
+    The folder is listed by Spark, names only, and the days are joined with what it holds.
+    """
+    found = (run_dates.sparkSession.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+             .select(F.regexp_extract("path", r"/arrived_([^/]*)\.csv(?:/|$)", 1).alias("_day")).distinct())
+    return run_dates.join(found, F.col("run_date") == F.col("_day"), "left").select(
+        "run_date", F.concat(F.lit(f"{root.rstrip('/')}/arrived_"), "run_date", F.lit(".csv")).alias("path"),
+        F.col("_day").isNotNull().alias("present"))
+
+
 def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
     """src_csv_raw: header, multi-line, '"' as quote and escape, no inference."""
     return (spark.read.schema(RAW_SCHEMA).option("header", True).option("multiLine", True)
@@ -61,13 +73,28 @@ def write_results(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     df.select(*[c for c in want if c in df.columns]).write.mode("overwrite").format(fmt).save(path)
 
 
+def counts_of(seen: Observation, *names: str) -> list[int] | None:
+    """The counts that ``seen`` took while rows were written.
+
+    None where no row was written: adaptive execution may then replace the plan by an empty one and
+    drop the counting with it.
+    """
+    return [seen.get[n] for n in names] if seen._jo.getRow().length() else None
+
+
 def write_alerts(df: DataFrame, path: str, fmt: str = "parquet") -> bool:
-    """snk_alerts: rows with Negative >= 50.0, written only when there are any."""
-    alerts = df.where(F.col("Negative") >= F.lit(C.ALERT_PERCENT))
-    if alerts.isEmpty():
-        return False
-    write_results(alerts, path, fmt)
-    return True
+    """snk_alerts: rows with Negative >= 50.0, written only when there are any.
+
+    They are counted while they are written, so ``df`` is worked out once; an empty output is taken away again.
+    """
+    seen = Observation()
+    write_results(df.where(F.col("Negative") >= F.lit(C.ALERT_PERCENT)).observe(seen, F.count(F.lit(1)).alias("n")), path, fmt)
+    if counts_of(seen, "n") not in (None, [0]):
+        return True
+    jvm = df.sparkSession.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    return False
 
 
 def write_links(links: DataFrame, path: str) -> None:

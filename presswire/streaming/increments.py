@@ -2,9 +2,9 @@
 
 * ``stream_bronze`` – inc_bronze: a file source over the raw-CSV folder picks
   up each new file exactly once (the checkpoint records what was read); every
-  micro-batch adds the articles that bronze does not hold (several files of
-  a day add up, a replayed batch adds nothing) and rebuilds its days in
-  silver and gold.
+  micro-batch brings bronze to what one batch of all files would give (several
+  files of a day add up, a replayed batch adds nothing) and rebuilds its days
+  in silver and gold.
 * ``daily_window`` – inc_daily_window: running daily counts and mean values
   over ``events``; the sink holds the whole result after every batch, open
   days included.
@@ -20,8 +20,12 @@ from presswire.sources import files
 
 
 def stream_bronze(spark: SparkSession, layers: Layers, raw_dir: str, checkpoint: str,
-                  cascade: bool = True) -> dict:
-    """Run the raw-folder stream until every available file is processed."""
+                  cascade: bool = True, files_per_batch: int | None = None) -> dict:
+    """Run the raw-folder stream until every available file is processed.
+
+    Bronze itself is the state that tells new articles from known ones, so the files may come in any
+    batches (``files_per_batch`` at most in one) and give the same bronze.
+    """
 
     def per_batch(batch: DataFrame, epoch_id: int) -> None:
         done = add_bronze(spark, layers, batch)
@@ -29,7 +33,10 @@ def stream_bronze(spark: SparkSession, layers: Layers, raw_dir: str, checkpoint:
             load_silver(spark, layers, done["days"])
             load_gold(spark, layers, done["days"])
 
-    src = (spark.readStream.schema(files.RAW_SCHEMA).option("header", True).option("multiLine", True)
+    reader = spark.readStream.schema(files.RAW_SCHEMA)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    src = (reader.option("header", True).option("multiLine", True)
            .option("quote", '"').option("escape", '"').option("pathGlobFilter", "*.csv")
            .option("recursiveFileLookup", True).csv(raw_dir))
     q = (src.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)

@@ -1,6 +1,7 @@
 """Layered loads: idempotent reruns, CSV round trip, streaming equals batch."""
 
 import os
+import random
 import tempfile
 
 from pyspark.sql import functions as F
@@ -100,3 +101,85 @@ def test_articles_without_url_are_named_by_heading_and_body(spark):
     assert add(*later) == 5
     assert add(*later, ("h", "one", "2024-01-01"), (None, None, "?")) == 0
     assert layers.read(spark, "bronze").count() == 8
+
+
+BODY = "words enough for an article of the day " * 3
+
+
+def _bronze(spark, layers):
+    return sorted((tuple(r) for r in layers.read(spark, "bronze").drop("ingested_at").collect()), key=str)
+
+
+def test_any_batching_gives_the_same_bronze(spark):
+    rng = random.Random(11)
+    rows = [(f"h{rng.randint(0, 3)}", BODY + str(rng.randint(0, 2)), "c", f"https://x/{rng.randint(0, 9)}", "ch",
+             f"2024-01-0{rng.randint(1, 2)}") for _ in range(40)]
+    rows += [("h", BODY, "c", None, "ch", "2024-01-01"), ("h", BODY, "c", None, "ch", "2024-01-01"), (None, None, None, None, None, "?")]
+    want = {}
+    for h, b, c, u, ch, day in rows:
+        key = (day, u or ("content", h, b))
+        want[key] = min(want.get(key, (h, b)), (h, b), key=str)
+    seen = []
+    for k in (1, 3, 7):
+        rng.shuffle(rows)
+        layers = P.Layers(tempfile.mkdtemp(prefix="pw-any-", dir="/tmp"))
+        for i in range(k):
+            P.add_bronze(spark, layers, spark.createDataFrame(rows[i::k], files.RAW_SCHEMA))
+        seen.append(_bronze(spark, layers))
+        again = P.add_bronze(spark, layers, spark.createDataFrame(rows, files.RAW_SCHEMA))
+        assert again["rows"] == 0 and _bronze(spark, layers) == seen[-1]
+    assert seen[0] == seen[1] == seen[2] and len(seen[0]) == len(want)
+    assert {(r[0], r[1]) for r in seen[0]} == set(want.values())
+
+
+def test_stream_in_batches_of_one_file_equals_one_batch(spark):
+    root = tempfile.mkdtemp(prefix="pw-one-", dir="/tmp")
+    for k in range(4):
+        rows = [(f"h{(i + k) % 3}", BODY, "c", f"https://x/{i}", "ch", "2024-01-05") for i in range(k, k + 4)]
+        files.write_raw_csv(spark.createDataFrame(rows, files.RAW_SCHEMA).coalesce(1), f"{root}/part{k}.csv")
+    got = []
+    for n in (1, None):
+        layers = P.Layers(tempfile.mkdtemp(prefix="pw-one-wh-", dir="/tmp"))
+        ckpt = os.path.join(tempfile.mkdtemp(dir="/tmp"), "ckpt")
+        INC.stream_bronze(spark, layers, root, ckpt, files_per_batch=n)
+        got.append((_bronze(spark, layers), sorted(r.url for r in layers.read(spark, "gold").collect())))
+    assert got[0] == got[1] and len(got[0][0]) == 7
+
+
+def test_late_articles_reach_silver_and_gold_by_default(spark):
+    layers = P.Layers(tempfile.mkdtemp(prefix="pw-late-", dir="/tmp"))
+
+    def add(*urls):
+        rows = [("h", BODY, "c", u, "ch", "2024-01-05") for u in urls]
+        P.add_bronze(spark, layers, spark.createDataFrame(rows, files.RAW_SCHEMA))
+        return P.load_silver(spark, layers)["status"], P.load_gold(spark, layers)["status"]
+
+    assert add("https://x/1") == ("loaded", "loaded")
+    assert add("https://x/2") == ("loaded", "loaded")
+    assert add("https://x/2") == ("nothing new", "nothing new")
+    assert {r.url for r in layers.read(spark, "gold").collect()} == {"https://x/1", "https://x/2"}
+    assert P.load_silver(spark, layers, rebuild=True)["rows"] == 2
+
+
+def test_appended_batches_and_dates_from_a_table(spark, sf):
+    path = tempfile.mkdtemp(prefix="pw-append-", dir="/tmp") + "/t"
+    rows = spark.createDataFrame([(i, f"2024-01-0{i % 3 + 1}") for i in range(9)], "i int, d string").select(
+        "i", F.col("d").cast("date").alias("article_date"))
+    for batch, part in (("a", rows.where("i < 5")), ("b", rows.where("i >= 5")), ("b", rows.where("i >= 5"))):
+        P.append_batch(part, path, batch)
+    table = P.catalog_table(spark, path, "appended_in_a_test")
+    assert sorted(r.i for r in table.collect()) == list(range(9))
+    runs_path = tempfile.mkdtemp(prefix="pw-runs-", dir="/tmp") + "/r"
+    spark.createDataFrame([("2024-01-02", "due"), ("2024-01-03", "done")], "d string, status string").select(
+        F.col("d").cast("date").alias("run_date"), "status").write.parquet(runs_path)
+    got = P.scan_by_date(table, spark.read.parquet(runs_path))
+    assert "dynamicpruning" in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.i for r in got.collect()) == [1, 4, 7]
+    spark.sql("DROP TABLE appended_in_a_test")
+
+
+def test_no_alerts_leave_no_output(spark):
+    path = tempfile.mkdtemp(prefix="pw-alerts-", dir="/tmp") + "/a"
+    df = spark.createDataFrame([("h", 49.9), ("i", 50.0)], "Heading string, Negative double")
+    assert not files.write_alerts(df.where("Negative < 50"), path) and not os.path.exists(path)
+    assert files.write_alerts(df, path) and spark.read.parquet(path).count() == 1
