@@ -60,9 +60,13 @@ def train_forest(df: DataFrame, text_col: str = "text", label_col: str = "label"
     # keep the prepared input cached instead of recomputing it every pass
     data = data.persist()
     try:
-        return forest_pipeline(TEXT, "label", **kw).fit(data)
+        model = forest_pipeline(TEXT, "label", **kw).fit(data)
     finally:
         data.unpersist()
+    # the training summary of two classes holds the session, which a session that has taken an
+    # Observation can't serialise with the model; a loaded model has no summary either
+    model.stages[-1]._java_obj.setSummary(df.sparkSession._jvm.scala.Option.empty())
+    return model
 
 
 def _labels(model: PipelineModel) -> list[str]:
