@@ -31,7 +31,7 @@ def check(rows, texts):
 
 
 def test_matches_brute_force(docs):
-    small = docs.where("length(text) < 9000")
+    small = docs.where("length(text) < 40000")
     check(Q.quality_rules(small).collect(), [r.text for r in small.collect()])
 
 
@@ -57,3 +57,54 @@ def test_bands(docs, kind, kept):
 def test_filter_keeps_what_the_rules_keep(docs):
     kept = {r.doc_id for r in Q.quality_rules(docs).where("kept").collect()}
     assert {r.doc_id for r in Q.filter_quality(docs).collect()} == kept and kept
+
+
+def dump(kind, n, seed):
+    import base64
+    import random
+    r = random.Random(seed)
+    text = {"base64": lambda: base64.b64encode(r.randbytes(n)).decode(), "base85": lambda: base64.b85encode(r.randbytes(n)).decode(),
+            "hex": lambda: r.randbytes(n).hex(), "digits": lambda: "".join(r.choices("0123456789", k=n)),
+            "letters": lambda: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=n))}[kind]()[:n]
+    return " ".join(text[i:i + 9] for i in range(0, n, 9))
+
+
+@pytest.mark.parametrize("kind", ["base64", "base85", "hex", "digits", "letters"])
+def test_dumps_fall_by_the_bands_alone(kind):
+    compress = zstandard.ZstdCompressor(level=Q.LEVEL).compress
+    for n in (600, 1000, 2000, 4000, 8000, 24_000):
+        for seed in range(10):
+            m = Q.measure(dump(kind, n, seed), compress)
+            assert not m[-2] and not m[-1], (n, seed, m)  # the base rules would keep it
+
+
+def test_prose_of_every_language_stays(docs):
+    compress = zstandard.ZstdCompressor(level=Q.LEVEL).compress
+    seen = {}
+    for r in docs.where("text is not null").collect():
+        for n in (600, 1000, 2000, 4000, 8000, 24_000):
+            if len(r.text) >= n:
+                m = Q.measure(r.text[:n], compress)
+                if not m[-2]:
+                    seen.setdefault(r.lang, []).append(m[-1])
+    assert len(seen) == 4 and all(sum(x) == len(x) > 40 for x in seen.values()), {k: (sum(v), len(v)) for k, v in seen.items()}
+
+
+@pytest.mark.parametrize("text", ["Съешь же ещё этих мягких французских булок, да выпей чаю. ", "天地玄黄宇宙洪荒日月盈昃辰宿列张 寒来暑往秋收冬藏 "])
+def test_other_scripts_use_their_own_limits(text):
+    import random
+    compress = zstandard.ZstdCompressor(level=Q.LEVEL).compress
+    words, r = text.split(), random.Random(3)
+    letters = sorted(set("".join(words)))
+    words += ["".join(r.choices(letters, k=r.randint(2, 6))) for _ in range(60)]
+    for n in (100, 300, 1000, 3000):
+        m = Q.measure(" ".join(r.choices(words, k=n)), compress)
+        assert m[-1] or m[-2], m
+
+
+def test_half_a_dump_falls_by_its_chunks(docs):
+    compress = zstandard.ZstdCompressor(level=Q.LEVEL).compress
+    prose = max((r.text for r in docs.where("lang = 'en'").collect() if len(set(r.text.split())) > 1200), key=len)
+    for n in (2500, 10_000):
+        m = Q.measure(prose[:n] + " " + dump("hex", n, 1), compress)
+        assert not m[-1] and m[-3] * 3 > m[-4], m
