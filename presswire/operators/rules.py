@@ -122,6 +122,25 @@ def workspace_clean(df: DataFrame, cleaner: Callable[[Column], Column],
     return out.dropna("any").where(F.col("Body") != F.lit(""))
 
 
+def workspace_clean_of(df: DataFrame, kind: str, routes: dict[str, tuple[Callable[[Column], Column], bool]]) -> DataFrame:
+    """txt_merge_sources over one table: the rows of each kind go to its (cleaner, filter_shows), in one scan.
+
+    As ``workspace_clean`` of each kind and a union, with ``kind`` dropped; rows of a kind without a route go.
+    A cleaner that serves several kinds stands once in the plan, and a row runs only its own.
+    """
+    of, body = F.col(kind), F.col("Body")
+    out = df.where(of.isin(*routes) & (body.isNull() | body.try_cast("double").isNull()) & not_horoscope(F.col("Heading")))
+    shows = [k for k, (_, filtered) in routes.items() if filtered]
+    if shows:
+        out = out.where(~of.isin(*shows) | not_shows(F.col("Heading")))
+    out = out.where(not_subscriber(body)).withColumn("Body", T.before_marker(body, C.EDITED_BY_WORKSPACE))
+    cleaners: dict[Callable, list[str]] = {}
+    for k, (cleaner, _) in routes.items():
+        cleaners.setdefault(cleaner, []).append(k)
+    cleaned = F.coalesce(*[F.when(of.isin(*kinds), cleaner(F.col("Body"))) for cleaner, kinds in cleaners.items()])
+    return compute_once(out.withColumn("Body", cleaned).drop(kind)).dropna("any").where(F.col("Body") != F.lit(""))
+
+
 def merge_sources(frames: list[DataFrame]) -> DataFrame:
     """txt_merge_sources / set_union_outer: outer union by name, then drop NULL
     headings and empty bodies."""

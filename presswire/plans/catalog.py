@@ -403,6 +403,11 @@ def agg_panels(gold: DataFrame, date=None) -> DataFrame:
         F.col("positive_score").cast("decimal(18,4)").alias("p"),
         F.col("negative_score").cast("decimal(18,4)").alias("n"),
         F.col("neutral_score").cast("decimal(18,4)").alias("u"))
+    return panel_sets(df, F.count(F.lit(1)), F.sum("p"), F.sum("n"), F.sum("u"), F.sum(F.col("p") - F.col("n")))
+
+
+def panel_sets(df: DataFrame, cnt: Column, pos: Column, neg: Column, neu: Column, pol: Column) -> DataFrame:
+    """The panels' grouping sets over PANEL_KEYS, with the given aggregates."""
     sets = [["article_date", "sentiment_label"], ["category", "sentiment_label"],
             ["channel", "sentiment_label"], ["ministry", "sentiment_label"],
             ["sentiment_label"], ["article_date"], []]
@@ -410,8 +415,7 @@ def agg_panels(gold: DataFrame, date=None) -> DataFrame:
         F.grouping("article_date").alias("g_d"), F.grouping("category").alias("g_c"),
         F.grouping("channel").alias("g_ch"), F.grouping("ministry").alias("g_m"),
         F.grouping("sentiment_label").alias("g_l"),
-        F.count(F.lit(1)).alias("cnt"), F.sum("p").alias("sum_pos"), F.sum("n").alias("sum_neg"),
-        F.sum("u").alias("sum_neu"), F.sum(F.col("p") - F.col("n")).alias("sum_pol"))
+        cnt.alias("cnt"), pos.alias("sum_pos"), neg.alias("sum_neg"), neu.alias("sum_neu"), pol.alias("sum_pol"))
     panel = (F.when((F.col("g_d") == 0) & (F.col("g_l") == 0), F.lit("date_label"))
              .when(F.col("g_c") == 0, F.lit("category_label"))
              .when(F.col("g_ch") == 0, F.lit("channel_label"))
@@ -569,22 +573,28 @@ def sort_compare(df: DataFrame) -> DataFrame:
     return ordered(df, "channel", F.desc("article_date"), "url")
 
 
+#: What orders articles that tie in a sorted list.
+FEED_KEY = "url"
+
+
+def client_key(df: DataFrame, field: str) -> Column:
+    """The key that the client sorts ``field`` by: strings compare case-insensitively."""
+    return F.lower(F.col(field)) if dict(df.dtypes)[field] == "string" else F.col(field)
+
+
 def sort_client(df: DataFrame, field: str, ascending: bool = True) -> DataFrame:
     """Re-sort by any column; strings compare case-insensitively."""
-    dtype = dict(df.dtypes)[field]
-    key = F.lower(F.col(field)) if dtype == "string" else F.col(field)
-    key = key.asc() if ascending else key.desc()
-    return ordered(df, key, "url")
+    key = client_key(df, field)
+    return ordered(df, key.asc() if ascending else key.desc(), FEED_KEY)
 
 
 def page_client(df: DataFrame, page: int, field: str = "article_date", ascending: bool = False,
                 size: int = C.FEED_PAGE_SIZE) -> DataFrame:
-    """15-row client page of a re-sorted list (page < 1 reads page 1)."""
-    page = max(1, page)
-    dtype = dict(df.dtypes)[field]
-    key = F.lower(F.col(field)) if dtype == "string" else F.col(field)
-    key = key.asc() if ascending else key.desc()
-    return ordered(df, key, "url").offset((page - 1) * size).limit(size)
+    """15-row client page of a re-sorted list (page < 1 reads page 1).
+
+    It keeps page x size rows, for first pages; ``stored_order.stored_page`` reads deep ones.
+    """
+    return sort_client(df, field, ascending).offset((max(1, page) - 1) * size).limit(size)
 
 
 def sample_head(df: DataFrame, n: int) -> DataFrame:

@@ -223,7 +223,7 @@ gold_query("agg_trend_summary", lambda g: Q.agg_trend_summary(Q.agg_trends(g)),
            f"FROM ({trends_sql()})")
 
 
-def _panels_sql(where: str = "") -> str:
+def panels_sql(where: str = "") -> str:
     keys = Q.PANEL_KEYS
     sets = ["(article_date, sentiment_label)", "(category, sentiment_label)", "(channel, sentiment_label)",
             "(ministry, sentiment_label)", "(sentiment_label)", "(article_date)", "()"]
@@ -240,8 +240,8 @@ def _panels_sql(where: str = "") -> str:
             f"FROM gold {where} GROUP BY GROUPING SETS ({', '.join(sets)})")
 
 
-gold_query("agg_panels", Q.agg_panels, _panels_sql())
-gold_query("agg_panels_date", lambda g: Q.agg_panels(g, DAY), _panels_sql(f"WHERE article_date = DATE '{DAY}'"))
+gold_query("agg_panels", Q.agg_panels, panels_sql())
+gold_query("agg_panels_date", lambda g: Q.agg_panels(g, DAY), panels_sql(f"WHERE article_date = DATE '{DAY}'"))
 
 # --- 2.5 windows -----------------------------------------------------------------
 

@@ -17,8 +17,10 @@ from presswire.plans import catalog as Q
 from presswire.plans import fixtures as FX
 from presswire.plans import pipeline as P
 from presswire.plans import report as R
+from presswire.plans import rollup as RU
+from presswire.plans import stored_order as SO
 from presswire.plans.oracle import d, gold_events_ctes, raw_documents_cte, rnd, site_articles_sql, strip, with_gold
-from presswire.plans.registry import AS_OF, DAY, GOLD_COLS, register
+from presswire.plans.registry import AS_OF, COMPARE_COLS, DAY, GOLD_COLS, panels_sql, register, trends_sql
 from presswire.plans.registry_misc import WS, _daily_files, _forest, results, scratch
 from presswire.plans.registry_pages import dp, strip_tags_sql, with_pages
 from presswire.plans.registry_text import GOLD_DOC_COLS, SILVER_COLS, raw, silver, with_gold_docs, with_raw, with_silver, gold_docs
@@ -166,6 +168,43 @@ def _scan_by_date(s, sf):
 register("scan_by_date", with_gold(f"SELECT {GOLD_COLS} FROM gold WHERE article_date = DATE '{DAY}'"))(_scan_by_date)
 
 
+# --- the daily rollup and stored orders -------------------------------------------------------
+
+
+def _rollup(s, sf):
+    """The gold layer loaded in two parts, the second bringing late rows of every day; the rollup refreshed after each."""
+    layers, path = P.Layers(scratch(s, "rollup")), scratch(s, "rollup-states")
+    rows = gold(s, sf)
+    early = F.pmod(F.xxhash64("url"), F.lit(3)) > 0
+    for part in (rows.where(early), rows):  # a load replaces the days it touched
+        P.write_layer(part.select(*P.GOLD_COLUMNS).withColumn("processed_at", F.current_timestamp()), layers.path("gold"))
+        RU.refresh_rollup(s, layers, path)
+    return RU.read_rollup(s, path)
+
+
+register("agg_trends_rollup", with_gold(trends_sql()))(lambda s, sf: RU.trends(_rollup(s, sf)))
+register("agg_history_rollup", with_gold(
+    "SELECT article_date, CAST(count(*) AS BIGINT) AS total_articles, CAST(count_if(is_negative_alert) AS BIGINT) AS "
+    "negative_alerts FROM gold GROUP BY article_date"))(lambda s, sf: RU.history(_rollup(s, sf)))
+register("agg_panels_rollup", with_gold(panels_sql(f"WHERE article_date = DATE '{DAY}'")))(
+    lambda s, sf: RU.panels(_rollup(s, sf), DAY))
+register("agg_totals_rollup", with_gold(
+    "SELECT CAST(count(*) AS BIGINT) AS articles, CAST(count_if(is_negative_alert) AS BIGINT) AS alerts, "
+    "CAST(count(DISTINCT channel) AS BIGINT) AS channels, "
+    "CAST(count(DISTINCT CASE WHEN category != '' THEN category END) AS BIGINT) AS categories FROM gold"))(
+    lambda s, sf: RU.totals(_rollup(s, sf)))
+
+
+def _deep_page(s, sf):
+    path = scratch(s, "order")
+    SO.store_order(Q.prj_compare_cols(gold(s, sf)), path, "heading", ascending=True)
+    return SO.stored_page(s, path, 60, C.FEED_PAGE_SIZE)
+
+
+register("page_client_deep", with_gold(
+    f"SELECT {COMPARE_COLS} FROM gold ORDER BY lower(heading), url LIMIT {C.FEED_PAGE_SIZE} OFFSET {59 * C.FEED_PAGE_SIZE}"))(_deep_page)
+
+
 def _api_query(s, sf):
     view = "gold_" + __import__("uuid").uuid4().hex[:8]
     gold(s, sf).createOrReplaceTempView(view)

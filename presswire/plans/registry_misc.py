@@ -34,7 +34,8 @@ def scratch(spark, name: str) -> str:
 # --- workspace report --------------------------------------------------------------
 
 def results(spark, sf):
-    return R.workspace_results(FX.workspace_sheets(spark, sf, R.english_cleaner, T.clean_punjabi))
+    return R.workspace_results_of(FX.workspace_sources(spark, sf), "sheet", {
+        "english": (R.english_cleaner, False), "native": (T.clean_punjabi, False), "video": (R.english_cleaner, True)})
 
 
 def _ws_sql() -> str:
@@ -234,10 +235,18 @@ def _stream(s, sf):
 
 
 register("inc_bronze")(_stream)
+
+
+def _daily_stream(s, sf):
+    """The events in five files that each hold rows of every day, streamed two files at a time."""
+    files_dir = scratch(s, "win-files")
+    read_table(s, sf, "events").repartition(5, F.col("event_id")).write.parquet(files_dir)
+    return INC.stream_daily(s, files_dir, scratch(s, "win-sink"), scratch(s, "win-ckpt"), files_per_batch=2).withColumn(
+        "mean_value", F.round("mean_value", 6))
+
+
 register("inc_daily_window", "SELECT CAST(ts AS DATE) AS day, event_type, CAST(count(*) AS BIGINT) AS events, "
-         "round(avg(value), 6) AS mean_value FROM events GROUP BY 1, 2")(
-    lambda s, sf: INC.run_daily_window(s, sf, scratch(s, "win-sink"), scratch(s, "win-ckpt"), "events.parquet")
-    .withColumn("mean_value", F.round("mean_value", 6)))
+         "round(avg(value), 6) AS mean_value FROM events GROUP BY 1, 2")(_daily_stream)
 
 
 def _sinks(s, sf):

@@ -14,7 +14,7 @@ from presswire.functions import scores as S
 from presswire.operators import lemma
 from presswire.operators.enrich import lexicon_polarity, ministry_of, with_sentiment
 from presswire.operators.models import forest_predict
-from presswire.operators.rules import compute_once, merge_sources, workspace_clean
+from presswire.operators.rules import compute_once, merge_sources, workspace_clean, workspace_clean_of
 
 
 def english_cleaner(body):
@@ -31,7 +31,15 @@ def workspace_results(sheets, model=None, polarity=None) -> DataFrame:
     the merged rows scored and classified.
     """
     parts = [workspace_clean(df, cleaner, shows) for df, cleaner, shows in sheets]
-    merged = merge_sources(parts)
+    return _scored(merge_sources(parts), model, polarity)
+
+
+def workspace_results_of(rows: DataFrame, kind: str, routes: dict, model=None, polarity=None) -> DataFrame:
+    """``workspace_results`` of sheets that lie in one table, told apart by the column ``kind``: scanned and scored once."""
+    return _scored(workspace_clean_of(rows, kind, routes), model, polarity)
+
+
+def _scored(merged: DataFrame, model, polarity) -> DataFrame:
     pol = polarity if polarity is not None else lexicon_polarity(F.col("Body"))
     scored = with_sentiment(merged, pol, "Body")
     classified = forest_predict(scored, "Body", model, out_col="Category")

@@ -5,13 +5,16 @@
   micro-batch brings bronze to what one batch of all files would give (several
   files of a day add up, a replayed batch adds nothing) and rebuilds its days
   in silver and gold.
-* ``daily_window`` – inc_daily_window: running daily counts and mean values
-  over ``events``; the sink holds the whole result after every batch, open
-  days included.
+* ``stream_daily`` – inc_daily_window: running daily counts and mean values
+  over ``events``.  A batch adds its own partial states to the partitions of the
+  days it touched; the states add up, so late rows of any age count and nothing
+  is held in memory for closed days.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,28 +48,57 @@ def stream_bronze(spark: SparkSession, layers: Layers, raw_dir: str, checkpoint:
     return {"batches": len(q.recentProgress)}
 
 
-def daily_window(events: DataFrame, watermark: str = "1 day") -> DataFrame:
-    """inc_daily_window: per event day and type, count and mean value (streaming-ready)."""
-    ts = F.col("ts").cast("timestamp")
-    return (events.withColumn("ts", ts).withWatermark("ts", watermark)
-            .groupBy(F.window("ts", "1 day").alias("w"), "event_type")
-            .agg(F.count(F.lit(1)).alias("events"), F.avg("value").alias("mean_value"))
-            .select(F.col("w.start").cast("date").alias("day"), "event_type", "events", "mean_value"))
+STATE = "event_type STRING, events BIGINT, n_values BIGINT, sum_value DOUBLE, batch_id STRING, day DATE"
+
+
+def daily_states(events: DataFrame) -> DataFrame:
+    """Per event day and type: rows, values and their sum (states that add up)."""
+    return (events.groupBy(F.col("ts").cast("timestamp").cast("date").alias("day"), "event_type")
+            .agg(F.count(F.lit(1)).alias("events"), F.count("value").alias("n_values"), F.sum("value").alias("sum_value")))
+
+
+def upsert_daily(events: DataFrame, sink_dir: str, batch: str) -> None:
+    """Add the states of one batch to the sink, in a partition per day and batch.
+
+    The batch replaces its own partitions, so a replay after a lost driver adds nothing; other batches and days
+    are not read.
+    """
+    (daily_states(events).withColumn("batch_id", F.lit(batch)).hint("rebalance", "day").write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch_id").parquet(sink_dir))
+
+
+def daily_window(spark: SparkSession, sink_dir: str) -> DataFrame:
+    """inc_daily_window: per event day and type, count and mean value, from the states in the sink."""
+    rows = spark.read.schema(STATE).parquet(sink_dir)
+    return rows.groupBy("day", "event_type").agg(
+        F.sum("events").alias("events"),
+        (F.sum("sum_value") / F.when(F.sum("n_values") > 0, F.sum("n_values"))).alias("mean_value"))
 
 
-def run_daily_window(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint: str,
-                     glob: str = "*.parquet") -> DataFrame:
-    """Stream the ``events`` Parquet files of ``source_dir`` matching ``glob``
-    through ``daily_window`` into a Parquet sink (available-now trigger) and
-    return the sink contents."""
+def compact_daily(spark: SparkSession, sink_dir: str, target_dir: str) -> None:
+    """Write the sink's states anew with one batch per day (``compact``), for a sink of many batches."""
+    rows = spark.read.schema(STATE).parquet(sink_dir)
+    merged = rows.groupBy("day", "event_type").agg(*[F.sum(c).alias(c) for c in ("events", "n_values", "sum_value")])
+    (merged.withColumn("batch_id", F.lit("compact")).hint("rebalance", "day").write.mode("overwrite")
+     .partitionBy("day", "batch_id").parquet(target_dir))
+
+
+def stream_daily(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint: str, glob: str = "*.parquet",
+                 files_per_batch: int | None = None, prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """Stream the new event files of ``source_dir`` matching ``glob`` into the daily states and return the days.
+
+    The query itself keeps no state: a row later than any watermark still reaches its day.  ``prepare`` is applied to
+    every batch.
+    """
     schema = spark.read.option("pathGlobFilter", glob).parquet(source_dir).schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(source_dir)
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
 
-    def per_batch(result: DataFrame, epoch_id: int) -> None:
-        result.write.mode("overwrite").parquet(sink_dir)
+    def per_batch(batch: DataFrame, epoch_id: int) -> None:
+        upsert_daily(prepare(batch), sink_dir, f"b{epoch_id}")
 
-    # complete mode: every batch brings the whole small result (days x types), open days and late rows included
-    q = (daily_window(stream).writeStream.outputMode("complete").foreachBatch(per_batch)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q = (reader.parquet(source_dir).writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(sink_dir)
+    return daily_window(spark, sink_dir)

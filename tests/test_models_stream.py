@@ -49,14 +49,36 @@ def test_model_hooks(spark):
     assert cat[0].c in C.MODEL_CATEGORIES and cat[1].c == C.DEFAULT_CATEGORY
 
 
-def test_daily_window_stream_matches_batch(spark, sf):
-    out = INC.run_daily_window(spark, sf, tempfile.mkdtemp(dir="/tmp") + "/sink",
-                               tempfile.mkdtemp(dir="/tmp") + "/ckpt", "events.parquet")
-    got = {(r.day, r.event_type): r.events for r in out.collect()}
+def test_daily_stream_equals_batch_with_late_rows_and_replays(spark, sf):
     ev = spark.read.parquet(f"{sf}/events.parquet")
-    want = {(r.day, r.event_type): r.n for r in ev.groupBy(F.col("ts").cast("date").alias("day"), "event_type")
-            .agg(F.count(F.lit(1)).alias("n")).collect()}
-    assert got == want   # open days included
+    src, sink, ckpt = (tempfile.mkdtemp(prefix="pw-daily-", dir="/tmp") + "/x" for _ in range(3))
+    first = ev.agg(F.min("ts")).first()[0]
+    late = F.col("ts") < F.lit(first) + F.expr("INTERVAL 2 DAYS")
+
+    def same(out, rows):
+        got = {(r.day, r.event_type): (r.events, round(r.mean_value, 6)) for r in out.collect()}
+        want = {(r.day, r.event_type): (r.n, round(r.m, 6)) for r in rows.groupBy(
+            F.col("ts").cast("date").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("m")).collect()}
+        assert got == want and want   # open days included
+
+    ev.where(~late | (F.col("event_id") % 2 == 0)).repartition(3).write.parquet(src)
+    same(INC.stream_daily(spark, src, sink, ckpt, files_per_batch=1), ev.where(~late | (F.col("event_id") % 2 == 0)))
+    # rows weeks behind the newest
+    ev.where(late & (F.col("event_id") % 2 == 1)).coalesce(1).write.mode("append").parquet(src)
+    same(INC.stream_daily(spark, src, sink, ckpt, files_per_batch=1), ev)
+    replay = spark.read.parquet(sink).where("batch_id = 'b0'").count()
+    assert replay
+    same(INC.stream_daily(spark, src, sink, ckpt), ev)       # nothing new
+    INC.compact_daily(spark, sink, sink + "-compact")
+    same(INC.daily_window(spark, sink + "-compact"), ev)
+    assert spark.read.parquet(sink + "-compact").select("day", "event_type").distinct().count() == spark.read.parquet(sink + "-compact").count()
+
+
+def test_a_replayed_batch_adds_nothing(spark, sf):
+    ev, sink = spark.read.parquet(f"{sf}/events.parquet"), tempfile.mkdtemp(prefix="pw-up-", dir="/tmp") + "/s"
+    for batch in ("b0", "b1", "b1"):
+        INC.upsert_daily(ev.where(F.col("event_id") % 2 == int(batch == "b1")), sink, batch)
+    assert INC.daily_window(spark, sink).agg(F.sum("events")).first()[0] == ev.count()
 
 
 def test_checkpoint_dir_reuses_setting(spark):
