@@ -1,7 +1,7 @@
 """Trainable classifier and model-scoring hooks (pyspark.ml).
 
 * ``train_forest``   – cls_rf_train: TF-IDF over 1- and 2-grams (English stop
-  words removed, vocabulary capped at 10 000) + random forest (100 trees,
+  words removed, vocabulary of ``vocab`` terms, 10 000 as in the original when not given) + random forest (100 trees,
   seed 42), as one ``Pipeline``
 * ``forest_predict`` – cls_rf_predict: label per row; rows are classified by
   the keyword rule when no model is given (the original's fallback)
@@ -39,7 +39,8 @@ TEXT = "_forest_text"
 
 
 def forest_pipeline(text_col: str = TEXT, label_col: str = "label", trees: int = C.FOREST_TREES,
-                    seed: int = C.FOREST_SEED, vocab: int = C.FOREST_FEATURES) -> Pipeline:
+                    seed: int = C.FOREST_SEED, vocab: int = C.FOREST_FEATURES, depth: int = 5,
+                    weight_col: str | None = None) -> Pipeline:
     tok = RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=r"[\p{L}\p{N}_]{2,}", gaps=False, toLowercase=True)
     stop = StopWordsRemover(inputCol="_tok", outputCol="_uni")
     bi = NGram(n=2, inputCol="_uni", outputCol="_bi")
@@ -47,15 +48,29 @@ def forest_pipeline(text_col: str = TEXT, label_col: str = "label", trees: int =
     cv = CountVectorizer(inputCol="_grams", outputCol="_tf", vocabSize=vocab)
     idf = IDF(inputCol="_tf", outputCol="features")
     idx = StringIndexer(inputCol=label_col, outputCol="_label_idx", handleInvalid="skip")
-    rf = RandomForestClassifier(featuresCol="features", labelCol="_label_idx", numTrees=trees, seed=seed,
+    rf = RandomForestClassifier(featuresCol="features", labelCol="_label_idx", numTrees=trees, seed=seed, maxDepth=depth,
                                 predictionCol="_pred_idx", probabilityCol="probability")
+    if weight_col:
+        rf.setWeightCol(weight_col)
     return Pipeline(stages=[idx, tok, stop, bi, both, cv, idf, rf])
 
 
-def train_forest(df: DataFrame, text_col: str = "text", label_col: str = "label", **kw) -> PipelineModel:
-    """cls_rf_train on (text, label) rows (texts and labels taken as strings)."""
+def train_forest(df: DataFrame, text_col: str = "text", label_col: str = "label", balanced: bool = False,
+                 max_rows: int | None = None, **kw) -> PipelineModel:
+    """cls_rf_train on (text, label) rows (texts and labels taken as strings).
+
+    ``balanced``: every class weighs the same, however rare.  ``max_rows``: the bound on the labelled rows that are
+    fitted on, drawn by a hash of text and label (all rows when not given).  ``trees``, ``seed``, ``vocab`` and
+    ``depth`` go to the pipeline.
+    """
     data = df.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(TEXT),
                      F.col(label_col).cast("string").alias("label"))
+    if max_rows is not None:
+        data = data.orderBy(F.xxhash64(TEXT, "label")).limit(max_rows)
+    if balanced:
+        sizes = data.groupBy("label").agg((1.0 / F.count(F.lit(1))).alias("_weight"))  # one row per class
+        data = data.join(sizes, "label")
+        kw["weight_col"] = "_weight"
     # fitting makes several passes (indexer, vocabulary, IDF, tree levels):
     # keep the prepared input cached instead of recomputing it every pass
     data = data.persist()

@@ -12,7 +12,6 @@ from presswire.functions import html as H
 from presswire.functions import scores as S
 from presswire.functions import text as T
 from presswire.operators import extract as X
-from presswire.operators import models as M
 from presswire.plans import catalog as Q
 from presswire.plans import fixtures as FX
 from presswire.plans import pipeline as P
@@ -21,7 +20,7 @@ from presswire.plans import rollup as RU
 from presswire.plans import stored_order as SO
 from presswire.plans.oracle import d, gold_events_ctes, raw_documents_cte, rnd, site_articles_sql, strip, with_gold
 from presswire.plans.registry import AS_OF, COMPARE_COLS, DAY, GOLD_COLS, panels_sql, register, trends_sql
-from presswire.plans.registry_misc import WS, _daily_files, _forest, results, scratch
+from presswire.plans.registry_misc import WS, _daily_files, results, scratch
 from presswire.plans.registry_pages import dp, strip_tags_sql, with_pages
 from presswire.plans.registry_text import GOLD_DOC_COLS, SILVER_COLS, raw, silver, with_gold_docs, with_raw, with_silver, gold_docs
 from presswire.plans.oracle import WS as WSCLASS
@@ -313,7 +312,5 @@ register("rep_summary", WS + "SELECT 'total' AS item, 'articles' AS name, CAST(c
          "ORDER BY Negative DESC, URL LIMIT 5) UNION ALL "
          f"SELECT 'alert', concat_ws(' | ', {_MINISTRY}, substring(Heading, 1, 50), URL), NULL FROM ws "
          f"WHERE Negative >= {d(C.ALERT_PERCENT)}")(_report)
-register("cls_rf_predict")(lambda s, sf: (lambda dm: M.forest_predict(dm[0], "text", dm[1], "predicted")
-                                          .select("doc_id", "predicted"))(_forest(s, sf)))
 
 __all__ = ["AS_OF", "silver", "with_silver"]

@@ -12,7 +12,6 @@ from presswire.functions import scores as S
 from presswire.functions import text as T
 from presswire.operators import lemma as L
 from presswire.operators import models as M
-from presswire.operators.enrich import with_category
 from presswire.plans import fixtures as FX
 from presswire.plans import pipeline as P
 from presswire.plans import report as R
@@ -116,41 +115,53 @@ register("join_lemma_inline", with_silver(
 # --- model hooks and forest (rows-only) --------------------------------------------------
 
 
-def _forest_data(s, sf):
-    return with_category(silver(s, sf), "body_cleaned", "label", C.KEYWORD_MAP_SMALL).select(
-        "doc_id", F.col("body_cleaned").alias("text"), "label")
+#: Most labelled rows that the registered forest is fitted on.
+FOREST_ROWS = 50_000
+_FITTED: dict[tuple[str, str], str] = {}
+
+
+def _labelled(s, sf):
+    """Documents with a quality label; ``held_out``: a fourth of them that the forest never sees."""
+    docs = read_table(s, sf, "documents").select("doc_id", "text")
+    labels = read_table(s, sf, "labels").select("doc_id", F.col("quality").cast("string").alias("label"))
+    return docs.join(labels, "doc_id").withColumn("held_out", F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0)
 
 
 def _forest(s, sf):
-    data = _forest_data(s, sf)
-    return data, M.train_forest(data)
+    """The forest fitted on ``labels``, once in a session; stored, and loaded by every query that scores with it."""
+    key = (s.sparkContext.applicationId, sf)
+    if key not in _FITTED:
+        path = scratch(s, "forest")
+        M.save_model(M.train_forest(_labelled(s, sf).where(~F.col("held_out")), balanced=True, max_rows=FOREST_ROWS, depth=8), path)
+        _FITTED[key] = path
+    return M.load_model(_FITTED[key])
 
 
-register("cls_rf_train")(lambda s, sf: (lambda dm: M.forest_predict(dm[0], "text", dm[1], "predicted")
-                                        .select("doc_id", "label", "predicted"))(_forest(s, sf)))
+register("cls_rf_train")(lambda s, sf: M.forest_predict(_labelled(s, sf), "text", _forest(s, sf), "predicted")
+                         .select("doc_id", "held_out", "label", "predicted"))
 register("cls_rf_predict_fallback", with_silver(
     f"SELECT doc_id, CASE WHEN body_cleaned IS NULL OR {strip('body_cleaned')} = '' THEN 'Politics' ELSE "
     f"{keyword_category_sql('body_cleaned', C.KEYWORD_MAP_SMALL)} END AS predicted FROM silver"))(
-    lambda s, sf: M.forest_predict(_forest_data(s, sf), "text", None, "predicted").select("doc_id", "predicted"))
+    lambda s, sf: M.forest_predict(silver(s, sf, ["doc_id", "body_cleaned"]), "body_cleaned", None, "predicted")
+    .select("doc_id", "predicted"))
 
 
-def _proba(s, sf):
-    data, model = _forest(s, sf)
-    return M.forest_proba(data, "text", model).select("doc_id", F.map_keys("proba").alias("labels"),
-                                                      F.aggregate(F.map_values("proba"), F.lit(0.0),
-                                                                  lambda a, v: a + v).alias("total"))
+def _documents(s, sf):
+    return read_table(s, sf, "documents").select("doc_id", "text")
 
 
-register("cls_rf_proba")(_proba)
+register("cls_rf_predict")(lambda s, sf: M.forest_predict(_documents(s, sf), "text", _forest(s, sf), "predicted")
+                           .select("doc_id", "predicted"))
+register("cls_rf_proba")(lambda s, sf: M.forest_proba(_documents(s, sf), "text", _forest(s, sf)).select(
+    "doc_id", *[F.round(F.try_element_at("proba", F.lit(x)), 6).alias(f"p_{x}") for x in ("0", "1")]))
 
 
 def _save_load(s, sf):
-    data, model = _forest(s, sf)
-    path = scratch(s, "forest")
-    M.save_model(model, path)
-    again = M.load_model(path)
+    """The fitted forest saved once more under another path, loaded from there and applied to all documents."""
+    path = scratch(s, "forest-copy")
+    M.save_model(_forest(s, sf), path)
     missing = M.load_model(path + "-missing")
-    out = M.forest_predict(data, "text", again, "predicted")
+    out = M.forest_predict(_documents(s, sf), "text", M.load_model(path), "predicted")
     return out.select("doc_id", "predicted", F.lit(missing is None).alias("missing_falls_back"))
 
 

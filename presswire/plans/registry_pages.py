@@ -243,13 +243,19 @@ register("fn_chunk_intervals",
 # --- embeddings: model output post-processing ------------------------------------------
 
 def logits(spark, sf):
-    e = read_table(spark, sf, "embeddings")
-    return e.select("vec_id", F.transform(F.slice("embedding", 1, 3), lambda v: v.cast("double")).alias("z"))
+    """Every three neighbouring elements of every vector as the three logits of one model output."""
+    e = read_table(spark, sf, "embeddings").where(F.size("embedding") > 2)
+    starts = F.explode(F.sequence(F.lit(1), F.size("embedding") - 2)).alias("pos")
+    return e.select("vec_id", "embedding", starts).select(
+        "vec_id", "pos", F.transform(F.slice("embedding", F.col("pos"), 3), lambda v: v.cast("double")).alias("z"))
+
+
+_LOGITS_SQL = ("_e AS (SELECT vec_id, embedding, unnest(range(1, len(embedding) - 1)) AS pos FROM embeddings), "
+               "_l AS (SELECT vec_id, CAST(pos AS INTEGER) AS pos, list_transform(embedding[pos:pos + 2], lambda _v: CAST(_v AS DOUBLE)) AS z FROM _e)")
 
 
 def _softmax_sql() -> str:
-    z = "list_transform(embedding[1:3], lambda _v: CAST(_v AS DOUBLE))"
-    ex = f"list_transform({z}, lambda _v: exp(_v - list_max({z})))"
+    ex = "list_transform(z, lambda _v: exp(_v - list_max(z)))"
     return f"list_transform({ex}, lambda _v: _v / list_reduce({ex}, lambda _a, _b: _a + _b))"
 
 
@@ -262,13 +268,13 @@ register("fn_softmax", "WITH z AS (SELECT vec_id, list_transform(embedding, lamb
         "vec_id", F.posexplode(S.softmax(F.transform("embedding", lambda v: v.cast("double")))).alias("pos", "p"))
     .select("vec_id", F.col("pos").cast("bigint").alias("pos"), S.round_half_up(F.col("p"), 4).alias("p")))
 register("fn_argmax_label",
-         "SELECT vec_id, CASE list_position(embedding[1:3], list_max(embedding[1:3])) "
+         f"WITH {_LOGITS_SQL} SELECT vec_id, pos, CASE list_position(z, list_max(z)) "
          + " ".join(f"WHEN {i + 1} THEN {q(lab)}" for i, lab in enumerate(C.SENTIMENT_LABELS))
-         + " END AS label FROM embeddings")(
-    lambda s, sf: logits(s, sf).select("vec_id", S.argmax_label(F.col("z"), C.SENTIMENT_LABELS).alias("label")))
-register("fn_reorder_scores", f"SELECT vec_id, {rnd('p[3]', 4)} AS positive, {rnd('p[1]', 4)} AS negative, "
-         f"{rnd('p[2]', 4)} AS neutral FROM (SELECT vec_id, {_softmax_sql()} AS p FROM embeddings)")(
-    lambda s, sf: logits(s, sf).select("vec_id", S.reorder_scores(S.softmax(F.col("z"))).alias("r")).select(
-        "vec_id", *[S.round_half_up(F.col(f"r.{k}"), 4).alias(k) for k in ("positive", "negative", "neutral")]))
+         + " END AS label FROM _l")(
+    lambda s, sf: logits(s, sf).select("vec_id", "pos", S.argmax_label(F.col("z"), C.SENTIMENT_LABELS).alias("label")))
+register("fn_reorder_scores", f"WITH {_LOGITS_SQL} SELECT vec_id, pos, {rnd('p[3]', 4)} AS positive, {rnd('p[1]', 4)} AS negative, "
+         f"{rnd('p[2]', 4)} AS neutral FROM (SELECT vec_id, pos, {_softmax_sql()} AS p FROM _l)")(
+    lambda s, sf: logits(s, sf).select("vec_id", "pos", S.reorder_scores(S.softmax(F.col("z"))).alias("r")).select(
+        "vec_id", "pos", *[S.round_half_up(F.col(f"r.{k}"), 4).alias(k) for k in ("positive", "negative", "neutral")]))
 
 __all__ = ["d"]

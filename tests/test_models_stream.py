@@ -93,3 +93,24 @@ def test_forest_keeps_a_text_column_and_accented_words(spark):
     one = spark.createDataFrame([("keep me", "été müller 3")], "text string, body string")
     assert M.forest_predict(one, "body", model, "p").first().text == "keep me"
     assert M.forest_proba(one, "body", model).first().text == "keep me"
+
+
+def test_forest_on_labels_beats_chance_on_held_out_rows_for_both_classes(spark):
+    from presswire.plans.registry_misc import _FITTED, _forest, _labelled
+    sf = "/root/testdata/sf0.01"
+    model = _forest(spark, sf)
+    rows = M.forest_predict(_labelled(spark, sf), "text", model, "p").where("held_out").select("label", "p").collect()
+    share = {x: [r.p == x for r in rows if r.label == x] for x in ("0", "1")}
+    assert all(len(x) >= 10 for x in share.values())
+    assert sum(sum(x) / len(x) for x in share.values()) / 2 > 0.65, {k: (sum(v), len(v)) for k, v in share.items()}
+    assert (spark.sparkContext.applicationId, sf) in _FITTED
+
+
+def test_forest_bound_and_balance(spark):
+    rows = [(f"cricket match team {i}", "Sports") for i in range(60)] + [(f"court judge bail {i}", "Judiciary") for i in range(4)]
+    data = spark.createDataFrame(rows, "text string, label string")
+    model = M.train_forest(data, trees=5, balanced=True)
+    got = M.forest_predict(data, "text", model, "p").where("p = label").groupBy("label").count().collect()
+    assert {r.label: r["count"] for r in got} == {"Sports": 60, "Judiciary": 4}
+    few = M.train_forest(data, trees=2, max_rows=10, vocab=8)
+    assert len(few.stages[5].vocabulary) <= 8
