@@ -13,6 +13,11 @@ WINDOW = 20
 ANCHOR = 8
 #: Occurrences of candidate windows that one shard's automaton and pieces stand for, about.
 SHARD_WINDOWS = 150_000
+#: Phrases of one automaton: a task with more compiles them in turn.
+MACHINE_PHRASES = 200_000
+#: Letters of a phrase that one long holds, at 11 bits each.
+PER_LONG, LETTER_BITS = 5, 11
+SPELLING = [f"l{i}" for i in range(WINDOW // PER_LONG)]
 #: Shards up to which the table of hot ones is broadcast.
 MOST_BROADCAST = 100_000
 #: Bits of a place in a document (words); the document's number stands above them.
@@ -93,6 +98,54 @@ def letters(words) -> str:
     return (words % np.uint64(1920) + np.uint64(128)).astype("<u2").tobytes().decode("utf-16-le")
 
 
+def spelled(words, starts):
+    """The letters of the windows at ``starts``, one column for each of SPELLING."""
+    import numpy as np
+
+    letter = words % np.uint64(1920)
+    m = len(letter) - PER_LONG + 1
+    packed = np.zeros(m, dtype=np.uint64)
+    for i in range(PER_LONG):
+        packed |= letter[i:m + i] << np.uint64(LETTER_BITS * i)
+    return [packed[starts + PER_LONG * i].view(np.int64) for i in range(len(SPELLING))]
+
+
+def unspelled(columns) -> list[str]:
+    """The phrases that ``spelled`` packed, as ``letters`` writes them."""
+    import numpy as np
+
+    packed = np.stack([np.asarray(c, dtype=np.int64).view(np.uint64) for c in columns], axis=1)
+    shift = np.uint64(LETTER_BITS) * np.arange(PER_LONG, dtype=np.uint64)
+    each = (packed[:, :, None] >> shift) & np.uint64((1 << LETTER_BITS) - 1)
+    text = (each.reshape(-1) + np.uint64(128)).astype("<u2").tobytes().decode("utf-16-le")
+    return [text[i:i + WINDOW] for i in range(0, len(text), WINDOW)]
+
+
+def occurrences(phrases, pieces, automaton=None):
+    """(piece, offset, first place) of every occurrence of ``phrases`` (letters, h1, first place) in ``pieces`` (letters, hashes).
+
+    The automaton, compiled from the phrases' letters alone, finds the places; the 64-bit hash of a found window then
+    tells phrases apart whose words differ but are spelled alike.
+    """
+    if automaton is None:
+        import ahocorasick
+        automaton = ahocorasick.Automaton
+    for at in range(0, len(phrases), MACHINE_PHRASES):
+        machine = automaton()
+        for text, h1, first in phrases[at:at + MACHINE_PHRASES]:
+            alike = machine.get(text, None)
+            if alike is None:
+                machine.add_word(text, {h1: first})
+            else:
+                alike[h1] = first
+        machine.make_automaton()
+        for number, (text, hashes) in enumerate(pieces):
+            for end, alike in machine.iter(text):
+                first = alike.get(hashes[end - WINDOW + 1])
+                if first is not None:
+                    yield number, end - WINDOW + 1, first
+
+
 # --- jobs ---------------------------------------------------------------------------
 
 def surveyed(docs: DataFrame) -> DataFrame:
@@ -121,7 +174,7 @@ def surveyed(docs: DataFrame) -> DataFrame:
 
 
 def candidate_windows(texts: DataFrame, n_shards) -> DataFrame:
-    """(shard, h1, h2, place) of every window whose anchor recurs; ``texts``: num, text, at (recurring places)."""
+    """(shard, h1, letters, place) of every window whose anchor recurs; ``texts``: num, text, at (recurring places)."""
     def windows(frames):
         import numpy as np
         import pandas as pd
@@ -135,12 +188,12 @@ def candidate_windows(texts: DataFrame, n_shards) -> DataFrame:
                 start = np.flatnonzero(np.isin(chosen, np.asarray(at)))
                 if len(start):
                     shard = (h[chosen[start]] % np.uint64(n_shards)).astype(np.int64)
-                    out.append((shard, run_hashes(w, WINDOW)[start].view(np.int64), run_hashes(w, WINDOW, 1)[start].view(np.int64),
-                                (num << PLACE_BITS) + start))
+                    out.append((shard, run_hashes(w, WINDOW)[start].view(np.int64), *spelled(w, start), (num << PLACE_BITS) + start))
             if out:
-                yield pd.DataFrame({c: np.concatenate([o[i] for o in out]) for i, c in enumerate(("shard", "h1", "h2", "place"))})
+                yield pd.DataFrame({c: np.concatenate([o[i] for o in out]) for i, c in enumerate(("shard", "h1", *SPELLING, "place"))})
 
-    return texts.select("num", "text", "at").mapInPandas(windows, "shard long, h1 long, h2 long, place long")
+    return texts.select("num", "text", "at").mapInPandas(
+        windows, ", ".join(f"{c} long" for c in ("shard", "h1", *SPELLING, "place")))
 
 
 def candidate_pieces(texts: DataFrame, n_shards) -> DataFrame:
@@ -178,10 +231,9 @@ def candidate_pieces(texts: DataFrame, n_shards) -> DataFrame:
 def located(pieces: DataFrame, phrases: DataFrame, n_shards: int) -> DataFrame:
     """(num, starts): windows that are not the first of their phrase, found by each shard's automaton.
 
-    ``phrases`` (shard, h1, first, n): the confirmed recurring windows, in a shard known by one hash and
-    their letters.  A task holds one salt of one
-    shard: it compiles the shard's phrases that its pieces spell into an Aho-Corasick automaton and
-    streams its pieces through it.  A shard with many occurrences has many salts.
+    ``phrases`` (shard, h1, letters, first, n): the confirmed recurring windows.  A task holds one salt of one shard:
+    it compiles the shard's phrases into Aho-Corasick automata (of MACHINE_PHRASES each) and streams its pieces through
+    them.  A shard with many occurrences has many salts.
     """
     hot = phrases.groupBy("shard").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / (2 * SHARD_WINDOWS))).cast("long").alias("salts")).where("salts > 1")
     hot = F.broadcast(hot) if n_shards <= MOST_BROADCAST else hot  # one row per shard at most
@@ -190,38 +242,19 @@ def located(pieces: DataFrame, phrases: DataFrame, n_shards: int) -> DataFrame:
     spread = phrases.join(hot, "shard", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("salts", "n")
 
     def locate(key, left, right):
-        import ahocorasick
         import numpy as np
         import pandas as pd
 
-        hashes = [np.frombuffer(x, "<i8").tolist() for x in left["h1"]]
-        todo = dict(zip(right["h1"].tolist(), right["first"].tolist(), strict=True))
-        machine = ahocorasick.Automaton()
-        for words, h1 in zip(left["words"], hashes, strict=True):
-            for i, k in enumerate(h1):
-                first = todo.pop(k, None)
-                if first is not None:
-                    phrase = words[i:i + WINDOW]
-                    # phrases that differ are told apart by their hashes, also if they are spelled alike
-                    spelled = machine.get(phrase, None)
-                    if spelled is None:
-                        machine.add_word(phrase, {k: first})
-                    else:
-                        spelled[k] = first
-        nums, starts = [], []
-        if len(machine):
-            machine.make_automaton()
-            for words, place, h1 in zip(left["words"], left["place"].tolist(), hashes, strict=True):
-                hits = []
-                for end, spelled in machine.iter(words):
-                    i = end - WINDOW + 1
-                    known = spelled.get(h1[i])
-                    if known is not None and known < place + i:
-                        hits.append((place & ((1 << PLACE_BITS) - 1)) + i)
-                if hits:
-                    nums.append(place >> PLACE_BITS)
-                    starts.append(hits)
-        return pd.DataFrame({"num": pd.Series(nums, dtype="int64"), "starts": pd.Series(starts, dtype=object)})
+        found: dict[int, list[int]] = {}
+        if len(left) and len(right):
+            phrases = list(zip(unspelled([right[c] for c in SPELLING]), right["h1"].tolist(), right["first"].tolist(), strict=True))
+            places = left["place"].tolist()
+            pieces = list(zip(left["words"], [np.frombuffer(x, "<i8").tolist() for x in left["h1"]], strict=True))
+            for number, offset, first in occurrences(phrases, pieces):
+                if first < places[number] + offset:
+                    found.setdefault(places[number], []).append((places[number] & ((1 << PLACE_BITS) - 1)) + offset)
+        return pd.DataFrame({"num": pd.Series([x >> PLACE_BITS for x in found], dtype="int64"),
+                             "starts": pd.Series(list(found.values()), dtype=object)})
 
     return (dealt.groupBy("shard", "salt").cogroup(spread.groupBy("shard", "salt"))
             .applyInPandas(locate, "num long, starts array<int>"))
@@ -257,14 +290,14 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     1. Every text is surveyed once: its anchors (stored), number of words and digest.
     2. Anchors that occur twice or more lead to the candidate windows of the texts that hold them; of exact
        copies of a text only the first goes on, as every window of the others starts earlier.
-    3. Candidate windows are counted (pre-aggregated, 128-bit hashes): those that occur twice are the
-       confirmed phrases, with their first place.
-    4. Phrases and the pieces of text around their anchors meet by shard of the anchor; automata
-       locate every occurrence, and the windows behind the first go.
+    3. Candidate windows are counted (pre-aggregated, by a 64-bit hash and their letters of 218 bits): those that
+       occur twice are the confirmed phrases, with their first place.
+    4. Phrases and the pieces of text around their anchors meet by shard of the anchor; automata compiled from
+       the phrases' letters find every occurrence, the hash confirms it, and the windows behind the first go.
 
     Returns doc_id, n_words, n_removed, kept_sha256.  The order of documents is that of doc_id, a null
     doc_id last, ties by text; rows with equal doc_id and text are one document.  Null, empty and blank texts
-    have no words (digest of the empty string).  An empty table gives no rows; extra columns are not read.
+    have no words (digest of the empty string).  Very long texts are read whole, up to 2^29 words.  An empty table gives no rows; extra columns are not read.
     """
     spark = docs.sparkSession
     tune(spark)
@@ -294,10 +327,10 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     n_windows = hits.agg(F.sum(F.size("at"))).first()[0] or 0
     # an anchor stands for (20 - 8 + 2) / 2 windows on average
     n_shards = max(1, -(-n_windows * (WINDOW - ANCHOR + 2) // (2 * SHARD_WINDOWS)))
-    phrases = (candidate_windows(texts, n_shards).groupBy("shard", "h1", "h2")
+    phrases = (candidate_windows(texts, n_shards).groupBy("shard", "h1", *SPELLING)
                .agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1"))
     phrases = stored(phrases, "op6")
-    found = located(candidate_pieces(texts, n_shards), phrases.drop("h2"), n_shards)
+    found = located(candidate_pieces(texts, n_shards), phrases, n_shards)
     starts = stored(found.groupBy("num").agg(F.flatten(F.collect_list("starts")).alias("starts")), "op6")
     cut = cut_out(texts.join(starts, "num")).select("num", "n_removed", "kept_sha256")
 

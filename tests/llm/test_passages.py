@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import numpy as np
 import pytest
 
 from presswire.llm import passages as P
@@ -71,3 +72,42 @@ def test_anchor_depends_on_the_window_alone():
     b, g = P.chosen_anchors(two)
     for i in range(80):
         assert a[40 + i] - (40 + i) == b[1 + i] - (1 + i) and h[a[40 + i]] == g[b[1 + i]]
+
+
+def _spelled(texts):
+    words = [P.word_hashes([t.encode()])[0] for t in texts]
+    pieces = [(P.letters(w), P.run_hashes(w, P.WINDOW).view(np.int64).tolist()) for w in words]
+    return words, pieces
+
+
+def test_phrases_come_back_as_they_were_spelled():
+    words, pieces = _spelled([" ".join(f"w{i * i % 97}" for i in range(90))])
+    starts = np.arange(len(words[0]) - P.WINDOW + 1)
+    assert P.unspelled(P.spelled(words[0], starts)) == [pieces[0][0][i:i + P.WINDOW] for i in starts.tolist()]
+
+
+@pytest.mark.parametrize("block", [200_000, 3])
+def test_automata_find_every_occurrence_and_nothing_is_found_without_them(monkeypatch, block):
+    monkeypatch.setattr(P, "MACHINE_PHRASES", block)
+    passage = [f"p{i}" for i in range(30)]
+    words, pieces = _spelled([" ".join(["a", *passage, "b"]), " ".join([*passage[5:], *passage[:25]]), "nothing " * 25])
+    phrases = [(pieces[0][0][i:i + P.WINDOW], pieces[0][1][i], 100 + i) for i in range(1, 12)]
+    found = sorted(P.occurrences(phrases, pieces))
+    assert found == sorted([(0, i, 100 + i) for i in range(1, 12)] + [(1, i, 106 + i) for i in range(6)] + [(1, 25 + i, 101 + i) for i in range(6)])
+
+    class Blind:
+        def get(self, text, default):
+            return default
+
+        def add_word(self, text, value):
+            pass
+
+        def make_automaton(self):
+            pass
+
+        def iter(self, text):
+            return iter(())
+
+    assert list(P.occurrences(phrases, pieces, Blind)) == []
+    # spelled alike, other words: the hash tells them apart
+    assert list(P.occurrences([(text, h1 + 1, first) for text, h1, first in phrases], pieces)) == []
