@@ -66,10 +66,16 @@ def run_hashes(words, n: int, lane: int = 0):
     import numpy as np
 
     m = len(words) - n + 1
-    out = np.zeros(max(0, m), dtype=np.uint64)
-    for i in range(n):
-        if m > 0:
-            out = out * np.uint64(_Q[lane]) + words[i:m + i]
+    if m <= 0:
+        return np.zeros(0, dtype=np.uint64)
+    # runs of the leading bits of n are doubled, and a word added where a bit is set
+    out, size = words, 1
+    for bit in bin(n)[3:]:
+        out = out[:len(out) - size] * np.uint64(pow(_Q[lane], size, 1 << 64)) + out[size:]
+        size *= 2
+        if bit == "1":
+            out = out[:-1] * np.uint64(_Q[lane]) + words[size:]
+            size += 1
     return _mixed(out)
 
 
@@ -81,7 +87,15 @@ def chosen_anchors(words):
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
     h = run_hashes(words, ANCHOR)
     span = WINDOW - ANCHOR + 1
-    return np.lib.stride_tricks.sliding_window_view(h, span).argmin(axis=1) + np.arange(len(h) - span + 1), h
+    # least of spans of 2, 4, 8, then of two that overlap; at ties the left one stays
+    least, at, size = h, np.arange(len(h)), 1
+    while size < span:
+        step = min(size, span - size)
+        left, right = least[:len(least) - step], least[step:]
+        at = np.where(right < left, at[step:], at[:len(at) - step])
+        least = np.minimum(left, right)
+        size += step
+    return at, h
 
 
 def _split(words, counts):
@@ -131,19 +145,22 @@ def occurrences(phrases, pieces, automaton=None):
         import ahocorasick
         automaton = ahocorasick.Automaton
     for at in range(0, len(phrases), MACHINE_PHRASES):
-        machine = automaton()
+        machine, alike = automaton(), {}
         for text, h1, first in phrases[at:at + MACHINE_PHRASES]:
-            alike = machine.get(text, None)
-            if alike is None:
-                machine.add_word(text, {h1: first})
-            else:
-                alike[h1] = first
+            if machine.get(text, None) is None:
+                machine.add_word(text, (h1, first))
+            else:  # spelled like another one
+                alike.setdefault(text, []).append((h1, first))
         machine.make_automaton()
         for number, (text, hashes) in enumerate(pieces):
-            for end, alike in machine.iter(text):
-                first = alike.get(hashes[end - WINDOW + 1])
-                if first is not None:
-                    yield number, end - WINDOW + 1, first
+            for end, (h1, first) in machine.iter(text):
+                offset = end - WINDOW + 1
+                if h1 == hashes[offset]:
+                    yield number, offset, first
+                elif alike:
+                    for other, its in alike.get(text[offset:end + 1], ()):
+                        if other == hashes[offset]:
+                            yield number, offset, its
 
 
 # --- jobs ---------------------------------------------------------------------------

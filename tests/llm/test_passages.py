@@ -109,5 +109,7 @@ def test_automata_find_every_occurrence_and_nothing_is_found_without_them(monkey
             return iter(())
 
     assert list(P.occurrences(phrases, pieces, Blind)) == []
+    same_letters = [(text, h1 + k, first + k) for text, h1, first in phrases for k in (1, 0)]
+    assert sorted(P.occurrences(same_letters, pieces)) == found
     # spelled alike, other words: the hash tells them apart
     assert list(P.occurrences([(text, h1 + 1, first) for text, h1, first in phrases], pieces)) == []
