@@ -24,6 +24,7 @@ from presswire.plans.registry_misc import WS, _daily_files, results, scratch
 from presswire.plans.registry_pages import dp, strip_tags_sql, with_pages
 from presswire.plans.registry_text import GOLD_DOC_COLS, SILVER_COLS, raw, silver, with_gold_docs, with_raw, with_silver, gold_docs
 from presswire.plans.oracle import WS as WSCLASS
+from presswire.session import stored
 from presswire.sources import files
 from presswire.sources.tables import read_table
 
@@ -140,8 +141,9 @@ register("concat_positional", with_gold_docs(
 
 
 def _appended(s, rows, stamp: str):
-    """``rows`` appended as two batches, the later one twice, and read back through the catalog."""
+    """``rows`` (worked out once) appended as two batches, the later one twice, and read back through the catalog."""
     path = scratch(s, "append")
+    rows = stored(rows, "append-rows")
     odd = F.coalesce(F.dayofmonth("article_date") % 2, F.lit(0))
     for batch, part in (("even", 0), ("odd", 1), ("odd", 1)):
         P.append_batch(rows.where(odd == part).withColumn(stamp, F.current_timestamp()), path, batch)
