@@ -33,3 +33,23 @@ def test_training_plan_sends_no_text_to_one_task(spark, monkeypatch):
     except RuntimeError:
         pass
     assert seen and "TakeOrdered" not in seen[0] and "GlobalLimit" not in seen[0]
+
+
+def test_bounded_training_rows_come_in_parts_sorted_by_hash(spark, monkeypatch):
+    seen = []
+
+    class Fit:
+        def fit(self, data):
+            seen.append([[r[0] for r in part] for part in data.select(F.xxhash64(M.TEXT, "label")).rdd.glom().collect()])
+            raise RuntimeError("seen")
+
+    monkeypatch.setattr(M, "forest_pipeline", lambda *a, **k: Fit())
+    monkeypatch.setattr(M, "FIT_ROWS", 30)
+    df = spark.createDataFrame([(f"t{i}", str(i % 2)) for i in range(100)], "text string, label string").repartition(7)
+    for n, parts in ((20, 1), (90, 3), (1000, 4)):
+        try:
+            M.train_forest(df, balanced=True, max_rows=n)
+        except RuntimeError:
+            pass
+        got = [h for part in seen[-1] for h in part]
+        assert got == sorted(r[0] for r in df.select(F.xxhash64("text", "label")).collect())[:n] and len(seen[-1]) == parts
